@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fmindex import contamination
 from .simhash import near_duplicates
+from .tokenids import token_ids
 from .winnowing import edited_fingerprints
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -26,6 +33,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_ids": op2_token_ids,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op10_winnowing": op10_winnowing,
