@@ -62,3 +62,20 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
 def fold(column: str, n: int):
     """crc32 of an id as text, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """(chunk, doc_id, text) with about ``chunk_bytes`` of text in each chunk, whatever the size of the table.
+
+    A chunk is what one task holds in memory at once. Requests and answers go by chunk, so that a value on very many rows
+    is sent once for each chunk, not once for each row.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // chunk_bytes), 1)
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text")
+
+
+def chunk_rows(chunk: pa.Table) -> list[tuple[int | None, bytes]]:
+    """(doc_id, text) of a chunk in an order that its rows alone decide."""
+    rows = zip(chunk.column("doc_id").to_pylist(), as_bytes(chunk.column("text").combine_chunks()) if chunk.num_rows else [])
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

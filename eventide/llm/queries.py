@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .fmindex import contamination
 from .simhash import near_duplicates
+from .suffixdedup import remove_repeats
 from .tokenids import token_ids
 from .winnowing import edited_fingerprints
 
@@ -28,6 +29,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, seed=42, distance=3)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50, k=20).drop("kept")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"), k=12, window=24)
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_winnowing": op10_winnowing,
 }
 
