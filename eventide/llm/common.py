@@ -36,6 +36,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand texts to Python in batches of at most ``size`` bytes (or one row), not only of so many rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

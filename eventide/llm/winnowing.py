@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import bounded_batches, shuffle_partitions
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -139,6 +139,7 @@ def edited_fingerprints(docs: DataFrame, k: int = 12, window: int = 24) -> DataF
     as any other.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = max(2 * shuffle_partitions(spark), 8)
     at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
@@ -177,6 +178,9 @@ def _pairs(k: int, window: int):
                 if held is not None and held[0] == part:
                     out.append(_compare(held, selected, text, own, k, window))
                 held, selected, ended = (None if ahead else (part, doc_id, text)), own, bool(ahead)
+                if len(out) >= 512:
+                    yield _batch(out)
+                    out = []
             yield _batch(out)
 
     return run
