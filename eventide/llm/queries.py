@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fmindex import contamination
+from .ppm import language_model_scores
 from .simhash import near_duplicates
 from .suffixdedup import remove_repeats
 from .tokenids import token_ids
@@ -20,6 +21,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"), order=6, folds=7, fold=2)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -39,6 +44,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
+    "op3_ppm": op3_ppm,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
