@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_rows, chunked, shuffle_partitions
+from .common import bounded_batches, chunk_rows, chunked, shuffle_partitions
+from .fmindex import merge_spans
 from .winnowing import gram_hashes, window_minima
 
 MASK48 = np.uint64((1 << 48) - 1)
@@ -137,11 +138,20 @@ def _all_runs(rows: list[tuple[int | None, bytes]], length: int, k: int) -> tupl
     return of, *(np.concatenate([x[i] for x in each]) if each else np.zeros(0, np.int64) for i in range(3))
 
 
-SEGMENTS = "suffix long, segment binary, least long, greatest long, chunk int, runs binary"
+def _deltas(values) -> bytes:
+    """Long values as differences, which the shuffle's compression makes small."""
+    return np.diff(np.asarray(values, np.int64), prepend=0).astype("<i8").tobytes()
 
 
-def _segments(length: int, k: int):
-    """Bytes of every run whose fingerprint is in more than one document; equal ones of a chunk are one row."""
+def _undelta(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<i8"))
+
+
+SEGMENTS = "share int, chunk int, suffixes binary, lengths binary, segments binary, least binary, spread binary, n_runs binary, runs binary"
+
+
+def _segments(length: int, k: int, shares: int):
+    """Bytes of every run whose fingerprint is in more than one document, by share; equal ones of a chunk are one segment."""
 
     def run(chunk: pa.Table, shared: pa.Table) -> pa.Table:
         rows = chunk_rows(chunk)
@@ -152,56 +162,98 @@ def _segments(length: int, k: int):
         for i, r, a, n in zip(pick.tolist(), of[pick].tolist(), first[pick].tolist(), count[pick].tolist()):
             if rows[r][0] is not None:
                 found.setdefault(rows[r][1][a : a + n + length - 1], []).append(i)
-        own = [[rows[of[i]][0] for i in x] for x in found.values()]
-        return pa.table({
-            "suffix": pa.array([int(keys[x[0]]) for x in found.values()], pa.int64()),
-            "segment": pa.array(list(found), pa.binary()),
-            "least": pa.array([min(x) for x in own], pa.int64()),
-            "greatest": pa.array([max(x) for x in own], pa.int64()),
-            "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(found), pa.int32()),
-            "runs": pa.array([np.array(x, "<u4").tobytes() for x in found.values()], pa.binary()),
-        })
+        segments, runs = list(found), list(found.values())
+        suffixes = keys[np.array([x[0] for x in runs], np.int64)]
+        share = (suffixes % np.uint64(shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        cuts = np.searchsorted(share[order], np.arange(shares + 1))
+        out = []
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                own = order[a:b].tolist()
+                docs = [[rows[of[x]][0] for x in runs[j]] for j in own]
+                least = np.array([min(d) for d in docs], np.int64)
+                spread = np.array([max(d) for d in docs], np.int64) - least
+                out.append((i, pack48(suffixes[order[a:b]]), np.array([len(segments[j]) for j in own], "<u4").tobytes(), b"".join([segments[j] for j in own]), _deltas(least), spread.tobytes(), np.array([len(runs[j]) for j in own], "<u4").tobytes(), _deltas([x for j in own for x in runs[j]])))
+        columns = list(zip(*out)) or [()] * 8
+        n = chunk.column("chunk")[0].as_py() if chunk.num_rows else 0
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array([n] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return run
 
 
+ANSWERS = "chunk int, whole binary, least binary, parts binary, sizes binary, values binary"
+
+
 def _resolve(length: int):
-    """Over segments sorted by fingerprint: for each, the least document that has each of its strings (one value if all are equal)."""
+    """Over the segments of one share: for each run whose bytes an earlier document has, the least document of its strings.
+
+    ``whole`` runs have one such document for all their strings (``least``); ``parts`` have ``values``, one for each.
+    """
 
-    def group(rows: list[tuple]) -> Iterator[tuple]:
-        least: dict[bytes, int] = {}
-        for segment, low, *_ in rows:
-            least[segment] = min(least.get(segment, NO_DOC), low)
-        if len(least) > 1:
+    def share(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        suffixes, segments, least, spread, chunks, runs = [], [], [], [], [], []
+        for i, row in enumerate(rows):
+            suffixes.append(unpack48(row["suffixes"]))
+            ends = np.cumsum(np.frombuffer(row["lengths"], "<u4"), dtype=np.int64).tolist()
+            segments += [row["segments"][a:e] for a, e in zip([0, *ends], ends)]
+            least.append(_undelta(row["least"]))
+            spread.append(np.frombuffer(row["spread"], "<i8"))
+            chunks += [i] * len(ends)
+            runs += np.split(_undelta(row["runs"]), np.cumsum(np.frombuffer(row["n_runs"], "<u4"), dtype=np.int64)[:-1])
+        suffixes, least = np.concatenate(suffixes), np.concatenate(least)
+        high = least + np.concatenate(spread)
+        order = np.argsort(suffixes, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], suffixes[order][1:] != suffixes[order][:-1]])).tolist()
+        order_list, low, high_list = order.tolist(), least.tolist(), high.tolist()
+        whole: list[list] = [[] for _ in rows]
+        parts: list[list] = [[] for _ in rows]
+        for a, e in zip(cuts, [*cuts[1:], len(order_list)]):
+            own = order_list[a:e]
+            first = segments[own[0]]
+            if all(segments[j] == first for j in own):
+                earliest = min(low[j] for j in own)
+                for j in own:
+                    if earliest < high_list[j]:
+                        whole[chunks[j]].append((j, earliest))
+                continue
+            of_segment: dict[bytes, int] = {}
+            for j in own:
+                of_segment[segments[j]] = min(of_segment.get(segments[j], NO_DOC), low[j])
             strings: dict[bytes, int] = {}
-            for segment, low in least.items():
-                for i in range(len(segment) - length + 1):
-                    s = segment[i : i + length]
-                    if strings.get(s, NO_DOC) > low:
-                        strings[s] = low
-            each = {x: [strings[x[i : i + length]] for i in range(len(x) - length + 1)] for x in least}
-        else:
-            each = {x: [v] for x, v in least.items()}
-        for segment, _, high, chunk, runs in rows:
-            values = each[segment]
-            if min(values) < high:
-                yield chunk, runs, values if min(values) != max(values) else values[:1]
+            for x, doc in of_segment.items():
+                for i in range(len(x) - length + 1):
+                    t = x[i : i + length]
+                    if strings.get(t, NO_DOC) > doc:
+                        strings[t] = doc
+            each = {x: [strings[x[i : i + length]] for i in range(len(x) - length + 1)] for x in of_segment}
+            for j in own:
+                values = each[segments[j]]
+                earliest = min(values)
+                if earliest < high_list[j]:
+                    if max(values) == earliest:
+                        whole[chunks[j]].append((j, earliest))
+                    else:
+                        parts[chunks[j]].append((j, values))
+        out = []
+        for row, w, p in zip(rows, whole, parts):
+            if w or p:
+                at = [runs[j] for j, _ in w]
+                p = [(x, v) for j, v in p for x in runs[j].tolist()]
+                out.append((row["chunk"], np.concatenate(at).astype("<u4").tobytes() if at else b"", _deltas(np.repeat([v for _, v in w], [len(x) for x in at]) if at else []), np.array([x for x, _ in p], "<u4").tobytes(), np.array([len(v) for _, v in p], "<u4").tobytes(), _deltas([y for _, v in p for y in v])))
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        held: list[dict] = []
         for b in batches:
-            out: list[tuple] = []
-            for suffix, *row in zip(*[b.column(i).to_pylist() for i in range(6)]):
-                if suffix != key:
-                    out += group(held)
-                    key, held = suffix, []
+            for row in b.to_pylist():
+                if held and row["share"] != held[0]["share"]:
+                    yield from share(held)
+                    held = []
                 held.append(row)
-            yield answers(out)
-        yield answers(list(group(held)))
-
-    def answers(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["chunk", "runs", "least"])
+        if held:
+            yield from share(held)
 
     return run
 
@@ -215,25 +267,32 @@ def _remove(length: int, k: int, keep_text: bool):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         rows = chunk_rows(chunk)
         of, first, count, _ = _all_runs(rows, length, k)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for runs, values in zip(answers.column("runs").to_pylist(), answers.column("least").to_pylist()):
-            for i in np.frombuffer(runs, "<u4").tolist():
-                r, a, n = int(of[i]), int(first[i]), int(count[i])
-                if len(values) == 1:
-                    if values[0] < rows[r][0]:
-                        spans.setdefault(r, []).append((a, a + n + length - 1))
-                else:
-                    spans.setdefault(r, []).extend((a + j, a + j + length) for j, v in enumerate(values) if v < rows[r][0])
+        docs = np.array([NO_DOC if d is None else d for d, _ in rows], np.int64)
+        base = np.cumsum([0, *(len(t) + 1 for _, t in rows)])  # spans of neighbouring texts never touch
+        spans = [np.zeros((0, 2), np.int64)]
+        for row in answers.to_pylist():
+            at = np.frombuffer(row["whole"], "<u4").astype(np.int64)
+            at = at[_undelta(row["least"]) < docs[of[at]]]
+            start = base[of[at]] + first[at]
+            spans.append(np.stack([start, start + count[at] + length - 1], axis=1))
+            sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+            at = np.repeat(np.frombuffer(row["parts"], "<u4").astype(np.int64), sizes)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            start = (base[of[at]] + first[at] + step)[_undelta(row["values"]) < docs[of[at]]]
+            spans.append(np.stack([start, start + length], axis=1))
+        every = np.concatenate(spans)
+        every = merge_spans(every) if len(every) else every
+        own = np.searchsorted(every[:, 0], base)
         out = []
         for r, (doc_id, text) in enumerate(rows):
-            kept, end, n_spans = [], 0, 0
-            for a, e in sorted(spans.get(r, ())):
-                if a > end or not n_spans:
-                    n_spans += 1
-                    kept.append(text[end:a])
-                end = max(end, e)
-            kept = b"".join([*kept, text[end:]])
-            out.append((doc_id, len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            kept, end = text, 0
+            if own[r + 1] > own[r]:
+                parts = []
+                for a, e in (every[own[r] : own[r + 1]] - base[r]).tolist():
+                    parts.append(text[end:a])
+                    end = e
+                kept = b"".join([*parts, text[end:]])
+            out.append((doc_id, len(text), len(text) - len(kept), int(own[r + 1] - own[r]), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         columns = list(zip(*out)) or [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=[c.split()[0] for c in RESULT.split(", ")])
 
@@ -252,10 +311,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, keep_text: bo
     fingerprint on very many rows is a few bytes for each chunk, and equal segments of a chunk are one row.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shuffle_partitions(spark)
     chunks = chunked(docs)
     suffixes = chunks.groupBy("chunk").applyInArrow(_suffixes(length, k, n), "share int, chunk int, suffixes binary, repeated binary")
     shared = suffixes.repartitionById(n, F.col("share")).sortWithinPartitions("share", "chunk").mapInArrow(_shared_suffixes, "chunk int, suffixes binary")
-    segments = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length, k), SEGMENTS)
-    answers = segments.repartition(n, "suffix").sortWithinPartitions("suffix").mapInArrow(_resolve(length), "chunk int, runs binary, least array<long>")
+    segments = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length, k, n), SEGMENTS)
+    answers = segments.repartitionById(n, F.col("share")).sortWithinPartitions("share").mapInArrow(_resolve(length), ANSWERS)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, k, keep_text), RESULT)
