@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, shared_dir, shuffle_partitions
+from .common import as_text, bounded_batches, shared_dir, shuffle_partitions
 
 #: For each control byte: the four lengths and their sum.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -80,7 +80,7 @@ class Encoder:
     parts are encoded one by one. The memory of parts is emptied when it holds more than ``limit``.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -243,6 +243,7 @@ def _ranges(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 20) -> None:
     """Encode every row of ``docs`` and write the blocks to ``path``, in ascending (doc_id, ids) order over shards."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranged, n = _ranges(docs, max(shuffle_partitions(spark), 4))
     wide = _id_type(tokenizer_path, end_id)
 
