@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, bounded_batches, materialize
 
 #: A word byte: 0-9, a-z (A-Z lowered) and all beyond ASCII; others split words.
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -251,6 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     A block of phrases is broadcast: its size is bounded by ``block_bytes``. A benchmark of one block needs no shuffle; with
     more, the documents are read once for each block and the hits of a row are brought together.
     """
+    bounded_batches(docs.sparkSession)
     every = blocks(benchmark, window, block_bytes)
     phrases, following = next(every), next(every, ...)
     if following is ...:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, materialize, shuffle_partitions
+from .common import LOWER, as_bytes, bounded_batches, materialize, shuffle_partitions
 from .components import components
 
 
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, distance: int =
     one without words (fingerprint zero). A null doc_id is linked as any other but never names a component unless all
     ids of its component are null; repeated rows are kept. An empty table gives an empty result. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     own = materialize(fingerprints(docs, k, seed), "simhash")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(near_links(distinct.select("fp"), distance, list_limit), "simhash-links")
