@@ -74,8 +74,7 @@ class Encoder:
     """Ids of whole texts, from ids of their distinct parts.
 
     The tokenizer never joins characters across a space or a line end, so a text's ids are those of its parts between
-    them, in order. Nor does it join letters with the signs after them or tell cases apart, so parts share their letters'
-    ids. Parts seen before are looked up; new ones of many texts are encoded in one call. Where one ends shows in the ids
+    them, in order. Parts seen before are looked up; new ones of many texts are encoded in one call. Where one ends shows in the ids
     themselves: the vocabulary marks the last id of each word, and a part of plain form has a known number of words. Other
     parts are encoded one by one. The memory of parts is emptied when it holds more than ``limit``.
     """
@@ -100,8 +99,7 @@ class Encoder:
         return _ENCODERS[path]
 
     def clear(self) -> None:
-        self.places, self.units = _Places(), _Places()
-        self.unit_starts, self.unit_lengths, self.unit_tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.places = _Places()
         self.starts, self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -111,7 +109,7 @@ class Encoder:
             self.clear()
         counts, parts = [], []
         for t in texts:
-            own = t.replace("\n", " ").split(" ")
+            own = _plain(t).replace("\n", " ").split(" ")
             counts.append(len(own))
             parts += own
         at = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
@@ -128,22 +126,6 @@ class Encoder:
         new, self.places.new = self.places.new, []
         if not new:
             return
-        halves = [_halves(x) for x in new]
-        stem = np.fromiter((self.units[a] for a, _ in halves), np.int64, len(new))
-        tail = np.fromiter((self.units[b] for _, b in halves), np.int64, len(new))
-        self._learn_units()
-        lengths = np.stack([self.unit_lengths[stem], self.unit_lengths[tail]], axis=1)
-        starts = np.stack([self.unit_starts[stem], self.unit_starts[tail]], axis=1).ravel()
-        ends = np.cumsum(lengths.ravel())
-        gather = np.repeat(starts - (ends - lengths.ravel()), lengths.ravel())
-        gather += np.arange(len(gather))
-        both = lengths.sum(axis=1)
-        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(both) - both])
-        self.lengths = np.concatenate([self.lengths, both])
-        self.tokens = np.concatenate([self.tokens, self.unit_tokens[gather]])
-
-    def _learn_units(self) -> None:
-        new, self.units.new = self.units.new, []
         n_words = [_word_count(x) for x in new]
         plain = [i for i, n in enumerate(n_words) if n]
         lengths, found = np.zeros(len(new), np.int64), [np.zeros(0, self.kind)]
@@ -166,9 +148,9 @@ class Encoder:
                 lengths[i] = len(found[-1])
                 order.append(i)
         starts = np.empty(len(new), np.int64)
-        starts[order] = len(self.unit_tokens) + np.cumsum(lengths[order]) - lengths[order]
-        self.unit_starts, self.unit_lengths = np.concatenate([self.unit_starts, starts]), np.concatenate([self.unit_lengths, lengths])
-        self.unit_tokens = np.concatenate([self.unit_tokens, *found])
+        starts[order] = len(self.tokens) + np.cumsum(lengths[order]) - lengths[order]
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.tokens = np.concatenate([self.tokens, *found])
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
@@ -178,17 +160,20 @@ _ENCODERS: dict[str, Encoder] = {}
 _ASCII_WORDS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\s]+")
 
 
-_LETTERS_THEN_SIGNS = re.compile(r"([A-Za-z]+)([^A-Za-z0-9\s']+)")
+#: A stop or comma between a letter and white space is a word of its own.
+_STOP = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=[ \n])")
 
 
-def _halves(part: str) -> tuple[str, str]:
-    """Two pieces of ``part`` that the tokenizer parts anyway: letters in one case, and the signs after them."""
-    if part.isascii():
-        if part.isalpha():
-            return part.lower(), ""
-        m = _LETTERS_THEN_SIGNS.fullmatch(part)
-        return (m[1].lower(), m[2]) if m else (part, "")
-    return (part[:-1], part[-1]) if part[-1] in ".," and part[:-1].isalpha() else (part, "")
+def _plain(text: str) -> str:
+    """``text`` with the same ids but fewer distinct parts: in lower case, as the tokenizer has it, and stops set apart.
+
+    Only for texts of Latin-1 letters, whose lower case nothing but the letter decides.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else _STOP.sub(r" \g<0>", text.lower())
 
 
 def _word_count(part: str) -> int:
