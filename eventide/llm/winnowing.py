@@ -154,9 +154,8 @@ def edited_fingerprints(docs: DataFrame, k: int = 12, window: int = 24) -> DataF
     if not used:
         return spark.createDataFrame([], SCHEMA)
     before = {p: used[i - 1] for i, p in enumerate(used)}  # the first range's head follows the last range
-    also = F.lit(None).cast("int")
-    for p in used:
-        also = F.when((F.col("part") == p) & (at == heads[p][0]) & (F.xxhash64("text") == heads[p][1]), F.lit(before[p])).otherwise(also)
+    head = F.get(F.array(*[F.struct(*[F.lit(x).cast("bigint") for x in (*heads.get(p, (None, None)), before.get(p))]) for p in range(used[-1] + 1)]), F.col("part"))
+    also = F.when((at == head["col1"]) & (F.xxhash64("text") == head["col2"]), head["col3"].cast("int"))
     dealt = rows.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("part"), F.lit(0).alias("ahead")), F.struct(also.alias("part"), F.lit(1).alias("ahead"))), lambda x: x["part"].isNotNull())).alias("to"))
     dealt = dealt.select(F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
     ranged = dealt.repartitionById(used[-1] + 1, F.col("part")).sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
