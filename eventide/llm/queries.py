@@ -13,9 +13,14 @@ from .ppm import language_model_scores
 from .simhash import near_duplicates
 from .suffixdedup import remove_repeats
 from .tokenids import token_ids
+from .toxicity import toxicity
 from .winnowing import edited_fingerprints
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -43,6 +48,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
     "op3_ppm": op3_ppm,
     "op5_decontamination": op5_decontamination,
