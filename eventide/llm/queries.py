@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .fmindex import contamination
+from .pii import pseudonymise
 from .ppm import language_model_scores
 from .simhash import near_duplicates
 from .suffixdedup import remove_repeats
@@ -39,6 +41,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, seed=42, distance=3)
 
 
+#: A key of the caller's own would come from a secret store; the query's is fixed, so that its results can be held against others.
+PII_KEY = "op8"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.concat_ws(",", "pii_kinds").alias("kinds"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, k=20).drop("kept")
 
@@ -53,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm": op3_ppm,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_winnowing": op10_winnowing,
 }
