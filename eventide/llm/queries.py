@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fmindex import contamination
+from .pieces import sampled_pieces
 from .pii import pseudonymise
 from .ppm import language_model_scores
 from .simhash import near_duplicates
@@ -32,6 +33,11 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"), order=6, folds=7, fold=2)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), theta=0.3, seed=4)
+    return found.select("doc_id", "n_pieces", "log_probability", "ids_crc32", "decoded")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
     "op3_ppm": op3_ppm,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
