@@ -241,7 +241,7 @@ def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phra
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20, block_bytes: int = 4 << 20, shard_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) for every row of ``docs``.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items, text_hash) for every row of ``docs``.
 
     A window is ``window`` neighbouring words of an item, or a shorter item as a whole; a word inside any occurrence is
     hit. ``spans`` are the merged hit words as [first, end, ...], which a caller can cut out. contaminated: some word is
@@ -255,7 +255,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     every = blocks(benchmark, window, block_bytes)
     phrases, following = next(every), next(every, ...)
     if following is ...:
-        found = _hits(docs, phrases, shard_bytes)
+        found = _hits(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), phrases, shard_bytes, ("doc_id", "text_hash"))
     else:
         carry = ("doc_id", "text_hash", "copies")
         rows = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash"), "text").agg(F.count("*").alias("copies"))
@@ -275,9 +275,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
         ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
         "items",
+        "text_hash",
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
+    """The rows of ``docs`` that :func:`contamination` doesn't flag, unchanged, with all their columns.
+
+    Rows are told apart by doc_id and text, so a clean row stays even if another of the same id goes.
+    """
+    flagged = contamination(docs, benchmark, window, one_in).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(flagged, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+
+
 def _merge_blocks(found: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The hits of all blocks of phrases, brought together for each row."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("spans"), F.lit(2)), lambda i: F.struct(F.element_at("spans", i).alias("a"), F.element_at("spans", i + 1).alias("e")))

@@ -48,14 +48,14 @@ def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every row of ``docs``; a null text has no words and gets 0."""
+    """(doc_id, text_hash, fp) as longs for every row of ``docs``; a null text has no words and gets fp 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t, k, seed) for t in as_bytes(b.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([simhash(t, k, seed) for t in as_bytes(b.column(2))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def position_sets(shared: int, size: int) -> list[tuple[int, ...]]:
@@ -186,10 +186,29 @@ def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, distance: int =
     one without words (fingerprint zero). A null doc_id is linked as any other but never names a component unless all
     ids of its component are null; repeated rows are kept. An empty table gives an empty result. Other columns are ignored.
     """
+    found = _linked(docs, k, seed, distance, list_limit)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _linked(docs: DataFrame, k: int, seed: int, distance: int, list_limit: int) -> DataFrame:
+    """(doc_id, text_hash, fp, group, component_id) for every row; group is a fingerprint that names the component."""
     bounded_batches(docs.sparkSession)
     own = materialize(fingerprints(docs, k, seed), "simhash")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(near_links(distinct.select("fp"), distance, list_limit), "simhash-links")
     named = linked.join(distinct, linked["node"] == distinct["fp"]).groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    ids = materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").join(named, "component", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-ids")
-    return own.join(ids, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = materialize(distinct.join(linked, distinct["fp"] == linked["node"], "left").join(named, "component", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-ids")
+    return own.join(ids, "fp", "left").select("doc_id", "text_hash", "fp", "group", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3, list_limit: int = 4096) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that with the smallest doc_id, ties by hash of the text.
+
+    Groups are those of :func:`near_duplicates`; repeated rows are one group. A group whose ids are all null keeps a row too.
+    """
+    linked = _linked(docs, k, seed, distance, list_limit)
+    first = F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
+    kept = linked.groupBy("group").agg(F.min("doc_id").alias("_id"), first.alias("_hash")).select("_id", "_hash")
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
