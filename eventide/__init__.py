@@ -1,0 +1 @@
+"""Event-cohort analytics on Spark."""
