@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fmindex import contamination
+from .labelled import labelled_pages
+from .mainhtml import fit, main_text
 from .pieces import sampled_pieces
 from .pii import pseudonymise
 from .ppm import language_model_scores
@@ -43,6 +45,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"), fit(labelled_pages(600, seed=6)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, seed=42, distance=3)
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm": op3_ppm,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_html": op6_html,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
