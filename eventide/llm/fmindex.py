@@ -285,7 +285,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     Rows are told apart by doc_id and text, so a clean row stays even if another of the same id goes.
     """
     flagged = contamination(docs, benchmark, window, one_in).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(flagged, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["_id"]) & (F.xxhash64(docs["text"]) == flagged["_hash"]), "left_anti")
 
 
 def _merge_blocks(found: DataFrame, carry: tuple[str, ...]) -> DataFrame:

@@ -209,6 +209,9 @@ def one_of_each(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3,
     linked = _linked(docs, k, seed, distance, list_limit)
     first = F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
     kept = linked.groupBy("group").agg(F.min("doc_id").alias("_id"), first.alias("_hash")).select("_id", "_hash")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_hash"] == kept["_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    own = "_text_hash"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows[own] == kept["_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
