@@ -128,10 +128,9 @@ def transform(rows: DataFrame, weights: Weights, column: str = "embedding", key:
         for b in batches:
             vectors = b.column(1).to_pylist()
             some = [i for i, v in enumerate(vectors) if v is not None]
-            x = np.array([vectors[i] for i in some], np.float64).reshape(len(some), -1)
             codes, back = [None] * len(vectors), [None] * len(vectors)
             if some:
-                h = shared.value.encode(x)
+                h = shared.value.encode(np.array([vectors[i] for i in some], np.float64))
                 for i, a, c in zip(some, h.tolist(), shared.value.decode(h).tolist()):
                     codes[i], back[i] = a, c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, kind), pa.array(codes, kind), pa.array(back, kind)], names=[key, "x", "h", "xhat"])

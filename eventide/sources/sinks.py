@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,11 +16,9 @@ def read_or_compute(spark: SparkSession, root: str, name: str, fingerprint: str,
     success mark is from a run that broke off, and is written anew.
     """
     path = f"{root.rstrip('/')}/{name}/{fingerprint}"
-    try:
-        if spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count():
-            return spark.read.parquet(path)
-    except AnalysisException:
-        pass
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
