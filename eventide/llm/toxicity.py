@@ -82,32 +82,35 @@ def fit(texts: list[bytes], labels: np.ndarray, min_documents: int = 4, max_feat
     """Weights by Adam on the full sample, for the ``max_features`` that tell most about the document labels."""
     if not len(texts) or not labels.any():
         return Toxicity({}, -8.0)
-    tokenised = [marked_words(t) for t in texts]
-    known: dict[bytes, list[bytes]] = {STOP: []}
+    ids: dict[bytes, int] = {STOP: 0}
+    numbered = []  # words as numbers: a few bytes each
+    for t in texts:
+        found = marked_words(t)
+        numbered.append(np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int32, len(found)))
+    known = [[] if w == STOP else features(w) for w in ids]
     toxic, all_ = Counter(), Counter()
-    for found, label in zip(tokenised, labels.tolist()):
-        own = set()
-        for w in set(found):
-            if w not in known:
-                known[w] = features(w)
-            own.update(known[w])
+    for found, label in zip(numbered, labels.tolist()):
+        own = {f for w in np.unique(found).tolist() for f in known[w]}
         all_.update(own)
         if label:
             toxic.update(own)
     share = labels.mean()
     surprise = {f: (toxic[f] - n * share) ** 2 / (n * share * (1 - share) + 1) for f, n in all_.items() if n >= min_documents and toxic[f] > n * share}
     number = {f: i for i, f in enumerate(sorted(surprise, key=lambda f: (-surprise[f], f))[:max_features])}
-    ids = {w: [number[f] for f in own if f in number] for w, own in known.items()}
-    words, sentence, document = [], [], []
-    for d, found in enumerate(tokenised):
-        document.append(d)
-        for w in found:
-            if w == STOP:
-                document.append(d)
-            elif own := ids[w]:
-                words += own
-                sentence += [len(document) - 1] * len(own)
-    bags = Bags(np.array(words, np.int64), np.array(sentence, np.int64), np.array(document, np.int64), labels.astype(np.float64))
+    of_word = [[number[f] for f in own if f in number] for own in known]
+    sizes = np.array([len(x) for x in of_word])
+    flat, starts = np.array([x for own in of_word for x in own], np.int64), np.cumsum(sizes) - sizes
+    words, sentence, document, n_sentences = [], [], [], 0
+    for d, found in enumerate(numbered):
+        n = sizes[found]
+        at = np.repeat(starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        stops = np.cumsum(found == 0)
+        words.append(flat[at])
+        sentence.append(np.repeat(n_sentences + stops, n))
+        own = int(stops[-1]) + 1 if len(stops) else 1
+        document.append(np.full(own, d))
+        n_sentences += own
+    bags = Bags(*map(np.concatenate, (words, sentence, document)), labels.astype(np.float64))
     theta = np.zeros(len(number) + 1)
     theta[-1] = -6.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -148,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 6000, max_byt
     own = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_documents)
     texts = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(F.broadcast(own), "doc_id")  # max_documents bounds its size
-    sample = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).collect()
-    return fit([r["text"].encode() for r in sample], np.array([int(r["toxic"] > 0) for r in sample]))
+    sample = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    rows = sample.select(F.col("text").cast("binary").alias("text"), "toxic").toArrow()
+    return fit(rows.column("text").to_pylist(), np.array([int(x > 0) for x in rows.column("toxic").to_pylist()]))
 
 
 SCORES = "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>"
