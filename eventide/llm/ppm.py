@@ -7,16 +7,20 @@ contexts alike; what they leave is shared among the seen bytes by count less one
 not yet excluded are equally likely. Since the counts don't change while a text is scored, a context's exclusions are
 those of one node, and everything but lookups is worked out once.
 
+The trie stays in shares, level by level, at every size: no task holds it whole. Each chunk of texts asks the shares for its
+distinct grams; the few that the longest contexts haven't seen go down the levels' shares until one has them.
+
 Texts are scored as their lower-cased words with one space between them, then an end.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +102,7 @@ class Contexts:
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         self.grams, self.counts = grams, counts
         contexts = grams >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))[: len(grams)]
         self.keys, self.of = contexts[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grams))))
         self.total, self.distinct = np.add.reduceat(counts, first), np.diff(np.append(first, len(grams)))
         self.left_total = self.left_distinct = None
@@ -120,20 +124,26 @@ class Escapes:
 
     TOTALS, DISTINCT = 64, 24
 
-    def __init__(self, level: Contexts):
-        once = np.bincount(level.of[level.counts == 1], minlength=len(level.keys))
-        size = self.TOTALS * self.DISTINCT
-        more = level.total > 1
-        total, distinct, once = level.total[more], level.distinct[more], once[more]
-        escaped = np.bincount(self._class(total - 1, np.maximum(distinct - 1, 1)), weights=once, minlength=size)
-        stayed = np.bincount(self._class(total - 1, distinct), weights=total - once, minlength=size)
+    def __init__(self, escaped: np.ndarray, stayed: np.ndarray):
         at_most = np.arange(1, self.DISTINCT + 1)[None, :] / 2.0 ** (np.arange(self.TOTALS)[:, None] / 2)
         prior = np.clip(0.5 * at_most, 1e-4, 0.5).ravel()  # distinct / (2 total), where nothing is known
         self.table = np.clip((escaped + 2 * prior) / (escaped + stayed + 2), 1e-7, 0.95)
 
-    def _class(self, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        t = np.minimum((2 * np.log2(np.maximum(total, 1))).astype(np.int64), self.TOTALS - 1)
-        return t * self.DISTINCT + np.minimum(distinct.astype(np.int64), self.DISTINCT) - 1
+    @classmethod
+    def sums(cls, level: Contexts) -> tuple[np.ndarray, np.ndarray]:
+        """How often the contexts of each class escaped and stayed; sums of several shares add up."""
+        once = np.bincount(level.of[level.counts == 1], minlength=len(level.keys))
+        size = cls.TOTALS * cls.DISTINCT
+        more = level.total > 1
+        total, distinct, once = level.total[more], level.distinct[more], once[more]
+        escaped = np.bincount(cls._class(total - 1, np.maximum(distinct - 1, 1)), weights=once, minlength=size)
+        stayed = np.bincount(cls._class(total - 1, distinct), weights=total - once, minlength=size)
+        return escaped, stayed
+
+    @classmethod
+    def _class(cls, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        t = np.minimum((2 * np.log2(np.maximum(total, 1))).astype(np.int64), cls.TOTALS - 1)
+        return t * cls.DISTINCT + np.minimum(distinct.astype(np.int64), cls.DISTINCT) - 1
 
     def of(self, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         return self.table[self._class(total, np.maximum(distinct, 1))]
@@ -141,10 +151,36 @@ class Escapes:
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of ``keys``; -1 where there is none."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+def seen_log(escapes: Escapes, count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """log10 probability of a byte that its context has seen ``count`` times."""
+    return np.log10((1 - escapes.of(total, distinct)) * (count - 0.5) / (total - 0.5 * distinct))
+
+
+def descend(level: Contexts, escapes: Escapes, d: int, keys: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One level of scoring: (gain, hit, total, distinct) of each key at the contexts of ``d`` bytes.
+
+    ``total`` and ``distinct`` are what the longer node leaves of this one, NaN where no longer node is known; returned is
+    what this one leaves of the next.
+    """
+    total, distinct, gain = total.copy(), distinct.copy(), np.zeros(len(keys))
+    gram = keys & np.uint64((1 << 8 * (d + 1)) - 1)
+    node, place = _find(level.keys, gram >> np.uint64(8)), _find(level.grams, gram)
+    fresh = np.isnan(total) & (node >= 0)
+    total[fresh], distinct[fresh] = level.total[node[fresh]], level.distinct[node[fresh]]
+    hit = place >= 0
+    gain[hit] = seen_log(escapes, level.counts[place[hit]], total[hit], distinct[hit])
+    miss = ~hit & ~np.isnan(total) & (total > 0)
+    gain[miss] = np.log10(escapes.of(total[miss], distinct[miss]))
+    left = level.left_total is not None
+    return gain, hit, np.where(node >= 0, level.left_total[node], np.nan) if left else np.full(len(keys), np.nan), np.where(node >= 0, level.left_distinct[node], np.nan) if left else np.full(len(keys), np.nan)
+
+
 class Model:
     """Pretrained trie over grams of ``order`` + 1 bytes: sorted ``grams`` with their ``counts``."""
 
@@ -159,13 +195,10 @@ class Model:
             d = order - i - 1
             longer.exclude_from(shorter, (1 << 8 * (d + 1)) - 1, (1 << 8 * d) - 1)
         top = self.levels[0]
-        self.escapes = [Escapes(x) for x in self.levels] if len(grams) else []
-        logs = self._seen(0, top.counts, top.total[top.of], top.distinct[top.of]) if len(grams) else np.zeros(0)
+        self.escapes = [Escapes(*Escapes.sums(x)) for x in self.levels] if len(grams) else []
+        logs = seen_log(self.escapes[0], top.counts, top.total[top.of], top.distinct[top.of]) if len(grams) else np.zeros(0)
         self.top = HashTable(top.grams, logs)
 
-    def _seen(self, i: int, count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        return np.log10((1 - self.escapes[i].of(total, distinct)) * (count - 0.5) / (total - 0.5 * distinct))
-
     def scores(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each key after the others."""
         out = self.top.get(keys).astype(np.float64) if len(self.levels[0].grams) else np.full(len(keys), np.nan)
@@ -177,27 +210,17 @@ class Model:
 
     def _escaped(self, keys: np.ndarray) -> np.ndarray:
         """As :meth:`scores`, for keys that the longest contexts haven't seen."""
-        n = len(keys)
-        out, open_ = np.zeros(n), np.arange(n)
-        total, distinct = np.full(n, np.nan), np.full(n, np.nan)  # of the node, without exclusions from above
+        return self.rest(keys, np.full(len(keys), np.nan), np.full(len(keys), np.nan))
+
+    def rest(self, keys: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Gains of all levels; ``total`` and ``distinct`` as in :func:`descend`."""
+        out, open_ = np.zeros(len(keys)), np.arange(len(keys))
         for i, level in enumerate(self.levels):
-            d = self.order - i
             if not len(level.grams):
                 break
-            gram = keys[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
-            node, place = _find(level.keys, gram >> np.uint64(8)), _find(level.grams, gram)
-            fresh = np.isnan(total[open_]) & (node >= 0)
-            total[open_[fresh]], distinct[open_[fresh]] = level.total[node[fresh]], level.distinct[node[fresh]]
-            t, u = total[open_], distinct[open_]
-            hit, known = place >= 0, ~np.isnan(t)
-            out[open_[hit]] += self._seen(i, level.counts[place[hit]], t[hit], u[hit])
-            miss = ~hit & known & (t > 0)
-            out[open_[miss]] += np.log10(self.escapes[i].of(t[miss], u[miss]))
-            open_, node = open_[~hit], node[~hit]
-            seen = node >= 0
-            left = level.left_total is not None
-            total[open_] = np.where(seen, level.left_total[node], np.nan) if left else np.nan
-            distinct[open_] = np.where(seen, level.left_distinct[node], np.nan) if left else np.nan
+            gain, hit, total, distinct = descend(level, self.escapes[i], self.order - i, keys[open_], total, distinct)
+            out[open_] += gain
+            open_, total, distinct = open_[~hit], total[~hit], distinct[~hit]
         root = self.levels[-1]
         out[open_] -= math.log10(SYMBOLS - (int(root.distinct[0]) if len(root.keys) else 0))
         return out
@@ -255,7 +278,8 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
         h = np.fromiter(map(word_hash, words), np.uint64, len(words))
         out = _by_share("word", h, np.fromiter(words.values(), np.int64, len(words)), shares)
         if grams:
-            out += _by_share("gram", *_sum_counts(grams), shares)
+            keys, counts = _sum_counts(grams)
+            out += _by_share("gram", keys, counts, shares, _middle(keys, order))
         columns = list(zip(*out)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "share", "keys", "counts"])
 
@@ -275,8 +299,14 @@ def _share_of(keys: np.ndarray, shares: int) -> np.ndarray:
     return ((keys * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(shares)).astype(np.int64)
 
 
-def _by_share(kind: str, keys: np.ndarray, counts: np.ndarray, shares: int) -> list[tuple]:
-    share = _share_of(keys, shares)
+def _middle(grams: np.ndarray, d: int) -> np.ndarray:
+    """Grams of ``d`` + 1 bytes without their first and last. Grams alike in these are in one share, so that it can sum up
+    the next shorter grams and the exclusions by itself."""
+    return (grams >> np.uint64(8)) & np.uint64((1 << 8 * (d - 1)) - 1)
+
+
+def _by_share(kind: str, keys: np.ndarray, counts: np.ndarray, shares: int, by: np.ndarray | None = None) -> list[tuple]:
+    share = _share_of(keys if by is None else by, shares)
     order = np.lexsort((keys, share))
     cuts = np.searchsorted(share[order], np.arange(shares + 1))
     return [(kind, i, keys[order[a:b]].astype("<u8").tobytes(), counts[order[a:b]].astype("<i8").tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
@@ -313,94 +343,302 @@ def corpus_statistics(docs: DataFrame, order: int, folds: int, fold: int) -> Dat
     return materialize(merged, "lm-statistics")
 
 
-def fit(statistics: DataFrame, order: int, max_grams: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Grams, counts and order of the model whose contexts are as long as the bound on its size allows, up to ``order``.
-
-    All grams were counted. If there are more than ``max_grams``, each context loses its first byte and the counts are
-    summed up anew, in Spark; grams of two bytes always fit. The driver and the tasks hold no more than ``max_grams``.
-    """
-    grams = statistics.where("kind = 'gram'").select("kind", "share", "keys", "counts", "n")
-    n = shuffle_partitions(statistics.sparkSession)
-    while (grams.agg(F.sum("n")).first()[0] or 0) > max_grams and order > 1:
-        order -= 1
-        grams = materialize(grams.select("kind", "share", "keys", "counts").mapInArrow(_shorten(order, n), STATISTICS).repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, STATISTICS + ", n long, total long"), "lm-grams")
-    rows = grams.select("keys", "counts").collect()
-    keys, counts = _sum_counts([(np.frombuffer(r[0], "<u8"), np.frombuffer(r[1], "<i8")) for r in rows] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
-    return keys, counts, order
+def _shorter(d: int, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of ``d`` bytes within a share's grams of ``d`` + 1."""
+    return _sum_counts([(keys & np.uint64((1 << 8 * d) - 1), counts)])
 
 
-def _shorten(order: int, shares: int):
-    mask = np.uint64((1 << 8 * (order + 1)) - 1)
+def _shorten(d: int, shares: int):
+    """A share's grams of ``d`` bytes, by the shares of their own level."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for keys, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                out = _by_share("gram", *_sum_counts([(np.frombuffer(keys, "<u8") & mask, np.frombuffer(counts, "<i8"))]), shares)
+                own, sums = _shorter(d, np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8"))
+                out = _by_share("gram", own, sums, shares, _middle(own, d - 1) if d > 1 else np.zeros(len(own), np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "share", "keys", "counts"])
 
     return run
 
 
-def _requests(shares: int):
-    """A chunk's distinct words, by share of the counts."""
+def _level(d: int, keys: bytes, counts: bytes) -> Contexts:
+    """The nodes of ``d`` bytes in a share, and what they leave of the next shorter ones."""
+    grams, sums = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8").astype(np.float64)
+    level = Contexts(grams, sums)
+    level.exclude_from(Contexts(*_shorter(d, grams, sums)), (1 << 8 * d) - 1, (1 << 8 * (d - 1)) - 1)
+    return level
+
+
+def _escape_sums(d: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                escaped, stayed = Escapes.sums(Contexts(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8").astype(np.float64)))
+                some = np.flatnonzero((escaped > 0) | (stayed > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), d, np.int32)), pa.array(some.astype(np.int32)), pa.array(escaped[some].astype(np.int64)), pa.array(stayed[some].astype(np.int64))], names=["level", "class", "escaped", "stayed"])
+
+    return run
+
+
+class Levels(NamedTuple):
+    """The trie: shares of the grams of each level but the lowest, all escape probabilities, and a model of the lowest.
+
+    The lowest levels have contexts of at most one byte, 257 * 257 grams whatever the input, and are one small model.
+    """
+
+    shares: dict[int, DataFrame]
+    escapes: dict[int, Escapes]
+    root: Model
+
+
+def build(statistics: DataFrame, order: int) -> Levels:
+    """The levels of contexts of ``order`` bytes and fewer. Only the lowest grams and sums by class come to the driver."""
+    n = shuffle_partitions(statistics.sparkSession)
+    grams = statistics.where("kind = 'gram'").select("kind", "share", "keys", "counts")
+    low = min(order - 1, 1)
+    shares = {order: grams}
+    for d in range(order, low, -1):
+        made = shares[d].mapInArrow(_shorten(d, n), STATISTICS)
+        if d - 1 > low:
+            made = made.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, STATISTICS + ", n long, total long")
+            shares[d - 1] = materialize(made.select("kind", "share", "keys", "counts"), "lm-grams")
+    lowest = made.select("keys", "counts").toArrow()
+    parts = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")) for k, c in zip(*(lowest.column(i).to_pylist() for i in range(2)))]
+    sums = reduce(DataFrame.unionAll, [x.mapInArrow(_escape_sums(d), "level int, class int, escaped long, stayed long") for d, x in shares.items()])
+    size = Escapes.TOTALS * Escapes.DISTINCT
+    found = {d: (np.zeros(size), np.zeros(size)) for d in shares}
+    for r in sums.groupBy("level", "class").agg(F.sum("escaped").alias("escaped"), F.sum("stayed").alias("stayed")).collect():
+        found[r["level"]][0][r["class"]], found[r["level"]][1][r["class"]] = r["escaped"], r["stayed"]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Levels(shares, {d: Escapes(*x) for d, x in found.items()}, Model(*_sum_counts(parts or [none]), low))
+
+
+def _sharded(keys: np.ndarray, by: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted ``keys`` by share, and where each share starts."""
+    share = _share_of(by, shares)
+    order = np.argsort(share, kind="stable")
+    return order, np.searchsorted(share[order], np.arange(shares + 1))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: sorted grams are alike in most of their bytes."""
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def _distinct_words(texts: list[list[bytes]], shares: int) -> tuple[np.ndarray, np.ndarray]:
+    words = {b""}
+    for own in texts:
+        words.update(own)
+    keys = np.unique(np.fromiter(map(word_hash, words), np.uint64, len(words)))
+    order, cuts = _sharded(keys, keys, shares)
+    return keys[order], cuts
+
+
+#: Rows of statistics come before a share's requests.
+WORDS, GRAMS = -1, -2
+REQUESTS = "share int, chunk int, a binary, b binary, n_a int, n_b int"
+
+
+def _requests(order: int, shares: int):
+    """A chunk's distinct words and grams, by share of the statistics."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        words = {b""}
-        for text in as_bytes(chunk.column("text").combine_chunks()):
-            words.update(tokens(text))
-        keys = np.unique(np.fromiter(map(word_hash, words), np.uint64, len(words)))
-        out = _by_share("word", keys, keys, shares)
+        texts = [tokens(t) for t in as_bytes(chunk.column("text").combine_chunks())]
+        words, word_cuts = _distinct_words(texts, shares)
+        grams = np.unique(packed_grams([b" ".join(t) for t in texts], order)[0])
+        by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
+        grams = grams[by]
         n = chunk.column("chunk")[0].as_py()
-        return pa.table({"share": pa.array([r[1] for r in out], pa.int32()), "chunk": pa.array([n] * len(out), pa.int32()), "keys": pa.array([r[2] for r in out], pa.binary())})
+        out = [(i, _packed(words[a:b]), _packed(grams[c:d]), b - a, d - c) for i, (a, b, c, d) in enumerate(zip(word_cuts[:-1], word_cuts[1:], gram_cuts[:-1], gram_cuts[1:])) if b > a or d > c]
+        return pa.table({"share": pa.array([r[0] for r in out], pa.int32()), "chunk": pa.array([n] * len(out), pa.int32()), "a": pa.array([r[1] for r in out], pa.binary()), "b": pa.array([r[2] for r in out], pa.binary()), "n_a": pa.array([r[3] for r in out], pa.int32()), "n_b": pa.array([r[4] for r in out], pa.int32())})
 
     return run
 
 
-def _answers(requests: pa.Table, counts: pa.Table) -> pa.Table:
-    """For each requested word of a share its count, 0 if it isn't there."""
-    keys = np.concatenate([np.frombuffer(x, "<u8") for x in counts.column("keys").to_pylist()] or [np.zeros(0, "<u8")])
-    values = np.concatenate([np.frombuffer(x, "<i8") for x in counts.column("counts").to_pylist()] or [np.zeros(0, "<i8")])
-    out = []
-    for raw in requests.column("keys").to_pylist():
-        at = _find(keys, np.frombuffer(raw, "<u8")) if len(keys) else np.full(len(raw) // 8, -1)
-        out.append((np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))).astype("<u4" if not len(values) or values.max() < 1 << 32 else "<u8").tobytes())
-    return pa.table({"chunk": requests.column("chunk"), "share": requests.column("share"), "keys": requests.column("keys"), "counts": pa.array(out, pa.binary())})
+ANSWERS = "chunk int, share int, wide boolean, counts binary, logs binary"
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+def _answers(order: int, escapes: Escapes):
+    """For each requested word its count, 0 if it isn't there, and for each gram its log10 probability, NaN if the longest
+    contexts haven't seen it. A share's statistics are held, its requests pass by."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for b in batches:
+            out = []
+            for share, chunk, first, second, n_first, n_second in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                if share != key:
+                    key = share
+                    words = grams = np.zeros(0, "<u8")
+                    counts, logs = np.zeros(0, "<i8"), np.zeros(0, "<f4")
+                if chunk == WORDS:
+                    words, counts = np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8")
+                elif chunk == GRAMS:
+                    level = Contexts(np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8").astype(np.float64))
+                    grams, logs = level.grams, seen_log(escapes, level.counts, level.total[level.of], level.distinct[level.of]).astype("<f4")
+                else:
+                    at = _find(words, _unpacked(first, n_first, "<u8"))
+                    n = np.where(at >= 0, counts[at], 0) if len(words) else np.zeros(len(at))
+                    place = _find(grams, _unpacked(second, n_second, "<u8"))
+                    found = np.where(place >= 0, logs[place], np.nan).astype("<f4") if len(grams) else np.full(len(place), np.nan, "<f4")
+                    wide = bool(len(n)) and bool(n.max() >= 1 << 32)
+                    out.append((chunk, share, wide, _packed(n.astype("<u8" if wide else "<u4")), _packed(found)))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["chunk", "share", "wide", "counts", "logs"])
+
+    return run
+
+
+SCORED = "chunk int, doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, missed binary, times binary"
+
 
+def _score(order: int, shares: int, folds: int, fold: int):
+    """Rows of a chunk with the sums over the grams that the longest contexts have seen, and the grams that they haven't."""
 
-def _score(name: str, model, folds: int, fold: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = chunk_rows(chunk)
+        if not rows:
+            return pa.table([pa.array([], t) for t in SCORED_TYPES], names=SCORED_NAMES)
+        texts = [tokens(t) for _, t in rows]
+        words, cuts = _distinct_words(texts, shares)
+        got = {s: own for s, *own in zip(*(answers.column(i).to_pylist() for i in ("share", "wide", "counts", "logs")))}
         counts: dict[int, int] = {}
-        for raw, found in zip(answers.column("keys").to_pylist(), answers.column("counts").to_pylist()):
-            keys = np.frombuffer(raw, "<u8")
-            counts.update(zip(keys.tolist(), np.frombuffer(found, "<u4" if 4 * len(keys) == len(found) else "<u8").tolist()))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                counts.update(zip(words[a:b].tolist(), _unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").tolist()))
         known = _Words(counts)
-        rows = chunk_rows(chunk)
-        out, texts = [], []
-        for doc_id, text in rows:
-            own = tokens(text)
-            logs = np.fromiter(map(known.__getitem__, own), np.float64, len(own))
+        n = chunk.column("chunk")[0].as_py()
+        keys, starts = packed_grams([b" ".join(t) for t in texts], order)
+        grams, inverse = np.unique(keys, return_inverse=True)
+        by, cuts = _sharded(grams, _middle(grams, order), shares)
+        values = np.empty(len(grams), np.float32)
+        values[by] = np.concatenate([_unpacked(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        logs = values[inverse].astype(np.float64)
+        open_ = np.isnan(logs)
+        sums = np.add.reduceat(np.where(open_, 0.0, logs), starts)
+        of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(keys))))[open_]
+        missed, ends = keys[open_], np.searchsorted(of, np.arange(len(rows) + 1))
+        out = []
+        for i, ((doc_id, _), own) in enumerate(zip(rows, texts)):
+            base = np.fromiter(map(known.__getitem__, own), np.float64, len(own))
             end = known[b""]
-            texts.append(b" ".join(own))
-            out.append((doc_id, held_out(doc_id, folds, fold), len(own) + 1, int(np.count_nonzero(logs)) + (end > 0), math.fsum(logs.tolist()) + end))
-        columns = list(zip(*out)) or [()] * 5
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table([*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(_model(name, model).text_scores(texts))], names=[c.split()[0] for c in SCORES.split(", ")])
+            unseen, times = np.unique(missed[ends[i] : ends[i + 1]], return_counts=True)
+            out.append((n, doc_id, held_out(doc_id, folds, fold), len(own) + 1, int(np.count_nonzero(base)) + (end > 0), math.fsum(base.tolist()) + end, float(sums[i]), unseen.astype("<u8").tobytes(), times.astype("<i8").tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), SCORED_TYPES)], names=SCORED_NAMES)
 
     return run
 
 
-_MODELS: dict[str, Model] = {}
+SCORED_TYPES = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
+
+#: Grams on their way down: log10 so far, and what the node above leaves of the next; ``share`` is -1 where a level had them.
+DOWN = "share int, chunk int, keys binary, gain binary, total binary, distinct binary"
+DOWN_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+DOWN_NAMES = [c.split()[0] for c in DOWN.split(", ")]
+DONE = -1
+
+
+def _down_rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, DOWN_TYPES)], names=DOWN_NAMES)
 
 
-def _model(name: str, shared) -> Model:
-    """The broadcast model ``name``, built once in each Python worker, which keeps only the last."""
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(*shared.value)
-    return _MODELS[name]
+def _sent(chunk: int, d: int, shares: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows of ``keys`` by share of the level of ``d`` bytes."""
+    order, cuts = _sharded(keys, _middle(keys, d) if d else np.zeros(len(keys), np.uint64), shares)
+    return [(i, chunk, keys[order[a:b]].astype("<u8").tobytes(), *(v[order[a:b]].astype("<f8").tobytes() for v in values)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+
+def _missed(order: int, shares: int):
+    """The grams of a batch's rows of a chunk that the longest contexts haven't seen, once each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own: dict[int, list] = {}
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own.setdefault(chunk, []).append(np.frombuffer(raw, "<u8"))
+            out = []
+            for chunk, parts in own.items():
+                keys = np.unique(np.concatenate(parts))
+                none = np.full(len(keys), np.nan)
+                out += _sent(chunk, order, shares, keys, np.zeros(len(keys)), none, none)
+            yield _down_rows(out)
+
+    return run
+
+
+def _go_down(d: int, shares: int, escapes: Escapes):
+    """A share's level of contexts of ``d`` bytes is held, the grams pass by: what it has is done, the rest goes on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for b in batches:
+            out = []
+            for share, chunk, keys, gain, total, distinct in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                if share != key:
+                    key, level = share, _level(d, b"", b"")
+                if chunk == GRAMS:
+                    level = _level(d, keys, gain)
+                    continue
+                keys, (gain, total, distinct) = np.frombuffer(keys, "<u8"), (np.frombuffer(x, "<f8") for x in (gain, total, distinct))
+                more, hit, total, distinct = descend(level, escapes, d, keys, total, distinct) if len(level.grams) else (0.0, np.zeros(len(keys), bool), total, distinct)
+                gain = gain + more
+                if hit.any():
+                    out.append((DONE, chunk, keys[hit].astype("<u8").tobytes(), gain[hit].astype("<f8").tobytes(), None, None))
+                out += _sent(chunk, d - 1, shares, keys[~hit], gain[~hit], total[~hit], distinct[~hit])
+            yield _down_rows(out)
+
+    return run
+
+
+def _at_root(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = shared.value
+        for b in batches:
+            out = []
+            for _, chunk, keys, gain, total, distinct in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                own, (so_far, t, u) = np.frombuffer(keys, "<u8"), (np.frombuffer(x, "<f8") for x in (gain, total, distinct))
+                out.append((DONE, chunk, keys, (so_far + root.rest(own, t, u)).astype("<f8").tobytes(), None, None))
+            yield _down_rows(out)
+
+    return run
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+
+
+def _add_up(scored: pa.Table, answers: pa.Table) -> pa.Table:
+    """The scores of a chunk's rows, with those of their missed grams."""
+    keys = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in answers.column("keys").to_pylist())])
+    gains = np.concatenate([np.zeros(0, "<f8"), *(np.frombuffer(x, "<f8") for x in answers.column("gain").to_pylist())])
+    order = np.argsort(keys, kind="stable")
+    keys, gains = keys[order], gains[order]
+    out = []
+    for score, missed, times in zip(*(scored.column(i).to_pylist() for i in ("score", "missed", "times"))):
+        at = np.searchsorted(keys, np.frombuffer(missed, "<u8"))
+        out.append(score + float((gains[at] * np.frombuffer(times, "<i8")).sum()))
+    return pa.table([*(scored.column(i).combine_chunks() for i in ("doc_id", "held_out", "n_tokens", "n_known", "base_sum")), pa.array(out, pa.float64())], names=[c.split()[0] for c in SCORES.split(", ")])
+
+
+def resolve(levels: Levels, scored: DataFrame, order: int, shares: int) -> DataFrame:
+    """(chunk, keys, gain): log10 probabilities of the grams in ``scored`` that the longest contexts haven't seen."""
+    none = F.lit(None).cast("binary")
+    low = levels.root.order
+    going = scored.where("octet_length(missed) > 0").select("chunk", "missed").mapInArrow(_missed(order, shares), DOWN)
+    done = []
+    for d in range(order, low, -1):
+        model = levels.shares[d].select("share", F.lit(GRAMS).alias("chunk"), "keys", F.col("counts").alias("gain"), none.alias("total"), none.alias("distinct"))
+        both = model.unionAll(going).repartitionById(shares, F.col("share")).sortWithinPartitions("share", "chunk")
+        made = materialize(both.mapInArrow(_go_down(d, shares, levels.escapes[d]), DOWN), "lm-down")
+        done.append(made.where(F.col("share") == DONE))
+        going = made.where(F.col("share") != DONE)
+    root = scored.sparkSession.sparkContext.broadcast(levels.root)  # at most 257 * 257 grams
+    return reduce(DataFrame.unionAll, [*done, going.mapInArrow(_at_root(root), DOWN)]).select("chunk", "keys", "gain")
 
 
 class _Words(dict):
@@ -415,27 +653,31 @@ class _Words(dict):
         return value
 
 
-def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold: int = 2, max_grams: int = 2_500_000) -> DataFrame:
+def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``fold`` are held out; the model and the counts come from all others.
     A token is a lower-cased word or the end of a text. base_score: unigrams with one added to each count. Null texts are
     empty (one token, the end); a null doc_id isn't held out; repeated rows are kept and counted. Without any training row
-    all counts are 0. Other columns are ignored. Words are counted by their 64-bit hash.
+    all counts are 0. Other columns are ignored. Words are counted by their 64-bit hash. ``order`` is 1 to 7 bytes.
 
     Counts are gathered by the scan's tasks and summed up by share of the hashes. For scoring, each chunk of texts asks
-    every share for the counts of its distinct words, so that a word on very many rows is asked for once by each chunk.
+    every share for the counts of its distinct words and the probabilities of its distinct grams, so that what is on very
+    many rows is asked for once by each chunk. Contexts have ``order`` bytes at every size of the input.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = shuffle_partitions(spark)
     statistics = corpus_statistics(docs, order, folds, fold)
-    model = spark.sparkContext.broadcast(fit(statistics, order, max_grams))  # at most max_grams entries
+    levels = build(statistics, order)
     words = statistics.where("kind = 'word'")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
     chunks = chunked(docs)
-    requests = chunks.groupBy("chunk").applyInArrow(_requests(n), "share int, chunk int, keys binary")
-    answers = requests.groupBy("share").cogroup(words.select("share", "keys", "counts").groupBy("share")).applyInArrow(_answers, "chunk int, share int, keys binary, counts binary")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(uuid.uuid4().hex, model, folds, fold), SCORES)
+    requests = chunks.groupBy("chunk").applyInArrow(_requests(order, n), REQUESTS)
+    held = statistics.select("share", F.when(F.col("kind") == "word", WORDS).otherwise(GRAMS).alias("chunk"), "keys", "counts", F.lit(None).cast("int").alias("n_a"), F.lit(None).cast("int").alias("n_b"))
+    asked = held.unionAll(requests).repartitionById(n, F.col("share")).sortWithinPartitions("share", "chunk")
+    answers = asked.mapInArrow(_answers(order, levels.escapes[order]), ANSWERS)
+    scored = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, n, folds, fold), SCORED), "lm-scored")
+    found = scored.groupBy("chunk").cogroup(resolve(levels, scored, order, n).groupBy("chunk")).applyInArrow(_add_up, SCORES)
     base = F.col("base_sum") - F.col("n_tokens") * math.log10(sums["n"] + sums["v"] + 1)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -68,6 +68,27 @@ def test_ppm_probabilities_add_up():
     assert seen > unseen
 
 
+@pytest.mark.parametrize("order, size", [(6, 2000), (6, 20), (2, 20), (1, 20)])
+def test_ppm_keeps_its_order_at_every_size(spark, order, size):
+    """The larger table has over 2.5 million distinct grams of seven bytes; scores are those of a trie held in one piece."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    docs = [(i, rng.choice(letters, 2600).tobytes().decode() if i % 4 else "all of these texts start alike") for i in range(size)] + [(size, "\u00e9t\u00e9"), (size + 1, None)]
+    train = [b" ".join(ppm.tokens((t or "").encode())) for i, t in docs if not ppm.held_out(i, 7, 2)]
+    keys, counts = np.unique(ppm.packed_grams(train, order)[0], return_counts=True)
+    assert (len(keys) > 2_500_000) == (size == 2000)
+    want = dict(zip([i for i, _ in docs], ppm.Model(keys, counts, order).text_scores([b" ".join(ppm.tokens((t or "").encode())) for _, t in docs])))
+    out = ppm.language_model_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), order=order).collect()
+    assert {r["doc_id"] for r in out} == set(want) and len(out) == len(want)
+    assert all(abs(r["score"] - want[r["doc_id"]]) <= 1e-5 * abs(want[r["doc_id"]]) + 1e-9 for r in out)
+
+
+def test_ppm_without_training_texts(spark):
+    ids = [i for i in range(40) if ppm.held_out(i, 7, 2)]
+    out = ppm.language_model_scores(spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string")).collect()
+    assert len(out) == len(ids) and all(abs(r["score"] + 3 * np.log10(257)) < 1e-9 for r in out)
+
+
 def test_pieces_are_drawn_by_weight():
     from eventide.llm.pieces import Lattices, PieceModel
 
