@@ -7,7 +7,8 @@ worked out anew, so is an IBAN's check, an address has octets below 256, a date
 
 Found and validated: e-mail addresses, IBANs (mod 97), IPv4 addresses, dates (year-month-day, day.month.year,
 day/month/year or month/day/year, 1800 to 2199), telephone numbers, nine-digit numbers as 3-2-4, card numbers (13 to 19
-digits, Luhn). A number that fails its check is left as it is.
+digits, Luhn). A number that fails its check is left as it is; of several numbers side by side, those groups of digits are
+the card that pass the check. IBANs may be written in groups of four, where the register has their country's length.
 """
 
 from __future__ import annotations
@@ -17,10 +18,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lengths of the IBAN register.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+GROUPED = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+
 #: Fixed formats, tried in this order at each place of a text.
 FORMATS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + GROUPED + ")(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![./-]?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![.-]?\d)",
@@ -129,6 +137,30 @@ def is_card(digits: Column) -> Column:
     return F.substring(digits, n, F.lit(1)) == luhn_digit(F.substring(digits, F.lit(1), n - 1))
 
 
+#: How cards are mostly written.
+CARD_FORM = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+
+
+def card_in(value: Column) -> Column:
+    """Struct (rank, size, start, text) of the groups of digits in ``value`` that are a card; null where none are.
+
+    Groups written as cards mostly are come first, then more digits before fewer, then by their place.
+    """
+
+    def spans(groups: Column) -> Column:
+        n = F.size(groups)
+        before = lambda i: F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g) + 1)
+
+        def span(i: Column, j: Column) -> Column:
+            text = F.substring(value, before(i - 1) + 1, before(j) - before(i - 1) - 1)
+            return let(text, lambda t: F.struct((~t.rlike(CARD_FORM)).cast("int").alias("rank"), (-F.length(digits_of(t))).alias("size"), i.alias("start"), t.alias("text"), (before(i - 1) + 1).alias("at")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: span(i, j))))
+
+    found = F.filter(let(F.split(value, "[ -]"), spans), lambda s: s["size"].between(-19, -13) & s["text"].rlike(r"^[\d -]+$"))
+    return F.get(F.filter(F.array_sort(found), lambda s: let(digits_of(s["text"]), is_card)), 0)
+
+
 def iban_remainder(iban: Column) -> Column:
     """An IBAN's remainder by 97: first four characters last, letters as 10 to 35."""
 
@@ -140,6 +172,10 @@ def iban_remainder(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
+def compact(iban: Column) -> Column:
+    return F.regexp_replace(iban, " ", "")
+
+
 def _date(text: Column) -> Column:
     """Struct (day, order) of a written date: order ymd, dmy or mdy; null where there is no such day."""
     part = lambda p, i: F.regexp_extract(text, p, i)
@@ -178,12 +214,12 @@ def kind_of(value: Column) -> Column:
     whole = lambda k: value.rlike("^(?:" + FORMATS[k] + ")$")
     return (
         F.when(value.contains("@"), F.lit("email"))
-        .when(whole("iban"), F.when(iban_remainder(value) == 1, F.lit("iban")))
+        .when(whole("iban") & (iban_remainder(compact(value)) == 1), F.lit("iban"))
         .when(whole("ip"), F.lit("ip"))
         .when(whole("date"), F.when(let(_date(value), lambda d: d["day"].isNotNull() & F.year(d["day"]).between(1800, LAST_YEAR)), F.lit("date")))
         .when(whole("phone"), F.lit("phone"))
         .when(whole("ssn"), F.lit("ssn"))
-        .when(let(digits_of(value), is_card), F.lit("card"))
+        .when(value.rlike(r"^[\dA-Z]") & card_in(value).isNotNull(), F.lit("card"))
     )
 
 
@@ -199,8 +235,10 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     phone = let(F.substring(value, F.length(code) + 1, F.length(value)), lambda rest: F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest)))))
     ssn = refill(value, permute_digits(key, "ssn", digits_of(value)))
-    card = let(digits_of(value), lambda d: let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda p: refill(value, F.concat(p, luhn_digit(p)))))
-    body = let(permute_text(key, "iban", F.substring(value, F.lit(5), F.length(value))), lambda b: F.concat(F.substring(value, 1, 2), F.lpad((98 - iban_remainder(F.concat(F.substring(value, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b))
+    own_card = lambda t: let(digits_of(t), lambda d: let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda p: refill(t, F.concat(p, luhn_digit(p)))))
+    card = let(card_in(value), lambda s: F.concat(F.substring(value, F.lit(1), s["at"] - 1), own_card(s["text"]), F.substring(value, s["at"] + F.length(s["text"]), F.length(value))))
+    plain = let(permute_text(key, "iban", F.substring(compact(value), F.lit(5), F.length(value))), lambda b: F.concat(F.substring(value, 1, 2), F.lpad((98 - iban_remainder(F.concat(F.substring(value, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b))
+    body = F.when(value.contains(" "), F.regexp_replace(plain, "(.{4})(?=.)", "$1 ")).otherwise(plain)
     return (
         F.when(kind == "email", email)
         .when(kind == "iban", body)

@@ -205,6 +205,24 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert re.fullmatch(r"call \+49 \d{2} \d{7}", out[7]["text"]) and re.fullmatch(r"id \d{3}-\d{2}-\d{4}", out[8]["text"])
 
 
+def test_pseudonyms_of_numbers_side_by_side(spark):
+    from eventide.llm.pii import pseudonymise
+
+    def luhn(t):
+        d = [int(c) for c in t if c.isdigit()][::-1]
+        return sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])
+
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "room 12 4111 1111 1111 1111.", "4111-1111-1111-1111 7", "4111 1111 1111 1111", "pay DE89 3704 0044 0532 0130 00 now", "DE89370400440532013000", "BE68 5390 0754 7034 4111 1111 1111 1111", "DE88 3704 0044 0532 0130 00 stays"]
+    out = [r["text"] for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for i, form in enumerate([r"(\d{4} \d{4} \d{4} \d{4}) 12/27", r"(\d{16}) 123", r"room 12 (\d{4} \d{4} \d{4} \d{4})\.", r"(\d{4}-\d{4}-\d{4}-\d{4}) 7", r"(\d{4} \d{4} \d{4} \d{4})"]):
+        card = re.fullmatch(form, out[i])[1]
+        assert luhn(card) % 10 == 0 and re.sub(r"\D", "", card) != "4" + "1" * 15
+        assert re.sub(r"\D", "", card) == re.sub(r"\D", "", out[4])
+    assert re.fullmatch(r"pay DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d now", out[5]) and out[5].replace(" ", "") == "pay" + out[6] + "now" and out[6] != texts[6]
+    assert out[7].startswith("BE") and out[7][:19] != texts[7][:19] and out[7][20:] == out[4]
+    assert out[8] == texts[8]
+
+
 def test_digit_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
