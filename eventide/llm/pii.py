@@ -3,11 +3,16 @@
 A value is cut in two halves; in each round one half is shifted by a keyed hash of the other. That is a permutation of
 all values of a format, whatever the hash: equal values get equal pseudonyms in every document, different values stay
 different, and who has the key can turn them back. What makes a number valid is kept: a card number's last digit is
-worked out anew, so is an IBAN's check, an address has octets below 256, a date is a date of the same 400 years.
+worked out anew, so is an IBAN's check, an address has octets below 256, a nine-digit number has parts that are issued.
 
-Found and validated: e-mail addresses, IBANs (mod 97), IPv4 addresses, dates (year-month-day, day.month.year,
-day/month/year or month/day/year, 1800 to 2199), telephone numbers, nine-digit numbers as 3-2-4, card numbers (13 to 19
-digits, Luhn). A number that fails its check is left as it is; of several numbers side by side, those groups of digits are
+A date becomes a date of the same 400 years, which have 146097 days whatever the year they start in. Year-month-day,
+day.month.year and day/month/year have one permutation, so that a day stays linked however it is written. What can only be
+read as month/day/year (day 13 to 31) has one of its own, within the days from 13 on: its pseudonym is read in the same
+order again.
+
+Found and validated: e-mail addresses, IBANs (mod 97), IPv4 and IPv6 addresses, dates of the years 200 to 9799, telephone
+numbers (ten digits in a row only after a word for telephone), nine-digit numbers as 3-2-4, card numbers (13 to 19 digits,
+Luhn). A number that fails its check is left as it is; of several numbers side by side, those groups of digits are
 the card that pass the check. IBANs may be written in groups of four, where the register has their country's length.
 """
 
@@ -27,18 +32,21 @@ GROUPED = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: [A-Z0-9]{{4}}){{{n //
 
 #: Fixed formats, tried in this order at each place of a text.
 FORMATS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + GROUPED + ")(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\.?\d)",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![./-]?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![.-]?\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![.-]?\d)|(?<=\b(?i:tel|telephone|phone|call|mobile|cell|fax)[.:]{0,2} {0,2})\d{10}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values()).replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]")
 ROUNDS = 10
-#: Any 400 years of the Gregorian calendar have 146097 = 189 * 773 days.
-FIRST_DAY, LAST_YEAR, DAYS_A, DAYS_B = "1800-01-01", 2199, 189, 773
+#: Any 400 years of the Gregorian calendar have 146097 = 189 * 773 days, and 88497 = 9 * 9833 that are not a month's first 12.
+FIRST_YEAR, LAST_YEAR, DAYS_A, DAYS_B, LATE_A, LATE_B = 200, 9799, 189, 773, 9, 9833
+#: Letters beyond ASCII that are shifted among each other: first code point and number.
+ALPHABETS = ((0xDF, 24), (0xF8, 8), (0xC0, 23), (0xD8, 7), (0x391, 17), (0x3B1, 25), (0x410, 32), (0x430, 32), (0x4E00, 20902), (0xAC00, 11172))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,15 +86,24 @@ def permute_digits(key: str, kind: str, digits: Column) -> Column:
     return let(digits, body)
 
 
+def _of_code(code: Column) -> Column:
+    """The character of a code point below 65536."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
 def permute_text(key: str, kind: str, text: Column) -> Column:
-    """A keyed permutation of the strings whose characters are of the same classes (a-z, A-Z, 0-9; others stay)."""
+    """A keyed permutation of the strings whose characters are of the same classes (a-z, A-Z, 0-9, ``ALPHABETS``; others stay)."""
 
     def shifted(part: Column, stream: Column) -> Column:
         def char(c: Column, at: Column) -> Column:
             by = F.conv(F.substring(stream, 2 * F.pmod(at, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
             code = F.ascii(c)
             turn = lambda first, n: F.char(F.lit(first) + F.pmod(code - first + by, F.lit(n)))
-            return F.when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(48, 57), turn(48, 10)).otherwise(c)
+            other = F.lit(None)
+            for first, n in ALPHABETS:  # wide alphabets are turned further than one byte can
+                other = F.when(code.between(first, first + n - 1), _of_code(first + F.pmod(code - first + by * max(n // 256, 1), F.lit(n)))).otherwise(other)
+            ascii_ = F.when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(48, 57), turn(48, 10))
+            return F.when(code < 128, F.coalesce(ascii_, c)).otherwise(F.coalesce(other, c))
 
         return F.array_join(F.transform(F.split(part, ""), char), "")
 
@@ -106,12 +123,12 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def refill(form: Column, digits: Column) -> Column:
-    """``form`` with its digits replaced, in order, by ``digits``."""
+def refill(form: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """``form`` with its digits (what ``kind`` matches) replaced, in order, by ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
     def step(s: Column, c: Column) -> Column:
-        number = c.between("0", "9")
+        number = c.rlike(f"^{kind}$")
         return F.struct(F.concat(s["out"], F.when(number, F.substring(digits, s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + number.cast("int")).alias("i"))
 
     return F.aggregate(F.split(form, ""), start, step, lambda s: s["out"])
@@ -177,11 +194,12 @@ def compact(iban: Column) -> Column:
 
 
 def _date(text: Column) -> Column:
-    """Struct (day, order) of a written date: order ymd, dmy or mdy; null where there is no such day."""
+    """Struct (day, order) of a written date: order ymd, dmy or mdy; a null day where there is no such day."""
     part = lambda p, i: F.regexp_extract(text, p, i)
     ymd, other = r"^(\d{4})-(\d{2})-(\d{2})$", r"^(\d{1,2})[./](\d{1,2})[./](\d{4})$"
     made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    day = lambda value, order: F.struct(value.alias("day"), F.lit(order).alias("order"))
+    known = lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d)
+    day = lambda value, order: F.struct(known(value).alias("day"), F.lit(order).alias("order"))
     a, b, c = (part(other, i) for i in (1, 2, 3))
     return (
         F.when(text.rlike(ymd), day(made(part(ymd, 1), part(ymd, 2), part(ymd, 3)), "ymd"))
@@ -190,25 +208,94 @@ def _date(text: Column) -> Column:
     )
 
 
+def _permuted_day(key: str, first: Column, day: Column) -> Column:
+    """A day of the 400 years from ``first`` on."""
+    n = F.datediff(day, first)
+    pair = permute_pair(key, "date", F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B))
+    return let(pair, lambda p: F.date_add(first, (p["l"] * DAYS_B + p["r"]).cast("int")))
+
+
+def _permuted_late_day(key: str, first: Column, day: Column) -> Column:
+    """A day from the 13th on for one from the 13th on, within the 400 years from ``first`` on.
+
+    Such days are numbered over all months; the month of a number is one of the few around its share of the 4800.
+    """
+    months = (F.year(day) - F.year(first)) * 12 + F.month(day) - 1
+    before = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m
+    n = before(months) + F.dayofmonth(day) - 13
+    pair = permute_pair(key, "late-date", F.floor(n / LATE_B), n % LATE_B, F.lit(LATE_A), F.lit(LATE_B))
+
+    def found(number: Column) -> Column:
+        near = F.floor(number * 4800 / (LATE_A * LATE_B)).cast("int")
+        month = F.array_max(F.filter(F.sequence(near - 2, near + 2), lambda m: before(m) <= number))
+        return let(month, lambda m: F.date_add(F.add_months(first, m), (number - before(m) + 12).cast("int")))
+
+    return let(pair, lambda p: let(p["l"] * LATE_B + p["r"], found))
+
+
 def _date_pseudonym(key: str, text: Column) -> Column:
     """A date of the same 400 years, written alike; ``text`` itself where it is none."""
 
     def body(found: Column) -> Column:
-        n = F.datediff(found["day"], F.lit(FIRST_DAY).cast("date"))
-        pair = permute_pair(key, "date", F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B))
-        new = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS_B + p["r"]).cast("int")))
+        first = F.make_date(F.lit(FIRST_YEAR) + (F.floor((F.year(found["day"]) - FIRST_YEAR) / 400) * 400).cast("int"), F.lit(1), F.lit(1))
+        new = let(first, lambda f: F.when(found["order"] == "mdy", _permuted_late_day(key, f, found["day"])).otherwise(_permuted_day(key, f, found["day"])))
 
         def write(d: Column) -> Column:
             sep = F.regexp_extract(text, r"\d([./-])", 1)
             wide = lambda v, at: F.when(F.length(F.regexp_extract(text, r"^(\d+)[./](\d+)", at)) > 1, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
             first, second = F.when(found["order"] == "dmy", F.dayofmonth(d)).otherwise(F.month(d)), F.when(found["order"] == "dmy", F.month(d)).otherwise(F.dayofmonth(d))
-            return F.when(found["order"] == "ymd", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(wide(first, 1), sep, wide(second, 2), sep, F.year(d).cast("string")))
+            return F.when(found["order"] == "ymd", F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(wide(first, 1), sep, wide(second, 2), sep, F.lpad(F.year(d).cast("string"), 4, "0")))
 
-        return F.when(found["day"].isNotNull() & F.year(found["day"]).between(1800, LAST_YEAR), let(new, write)).otherwise(text)
+        return F.when(found["day"].isNotNull(), let(new, write)).otherwise(text)
 
     return let(_date(text), body)
 
 
+#: Nine-digit numbers that are issued: no 000, 666 or 900 to 999 (kept apart: taxpayers' numbers) in front, no zero parts.
+SSN = r"^(?!000|666)(\d{3})-(?!00)(\d{2})-(?!0000)(\d{4})$"
+
+
+def _ssn_pseudonym(key: str, text: Column) -> Column:
+    """An issued number for an issued number; one from 900 on for one from 900 on."""
+    area, group, serial = (F.regexp_extract(text, SSN, i).cast("int") for i in (1, 2, 3))
+
+    def body(area: Column) -> Column:
+        late = area >= 900
+        number = F.when(late, area - 900).otherwise(area - 1 - (area > 666).cast("int"))
+        pair = permute_pair(key, "ssn", number * 99 + group - 1, serial - 1, F.when(late, F.lit(100 * 99)).otherwise(F.lit(898 * 99)), F.lit(9999))
+
+        def write(p: Column) -> Column:
+            n = F.floor(p["l"] / 99)
+            new = F.when(late, n + 900).otherwise(n + 1 + (n >= 665).cast("int"))
+            pad = lambda v, size: F.lpad(v.cast("string"), size, "0")
+            return F.concat_ws("-", pad(new, 3), pad(p["l"] % 99 + 1, 2), pad(p["r"] + 1, 4))
+
+        return let(pair, write)
+
+    return let(area, body)
+
+
+def _ipv6_pseudonym(key: str, text: Column) -> Column:
+    """Its hexadecimal digits permuted, those of each number of them by itself; written alike, in small letters."""
+    digits = F.regexp_replace(F.lower(text), ":", "")
+
+    def body(d: Column) -> Column:
+        half = F.floor(F.length(d) / 2).cast("int")
+
+        def shifted(part: Column, stream: Column) -> Column:
+            value = lambda c: F.conv(c, 16, 10).cast("int")
+            turned = F.transform(F.split(part, ""), lambda c, i: F.lower(F.hex(F.pmod(value(c) + value(F.substring(stream, i + 1, F.lit(1))), F.lit(16)))))
+            return F.when(part == "", part).otherwise(F.array_join(turned, ""))
+
+        def step(s: Column, i: Column) -> Column:
+            return F.when(i % 2 == 0, F.struct(shifted(s["l"], _hash(key, "ipv6", i, s["r"])).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), shifted(s["r"], _hash(key, "ipv6", i, s["l"])).alias("r")))
+
+        start = F.struct(F.substring(d, F.lit(1), half).alias("l"), F.substring(d, half + 1, F.length(d)).alias("r"))
+        return let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda s: F.concat(s["l"], s["r"]))
+
+    return refill(text, let(digits, body), "[0-9A-Fa-f]")
+
+
 def kind_of(value: Column) -> Column:
     """Which format ``value``, found by ``ANY``, has; null where a check fails."""
     whole = lambda k: value.rlike("^(?:" + FORMATS[k] + ")$")
@@ -216,9 +303,10 @@ def kind_of(value: Column) -> Column:
         F.when(value.contains("@"), F.lit("email"))
         .when(whole("iban") & (iban_remainder(compact(value)) == 1), F.lit("iban"))
         .when(whole("ip"), F.lit("ip"))
-        .when(whole("date"), F.when(let(_date(value), lambda d: d["day"].isNotNull() & F.year(d["day"]).between(1800, LAST_YEAR)), F.lit("date")))
-        .when(whole("phone"), F.lit("phone"))
-        .when(whole("ssn"), F.lit("ssn"))
+        .when(value.rlike(r"^[0-9A-Fa-f:]*\d[0-9A-Fa-f:]*$") & value.contains(":"), F.lit("ipv6"))
+        .when(whole("date"), F.when(let(_date(value), lambda d: d["day"].isNotNull()), F.lit("date")))
+        .when(whole("phone") | value.rlike(r"^\d{10}$"), F.lit("phone"))
+        .when(whole("ssn"), F.when(value.rlike(SSN), F.lit("ssn")))
         .when(value.rlike(r"^[\dA-Z]") & card_in(value).isNotNull(), F.lit("card"))
     )
 
@@ -234,7 +322,6 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     phone = let(F.substring(value, F.length(code) + 1, F.length(value)), lambda rest: F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest)))))
-    ssn = refill(value, permute_digits(key, "ssn", digits_of(value)))
     own_card = lambda t: let(digits_of(t), lambda d: let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda p: refill(t, F.concat(p, luhn_digit(p)))))
     card = let(card_in(value), lambda s: F.concat(F.substring(value, F.lit(1), s["at"] - 1), own_card(s["text"]), F.substring(value, s["at"] + F.length(s["text"]), F.length(value))))
     plain = let(permute_text(key, "iban", F.substring(compact(value), F.lit(5), F.length(value))), lambda b: F.concat(F.substring(value, 1, 2), F.lpad((98 - iban_remainder(F.concat(F.substring(value, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b))
@@ -243,26 +330,35 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         F.when(kind == "email", email)
         .when(kind == "iban", body)
         .when(kind == "ip", ip)
+        .when(kind == "ipv6", _ipv6_pseudonym(key, value))
         .when(kind == "date", _date_pseudonym(key, value))
         .when(kind == "phone", phone)
-        .when(kind == "ssn", ssn)
+        .when(kind == "ssn", _ssn_pseudonym(key, value))
         .when(kind == "card", card)
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``column`` replaced, and ``pii_kinds``, the kinds replaced in order of their places.
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", kinds: str | None = "pii_kinds") -> DataFrame:
+    """``docs`` with personal data in ``column`` replaced, and ``kinds``, the kinds replaced in order of their places.
 
     A null text stays null and has no kinds; empty texts stay empty; repeated rows get equal texts. All other columns stay;
-    an input column named pii_kinds is replaced. Works row by row, without a shuffle.
+    an input column named as ``kinds`` is replaced; without ``kinds`` no column is added. Works row by row, without a shuffle.
     """
-    text = F.col(column)
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("new"))))
+    text, found = F.col(column), _free("_found", docs.columns)
+    new = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("new"))))
     none = F.array().cast("array<struct<kind:string,new:string>>")
-    some = F.when(text.rlike("[0-9@]"), found).otherwise(none)  # every format has a digit or an @
-    out = docs.withColumn("pii_kinds", some)
+    some = F.when(text.rlike("[0-9@]"), new).otherwise(none)  # every format has a digit or an @
+    out = docs.withColumn(found, some)
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("pii_kinds.new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    out = out.withColumn(column, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))
-    return out.withColumn("pii_kinds", F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.col("pii_kinds.kind"), lambda k: k.isNotNull())))
+    joined = F.array_join(F.zip_with(gaps, F.col(f"{found}.new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    out = out.withColumn(column, F.when(F.size(found) > 0, joined).otherwise(text))
+    if kinds is not None:
+        out = out.withColumn(kinds, F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.col(f"{found}.kind"), lambda k: k.isNotNull())))
+    return out.drop(found)
