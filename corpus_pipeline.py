@@ -37,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts becomes pseudonyms; all other columns stay, n_chars too (a date may be written a digit shorter or longer)."""
-    return pseudonymise(docs, PII_KEY).select(*docs.columns)
+    return pseudonymise(docs, PII_KEY, kinds=None)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
