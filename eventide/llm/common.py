@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,15 +70,30 @@ def fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(chunk, doc_id, text) with about ``chunk_bytes`` of text in each chunk, whatever the size of the table.
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def chunked(docs: DataFrame, size: int, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """(chunk, doc_id, text) with about ``chunk_bytes`` of text in each chunk, of ``size`` in all.
 
     A chunk is what one task holds in memory at once. Requests and answers go by chunk, so that a value on very many rows
-    is sent once for each chunk, not once for each row.
+    is sent once for each chunk, not once for each row. Repeated rows part by the partition that they were read in.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(-(-size // chunk_bytes), 1)
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text")
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: sorted ones are alike in most of their bytes."""
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    """The ``n`` numbers of :func:`packed`."""
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind)
 
 
 def chunk_rows(chunk: pa.Table) -> list[tuple[int | None, bytes]]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, bounded_batches, chunk_rows, chunked, materialize, shuffle_partitions
+from .common import LOWER, as_bytes, bounded_batches, chunk_rows, chunked, materialize, packed, shuffle_partitions, text_bytes, unpacked
 
 START, END = b"\xfe", b"\xff"  # no UTF-8 text has these bytes
 #: Bytes that a text can have, and the end.
@@ -420,16 +420,6 @@ def _sharded(keys: np.ndarray, by: np.ndarray, shares: int) -> tuple[np.ndarray,
     return order, np.searchsorted(share[order], np.arange(shares + 1))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, compressed: sorted grams are alike in most of their bytes."""
-    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
-
-
-def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind)
-
-
 def _distinct_words(texts: list[list[bytes]], shares: int) -> tuple[np.ndarray, np.ndarray]:
     words = {b""}
     for own in texts:
@@ -454,7 +444,7 @@ def _requests(order: int, shares: int):
         by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
         grams = grams[by]
         n = chunk.column("chunk")[0].as_py()
-        out = [(i, _packed(words[a:b]), _packed(grams[c:d]), b - a, d - c) for i, (a, b, c, d) in enumerate(zip(word_cuts[:-1], word_cuts[1:], gram_cuts[:-1], gram_cuts[1:])) if b > a or d > c]
+        out = [(i, packed(words[a:b]), packed(grams[c:d]), b - a, d - c) for i, (a, b, c, d) in enumerate(zip(word_cuts[:-1], word_cuts[1:], gram_cuts[:-1], gram_cuts[1:])) if b > a or d > c]
         return pa.table({"share": pa.array([r[0] for r in out], pa.int32()), "chunk": pa.array([n] * len(out), pa.int32()), "a": pa.array([r[1] for r in out], pa.binary()), "b": pa.array([r[2] for r in out], pa.binary()), "n_a": pa.array([r[3] for r in out], pa.int32()), "n_b": pa.array([r[4] for r in out], pa.int32())})
 
     return run
@@ -482,12 +472,12 @@ def _answers(order: int, escapes: Escapes):
                     level = Contexts(np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8").astype(np.float64))
                     grams, logs = level.grams, seen_log(escapes, level.counts, level.total[level.of], level.distinct[level.of]).astype("<f4")
                 else:
-                    at = _find(words, _unpacked(first, n_first, "<u8"))
+                    at = _find(words, unpacked(first, n_first, "<u8"))
                     n = np.where(at >= 0, counts[at], 0) if len(words) else np.zeros(len(at))
-                    place = _find(grams, _unpacked(second, n_second, "<u8"))
+                    place = _find(grams, unpacked(second, n_second, "<u8"))
                     found = np.where(place >= 0, logs[place], np.nan).astype("<f4") if len(grams) else np.full(len(place), np.nan, "<f4")
                     wide = bool(len(n)) and bool(n.max() >= 1 << 32)
-                    out.append((chunk, share, wide, _packed(n.astype("<u8" if wide else "<u4")), _packed(found)))
+                    out.append((chunk, share, wide, packed(n.astype("<u8" if wide else "<u4")), packed(found)))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["chunk", "share", "wide", "counts", "logs"])
 
@@ -510,14 +500,14 @@ def _score(order: int, shares: int, folds: int, fold: int):
         counts: dict[int, int] = {}
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b > a:
-                counts.update(zip(words[a:b].tolist(), _unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").tolist()))
+                counts.update(zip(words[a:b].tolist(), unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").tolist()))
         known = _Words(counts)
         n = chunk.column("chunk")[0].as_py()
         keys, starts = packed_grams([b" ".join(t) for t in texts], order)
         grams, inverse = np.unique(keys, return_inverse=True)
         by, cuts = _sharded(grams, _middle(grams, order), shares)
         values = np.empty(len(grams), np.float32)
-        values[by] = np.concatenate([_unpacked(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        values[by] = np.concatenate([unpacked(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
         logs = values[inverse].astype(np.float64)
         open_ = np.isnan(logs)
         sums = np.add.reduceat(np.where(open_, 0.0, logs), starts)
@@ -672,7 +662,7 @@ def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold:
     levels = build(statistics, order)
     words = statistics.where("kind = 'word'")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
-    chunks = chunked(docs)
+    chunks = chunked(docs, text_bytes(docs))
     requests = chunks.groupBy("chunk").applyInArrow(_requests(order, n), REQUESTS)
     held = statistics.select("share", F.when(F.col("kind") == "word", WORDS).otherwise(GRAMS).alias("chunk"), "keys", "counts", F.lit(None).cast("int").alias("n_a"), F.lit(None).cast("int").alias("n_b"))
     asked = held.unionAll(requests).repartitionById(n, F.col("share")).sortWithinPartitions("share", "chunk")
