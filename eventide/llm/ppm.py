@@ -23,6 +23,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,9 +45,11 @@ def packed_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     pad = START * order
     data = np.frombuffer(b"".join([pad + t + END for t in texts]), np.uint8)
     keys = np.zeros(max(len(data) - order, 0), np.uint64)
-    for i in range(order + 1):
-        keys <<= np.uint64(8)
-        keys |= data[i : i + len(keys)]
+    for at in range(0, len(keys), 1 << 16):  # a part stays in a processor's cache
+        own = keys[at : at + (1 << 16)]
+        for i in range(order + 1):
+            own <<= np.uint64(8)
+            own |= data[at + i : at + i + len(own)]
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
     # a text's predictions start where its padding starts, and the padding of the next one is skipped
@@ -54,6 +57,21 @@ def packed_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return keys[at], starts
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` in order, and of each key the place of its equal; by hashing, as there are far fewer distinct ones."""
+    codes, own = pd.factorize(keys)
+    order = np.argsort(own)
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], place[codes]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` in order, and how often each is there."""
+    own, place = distinct(keys)
+    return own, np.bincount(place, minlength=len(own))
+
+
 class HashTable:
     """Values by 64-bit key, looked up for many keys at once."""
 
@@ -248,7 +266,12 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-STATISTICS = "kind string, share int, keys binary, counts binary"
+STATISTICS = "kind string, share int, keys binary, counts binary, n int"
+MERGED = "kind string, share int, keys binary, counts binary, n long, total long"
+
+
+def _counts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["kind", "share", "keys", "counts", "n"])
 
 
 def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
@@ -266,7 +289,7 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
                     own.append(b" ".join(found))
                     size += len(text)
             if own:
-                grams.append(np.unique(packed_grams(own, order)[0], return_counts=True))
+                grams.append(counted(packed_grams(own, order)[0]))
             if len(grams) >= 8:
                 grams = [_sum_counts(grams)]
             if size > limit:
@@ -280,8 +303,7 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
         if grams:
             keys, counts = _sum_counts(grams)
             out += _by_share("gram", keys, counts, shares, _middle(keys, order))
-        columns = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "share", "keys", "counts"])
+        return _counts_batch(out)
 
     return run
 
@@ -309,7 +331,7 @@ def _by_share(kind: str, keys: np.ndarray, counts: np.ndarray, shares: int, by:
     share = _share_of(keys if by is None else by, shares)
     order = np.lexsort((keys, share))
     cuts = np.searchsorted(share[order], np.arange(shares + 1))
-    return [(kind, i, keys[order[a:b]].astype("<u8").tobytes(), counts[order[a:b]].astype("<i8").tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    return [(kind, i, packed(keys[order[a:b]].astype("<u8")), packed(counts[order[a:b]].astype("<i8")), int(b - a)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +343,12 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key[0], key[1], keys.tobytes(), counts.tobytes(), len(keys), int(counts.sum())), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["kind", "share", "keys", "counts", "n", "total"])
 
     for b in batches:
-        for kind, share, keys, counts in zip(*[b.column(i).to_pylist() for i in range(4)]):
+        for kind, share, keys, counts, n in zip(*[b.column(i).to_pylist() for i in range(5)]):
             if (kind, share) != key:
                 if held:
                     yield row()
                 key, held, size = (kind, share), [], 0
-            held.append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")))
+            held.append((unpacked(keys, n, "<u8"), unpacked(counts, n, "<i8")))
             size += len(held[-1][0])
             if size > 1 << 20 and len(held) > 1:  # few keys come often: sum them up as they come
                 held = [_sum_counts(held)]
@@ -339,7 +361,7 @@ def corpus_statistics(docs: DataFrame, order: int, folds: int, fold: int) -> Dat
     """(kind, share, keys, counts, n, total): counts of all words and of all grams of the training texts of ``docs``."""
     n = shuffle_partitions(docs.sparkSession)
     parts = docs.select("doc_id", "text").mapInArrow(_statistics(order, n, folds, fold, 32 << 20), STATISTICS)
-    merged = parts.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, STATISTICS + ", n long, total long")
+    merged = parts.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, MERGED)
     return materialize(merged, "lm-statistics")
 
 
@@ -356,7 +378,7 @@ def _shorten(d: int, shares: int):
             for keys, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 own, sums = _shorter(d, np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8"))
                 out = _by_share("gram", own, sums, shares, _middle(own, d - 1) if d > 1 else np.zeros(len(own), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "share", "keys", "counts"])
+                yield _counts_batch(out)
 
     return run
 
@@ -400,10 +422,10 @@ def build(statistics: DataFrame, order: int) -> Levels:
     for d in range(order, low, -1):
         made = shares[d].mapInArrow(_shorten(d, n), STATISTICS)
         if d - 1 > low:
-            made = made.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, STATISTICS + ", n long, total long")
+            made = made.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, MERGED)
             shares[d - 1] = materialize(made.select("kind", "share", "keys", "counts"), "lm-grams")
-    lowest = made.select("keys", "counts").toArrow()
-    parts = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")) for k, c in zip(*(lowest.column(i).to_pylist() for i in range(2)))]
+    lowest = made.select("keys", "counts", "n").toArrow()
+    parts = [(unpacked(k, n, "<u8"), unpacked(c, n, "<i8")) for k, c, n in zip(*(lowest.column(i).to_pylist() for i in range(3)))]
     sums = reduce(DataFrame.unionAll, [x.mapInArrow(_escape_sums(d), "level int, class int, escaped long, stayed long") for d, x in shares.items()])
     size = Escapes.TOTALS * Escapes.DISTINCT
     found = {d: (np.zeros(size), np.zeros(size)) for d in shares}
@@ -420,11 +442,15 @@ def _sharded(keys: np.ndarray, by: np.ndarray, shares: int) -> tuple[np.ndarray,
     return order, np.searchsorted(share[order], np.arange(shares + 1))
 
 
-def _distinct_words(texts: list[list[bytes]], shares: int) -> tuple[np.ndarray, np.ndarray]:
-    words = {b""}
-    for own in texts:
-        words.update(own)
-    keys = np.unique(np.fromiter(map(word_hash, words), np.uint64, len(words)))
+def _words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of ``texts``, the end's first, and the number of each word in order."""
+    number: dict[bytes, int] = {b"": 0}
+    at = [number.setdefault(w, len(number)) for own in texts for w in own]
+    return np.fromiter(map(word_hash, number), np.uint64, len(number)), np.array(at, np.int64)
+
+
+def _distinct_words(hashes: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.unique(hashes)
     order, cuts = _sharded(keys, keys, shares)
     return keys[order], cuts
 
@@ -439,8 +465,8 @@ def _requests(order: int, shares: int):
 
     def run(chunk: pa.Table) -> pa.Table:
         texts = [tokens(t) for t in as_bytes(chunk.column("text").combine_chunks())]
-        words, word_cuts = _distinct_words(texts, shares)
-        grams = np.unique(packed_grams([b" ".join(t) for t in texts], order)[0])
+        words, word_cuts = _distinct_words(_words(texts)[0], shares)
+        grams = np.sort(pd.unique(packed_grams([b" ".join(t) for t in texts], order)[0]))
         by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
         grams = grams[by]
         n = chunk.column("chunk")[0].as_py()
@@ -453,6 +479,22 @@ def _requests(order: int, shares: int):
 ANSWERS = "chunk int, share int, wide boolean, counts binary, logs binary"
 
 
+def _few(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits that are often alike: their distinct values, the most frequent first, then the place of each."""
+    codes, own = pd.factorize(values.view("<u4"))
+    order = np.argsort(-np.bincount(codes, minlength=len(own)), kind="stable")
+    place = np.empty(len(own), "<u2" if len(own) <= 1 << 16 else "<u4")
+    place[order] = np.arange(len(own))
+    table = packed(own[order])
+    return np.array([len(own), len(table)], "<u4").tobytes() + table + packed(place[codes])
+
+
+def _few_back(raw: bytes, n: int, kind: str) -> np.ndarray:
+    n_own, size = np.frombuffer(raw[:8], "<u4").tolist()
+    place = unpacked(raw[8 + size :], n, "<u2" if n_own <= 1 << 16 else "<u4")
+    return unpacked(raw[8 : 8 + size], n_own, "<u4")[place].view(kind)
+
+
 def _answers(order: int, escapes: Escapes):
     """For each requested word its count, 0 if it isn't there, and for each gram its log10 probability, NaN if the longest
     contexts haven't seen it. A share's statistics are held, its requests pass by."""
@@ -477,7 +519,7 @@ def _answers(order: int, escapes: Escapes):
                     place = _find(grams, unpacked(second, n_second, "<u8"))
                     found = np.where(place >= 0, logs[place], np.nan).astype("<f4") if len(grams) else np.full(len(place), np.nan, "<f4")
                     wide = bool(len(n)) and bool(n.max() >= 1 << 32)
-                    out.append((chunk, share, wide, packed(n.astype("<u8" if wide else "<u4")), packed(found)))
+                    out.append((chunk, share, wide, packed(n.astype("<u8" if wide else "<u4")), _few(found)))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["chunk", "share", "wide", "counts", "logs"])
 
@@ -495,30 +537,31 @@ def _score(order: int, shares: int, folds: int, fold: int):
         if not rows:
             return pa.table([pa.array([], t) for t in SCORED_TYPES], names=SCORED_NAMES)
         texts = [tokens(t) for _, t in rows]
-        words, cuts = _distinct_words(texts, shares)
+        hashes, at = _words(texts)
+        words, cuts = _distinct_words(hashes, shares)
         got = {s: own for s, *own in zip(*(answers.column(i).to_pylist() for i in ("share", "wide", "counts", "logs")))}
-        counts: dict[int, int] = {}
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                counts.update(zip(words[a:b].tolist(), unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").tolist()))
-        known = _Words(counts)
+        times = np.concatenate([unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").astype(np.int64) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        by = np.argsort(words)
+        times = times[by][np.searchsorted(words[by], hashes)]
+        n_words = np.array([len(t) for t in texts], np.int64)
+        word_ends = np.cumsum(n_words)
+        known = np.concatenate([[0], np.cumsum(times[at] > 0)])
+        base = np.log10(times + 1.0)
         n = chunk.column("chunk")[0].as_py()
         keys, starts = packed_grams([b" ".join(t) for t in texts], order)
-        grams, inverse = np.unique(keys, return_inverse=True)
+        grams, inverse = distinct(keys)
         by, cuts = _sharded(grams, _middle(grams, order), shares)
         values = np.empty(len(grams), np.float32)
-        values[by] = np.concatenate([unpacked(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        values[by] = np.concatenate([_few_back(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
         logs = values[inverse].astype(np.float64)
         open_ = np.isnan(logs)
         sums = np.add.reduceat(np.where(open_, 0.0, logs), starts)
         of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(keys))))[open_]
         missed, ends = keys[open_], np.searchsorted(of, np.arange(len(rows) + 1))
         out = []
-        for i, ((doc_id, _), own) in enumerate(zip(rows, texts)):
-            base = np.fromiter(map(known.__getitem__, own), np.float64, len(own))
-            end = known[b""]
-            unseen, times = np.unique(missed[ends[i] : ends[i + 1]], return_counts=True)
-            out.append((n, doc_id, held_out(doc_id, folds, fold), len(own) + 1, int(np.count_nonzero(base)) + (end > 0), math.fsum(base.tolist()) + end, float(sums[i]), unseen.astype("<u8").tobytes(), times.astype("<i8").tobytes()))
+        for i, ((doc_id, _), own, stop) in enumerate(zip(rows, n_words.tolist(), word_ends.tolist())):
+            unseen, occurs = counted(missed[ends[i] : ends[i + 1]])
+            out.append((n, doc_id, held_out(doc_id, folds, fold), own + 1, int(known[stop] - known[stop - own] + (times[0] > 0)), float(base[at[stop - own : stop]].sum() + base[0]), float(sums[i]), unseen.astype("<u8").tobytes(), occurs.astype("<i8").tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), SCORED_TYPES)], names=SCORED_NAMES)
 
     return run
@@ -631,18 +674,6 @@ def resolve(levels: Levels, scored: DataFrame, order: int, shares: int) -> DataF
     return reduce(DataFrame.unionAll, [*done, going.mapInArrow(_at_root(root), DOWN)]).select("chunk", "keys", "gain")
 
 
-class _Words(dict):
-    """log10(count + 1) of words, by the counts of their hashes."""
-
-    def __init__(self, counts: dict[int, int]):
-        super().__init__()
-        self.counts = counts
-
-    def __missing__(self, word: bytes) -> float:
-        self[word] = value = math.log10(self.counts.get(word_hash(word), 0) + 1)
-        return value
-
-
 def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
