@@ -6,7 +6,9 @@ backward sampling then draws the last piece, the one before it, and so on. A pie
 model (1 / (rank + 1)); the model itself is never trained. Draws come from a counter-based generator seeded by the row's
 key, so the same row has the same pieces on every run, in any task.
 
-A space starts a unit and a line end is one, as no piece of use goes across; a unit has at most ``UNIT`` characters.
+The lattice is cut into units only where no piece of the model goes across: two neighbouring characters that no piece has
+side by side. So the draw is that from the lattice of the whole text. A unit of more than ``LONG`` characters is filtered
+in blocks; the places before each block are kept, and going back a block is filtered again, so that memory stays bounded.
 Characters that no piece has are written as byte pieces, a literal U+2581 too, so that decoding gives every text back.
 """
 
@@ -23,7 +25,10 @@ from pyspark.sql import DataFrame
 
 from .common import as_text, bounded_batches
 
-UNIT = 256
+#: Units of more characters are looked at for further cuts; still longer ones are filtered block by block.
+FINER, LONG = 64, 4096
+#: Characters that are filtered at once, and arcs that are remembered from text to text.
+AT_ONCE, ARCS = 1 << 18, 20_000_000
 SPACE = "▁"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -55,9 +60,12 @@ class PieceModel:
                 text = piece.replace(SPACE, " ")
                 self.bytes[i] = text.encode()
                 weights[i] = -theta * np.log(1.0 - own.get_score(i) + 1.0)
-                if " " not in text[1:] and "\n" not in text:
-                    pieces[text] = i
+                pieces[text] = i
         self.weights, self.longest = weights, max(map(len, pieces))
+        side_by_side = {a + b for t in pieces for a, b in zip(t, t[1:])}
+        self.inside = np.array(sorted(ord(x[0]) << 21 | ord(x[1]) for x in side_by_side), np.int64)
+        #: Whether a space starts a unit wherever none is before it, and a line end is a unit.
+        self.plain = not any(b == " " != a or "\n" in a + b for a, b in side_by_side)
         codes = _hashes_of(list(pieces))
         order = np.argsort(codes)
         self.hashes, self.ids = codes[order], np.array(list(pieces.values()))[order]
@@ -74,6 +82,26 @@ class PieceModel:
         out[some] = np.where(self.hashes[at] == hashes[some], self.ids[at], -1)
         return out
 
+    def units(self, text: str) -> list[str]:
+        """``text`` cut where no piece goes across; joined, the units give it back."""
+        if not self.plain:
+            parts = [text]
+        elif "\0" in text:
+            parts = [x for i, y in enumerate(text.split("\0")) for x in (["\0"] * (i > 0) + self.units(y))]
+        else:
+            marked = text.replace(" ", "\0 ")
+            if "  " in text:
+                marked = marked.replace(" \0", " ")  # a run of spaces has pieces of its own
+            parts = marked.replace("\n", "\0\n\0").split("\0")
+        if len(text) > FINER and max(map(len, parts)) > FINER:
+            parts = [x for p in parts for x in (self._finer(p) if len(p) > FINER else (p,))]
+        return parts
+
+    def _finer(self, part: str) -> list[str]:
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        cuts = (np.flatnonzero(~np.isin(codes[:-1] << 21 | codes[1:], self.inside)) + 1).tolist()
+        return [part[a:e] for a, e in zip([0, *cuts], [*cuts, len(part)])]
+
     def log_weights(self, pieces: np.ndarray) -> np.ndarray:
         """Of pieces, or of characters in bytes (-1 - code point)."""
         out = self.weights[np.maximum(pieces, 0)]
@@ -133,19 +161,20 @@ class Lattices:
     def numbers(self, units: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
         new, self.units.new = self.units.new, []
-        for i in range(0, len(new), 50_000):
-            self._add(new[i : i + 50_000])
+        sizes = np.cumsum([len(u) for u in new])
+        i = 0
+        while i < len(new):
+            end = max(int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + AT_ONCE, side="right")), i + 1)
+            self._add(new[i:end])
+            i = end
         return at
 
-    def _add(self, new: list[str]) -> None:
+    def _arcs(self, chars: np.ndarray, left: np.ndarray, from_: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that match: first character, number of characters, piece. ``left``: characters up to the end of each one's unit.
+
+        Only those that end after the character ``from_``.
+        """
         model = self.model
-        lengths = np.array([len(u) for u in new], np.int64)
-        chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4")
-        first = np.cumsum(lengths) - lengths
-        # a unit of n characters has n + 1 places
-        start_place = np.cumsum(lengths + 1) - (lengths + 1)
-        place = np.arange(len(chars)) + np.repeat(start_place - first, lengths)
-        left = np.repeat(first + lengths, lengths) - np.arange(len(chars))
         hashes, at = np.zeros(len(chars), np.uint64), np.arange(len(chars))
         froms, widths, pieces = [], [], []
         for n in range(1, model.longest + 1):
@@ -153,18 +182,29 @@ class Lattices:
             if not len(at):
                 break
             hashes[at] = _extend(hashes[at], chars[at + n - 1])
-            found = model.find(hashes[at])
+            own = at[at + n > from_]
+            found = model.find(hashes[own])
             if n == 1:
-                found = np.where(found < 0, -1 - chars[at].astype(np.int64), found)
-                hit = np.arange(len(at))
+                found = np.where(found < 0, -1 - chars[own].astype(np.int64), found)
+                hit = np.arange(len(own))
             else:
                 hit = np.flatnonzero(found >= 0)
-            froms.append(place[at[hit]])
+            froms.append(own[hit])
             widths.append(np.full(len(hit), n))
             pieces.append(found[hit])
-        back = np.concatenate(froms) if froms else np.zeros(0, np.int64)
-        to = back + (np.concatenate(widths) if widths else 0)
-        piece = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (froms, widths, pieces))
+
+    def _add(self, new: list[str]) -> None:
+        model = self.model
+        lengths = np.array([len(u) for u in new], np.int64)
+        chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum(lengths) - lengths
+        # a unit of n characters has n + 1 places
+        start_place = np.cumsum(lengths + 1) - (lengths + 1)
+        place = np.arange(len(chars)) + np.repeat(start_place - first, lengths)
+        at, width, piece = self._arcs(chars, np.repeat(first + lengths, lengths) - np.arange(len(chars)))
+        back = place[at]
+        to = back + width
         order = np.argsort(to * (model.longest + 1) + back - to + model.longest)  # by end, the longest first
         back, to, piece = back[order], to[order], piece[order]
         log = model.log_weights(piece)
@@ -198,15 +238,63 @@ class Lattices:
         self.ends.add(places + start_place + lengths)
         self.total.add(alpha[start_place + lengths])
 
+    def _block(self, chars: np.ndarray, start: int, end: int, alpha: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Filter the places after ``start`` up to ``end`` of a long unit; ``alpha``: log weights of the ``longest`` places up to ``start``.
+
+        Returns those up to ``end``, and of each place its arcs: running probability, characters, piece.
+        """
+        most = self.model.longest
+        low = max(start - most, 0)
+        own = chars[low:end]
+        at, width, piece = self._arcs(own, len(own) - np.arange(len(own)), start - low)
+        order = np.lexsort((at, at + width))
+        at, width, piece = at[order], width[order], piece[order]
+        log = self.model.log_weights(piece)
+        here = np.concatenate([alpha[len(alpha) - 1 - (start - low) :], np.zeros(end - start)])
+        cuts = np.searchsorted(at + width, np.arange(start - low + 1, end - low + 2))
+        arcs = []
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), start - low + 1):
+            value = here[at[a:b]] + log[a:b]
+            best = value.max()
+            upto = np.cumsum(np.exp(value - best))
+            here[i] = best + np.log(upto[-1])
+            running = (upto / upto[-1]).astype(np.float32)
+            running[-1] = 1.0
+            arcs.append((running, width[a:b], piece[a:b]))
+        return here[-most - 1 :], arcs
+
+    def sample_long(self, unit: str, seed: np.uint64) -> tuple[np.ndarray, float]:
+        """Pieces (or characters in bytes) drawn for one long unit, and the log of their probability."""
+        chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4")
+        starts = range(0, len(chars), LONG)
+        kept, alpha = [], np.zeros(1)
+        for s in starts:
+            kept.append(alpha)
+            alpha, _ = self._block(chars, s, min(s + LONG, len(chars)), alpha)
+        total, drawn, place, step = float(alpha[-1]), [], len(chars), 0
+        for s, before in zip(reversed(starts), reversed(kept)):
+            _, arcs = self._block(chars, s, min(s + LONG, len(chars)), before)
+            while place > s:
+                running, width, piece = arcs[place - s - 1]
+                i = int(np.searchsorted(running, uniform(np.array([seed]), np.array([step]))[0], side="right"))
+                drawn.append(int(piece[i]))
+                place -= int(width[i])
+                step += 1
+        ids = np.array(drawn[::-1], np.int64)
+        return ids, float(self.model.log_weights(ids).sum()) - total
+
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[tuple[np.ndarray, float]]:
         """For each text the ids of a drawn segmentation, and the log of its probability."""
-        if len(self.units) > self.limit:
+        if len(self.units) > self.limit or self.running.n > ARCS:
             self.clear()
         counts, units = [], []
         for t in texts:
-            own = split_units(t)
+            own = self.model.units(t)
             counts.append(len(own))
             units += own
+        long_units = {i: u for i, u in enumerate(units) if len(u) > LONG}
+        for i in long_units:
+            units[i] = ""
         at = self.numbers(units)
         counts = np.array(counts, np.int64)
         in_text = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -233,12 +321,27 @@ class Lattices:
         for i, (own, arc) in enumerate(drawn):
             arcs[ends[own] - 1 - i] = arc
         ids = self.piece.data[arcs].astype(np.int64)
-        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], ends])
         logs = np.concatenate([[0.0], np.cumsum(self.model.log_weights(ids))])
         totals = np.concatenate([[0.0], np.cumsum(self.total.data[at])])
-        out = []
-        for a, e, u, v in zip([0, *text_ends.tolist()], text_ends.tolist(), [0, *np.cumsum(counts).tolist()], np.cumsum(counts).tolist()):
-            out.append((self._with_bytes(ids[a:e]), float(logs[e] - logs[a] - totals[v] + totals[u])))
+        blocked = {i: self.sample_long(u, seed[i]) for i, u in long_units.items()}
+        out, first = [], 0
+        for n in counts.tolist():
+            last = first + n
+            a, e = int(before[first]), int(before[last])
+            log = float(logs[e] - logs[a] - totals[last] + totals[first])
+            own = [i for i in blocked if first <= i < last] if blocked else []
+            if own:
+                parts, start = [], a
+                for i in own:
+                    parts += [ids[start : before[i]], blocked[i][0]]
+                    start = int(before[i])
+                    log += blocked[i][1]
+                found = np.concatenate([*parts, ids[start:e]])
+            else:
+                found = ids[a:e]
+            out.append((self._with_bytes(found), log))
+            first = last
         return out
 
     def _with_bytes(self, ids: np.ndarray) -> np.ndarray:
@@ -270,17 +373,6 @@ class _Units(dict):
         return n
 
 
-def split_units(text: str) -> list[str]:
-    """``text`` in units, which joined give it back: a space starts one, a line end is one, none is longer than ``UNIT``."""
-    if "\0" in text:
-        parts = [x for i, y in enumerate(text.split("\0")) for x in (["\0"] * (i > 0) + split_units(y))]
-    else:
-        parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-    if len(text) > UNIT and max(map(len, parts)) > UNIT:
-        parts = [p[i : i + UNIT] for p in parts for i in range(0, max(len(p), 1), UNIT)]
-    return parts
-
-
 _LATTICES: dict[tuple[str, float], Lattices] = {}
 
 
@@ -295,6 +387,17 @@ def row_seed(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id), seed)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, at most 256 of about ``AT_ONCE`` bytes (or one) at a time."""
+    sizes = np.cumsum([len(x or "") for x in batch.column(1).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * AT_ONCE, side="right"))
+        end = max(min(end, at + 256), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 RESULT = "doc_id long, n_pieces long, log_probability double, ids_crc32 long, decoded string, ids binary"
 
 
@@ -310,8 +413,7 @@ def sampled_pieces(docs: DataFrame, model_path: str, theta: float = 0.3, seed: i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model_path, theta)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in _slices(batch):
                 doc_ids, texts = b.column(0).to_pylist(), as_text(b.column(1))
                 found = lattices.sample(texts, np.array([row_seed(d, seed) for d in doc_ids], np.uint64))
                 raw = [ids.tobytes() for ids, _ in found]

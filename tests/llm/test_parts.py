@@ -119,6 +119,47 @@ def test_pieces_are_drawn_by_weight():
         assert abs(tally.get(key, 0) / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def whole_lattice(model, text: str) -> tuple[dict, float, list[float], list[float]]:
+    """By plain sums over the whole text: pieces, log of all weights, and the forward and backward logs of each place."""
+    pieces = {b.decode(): i for i, b in enumerate(model.bytes) if b and b.isascii() and i not in set(model.byte_ids.tolist())}
+    fore, back = [0.0], [0.0]
+    for e in range(1, len(text) + 1):
+        fore.append(np.logaddexp.reduce([fore[a] + model.weights[pieces[text[a:e]]] for a in range(max(0, e - 16), e) if text[a:e] in pieces]))
+    for a in range(len(text) - 1, -1, -1):
+        back.insert(0, np.logaddexp.reduce([back[e - a - 1] + model.weights[pieces[text[a:e]]] for e in range(a + 1, min(len(text), a + 16) + 1) if text[a:e] in pieces]))
+    return pieces, fore[-1], fore, back
+
+
+@pytest.mark.parametrize("long, n", [(4096, 3000), (64, 200)])
+def test_pieces_of_long_texts_are_drawn_from_the_whole_lattice(long, n, monkeypatch):
+    """Runs of spaces, words of several hundred letters: probabilities are those of the lattice that nothing cuts."""
+    from eventide.llm import pieces as own
+
+    monkeypatch.setattr(own, "LONG", long)
+    model = own.PieceModel(public_tokenizers.path("piece_bpe_32k.model"), 0.3)
+    r = random.Random(11)
+    text = "in   the" + " " * 21 + "".join(r.choice("theandersonicaling") for _ in range(300)) + "  of  the" + " " * 5
+    pieces, z, fore, back = whole_lattice(model, text)
+    assert max(map(len, model.units(text))) > 64 and "".join(model.units(text)) == text
+    drawn = own.Lattices(model).sample([text] * n, np.arange(n, dtype=np.uint64) * np.uint64(104_729))
+    times: dict[tuple[int, int], int] = {}
+    for ids, log in drawn:
+        assert log == pytest.approx(model.weights[ids].sum() - z, abs=1e-3)
+        at = 0
+        for i in ids.tolist():
+            end = at + len(model.bytes[i])
+            times[at, end] = times.get((at, end), 0) + 1
+            at = end
+    checked = 0
+    for a in range(len(text)):
+        for e in range(a + 1, min(len(text), a + 16) + 1):
+            if text[a:e] in pieces:
+                p = math.exp(fore[a] + model.weights[pieces[text[a:e]]] + back[e] - z)
+                assert abs(times.get((a, e), 0) / n - p) < 5.5 * math.sqrt(p * (1 - p) / n) + 2e-3
+                checked += " " in text[a + 1 : e]
+    assert checked > 20
+
+
 @given(st.text(max_size=80), st.integers(0, 2**63))
 @settings(max_examples=80, deadline=None)
 def test_pieces_are_lossless(text, seed):
