@@ -9,8 +9,10 @@ Spark's commit, which survives lost tasks, in any store that Spark writes to.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -18,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_text, bounded_batches, shared_dir, shuffle_partitions
@@ -70,13 +73,33 @@ def decode_ids(coded: Coded, n: int) -> np.ndarray:
     return np.frombuffer(coded.table, "<u4")[ranks]
 
 
+#: Fixed values of a tokenizer file whose ids :class:`Encoder` can put together from parts: its words, and how texts are changed first.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def in_parts(form: dict) -> bool:
+    """Whether a tokenizer, read from its file, works word by word in the way that :class:`Encoder` needs."""
+    model, before = form["model"], form.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}]
+    words = {k: steps[0].get(k) for k in ("type", "pattern", "behavior", "invert")}
+    return (
+        (form.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and words == {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
+        and (model["type"], model.get("end_of_word_suffix"), model.get("continuing_subword_prefix"), model.get("dropout")) == ("BPE", "</w>", None, None)
+        and all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in form.get("added_tokens", ()))
+    )
+
+
 class Encoder:
-    """Ids of whole texts, from ids of their distinct parts.
+    """Ids of whole texts by the tokenizers library; for a tokenizer that works word by word, from ids of distinct parts.
 
-    The tokenizer never joins characters across a space or a line end, so a text's ids are those of its parts between
+    Such a tokenizer never joins characters across a space or a line end, so a text's ids are those of its parts between
     them, in order. Parts seen before are looked up; new ones of many texts are encoded in one call. Where one ends shows in the ids
     themselves: the vocabulary marks the last id of each word, and a part of plain form has a known number of words. Other
-    parts are encoded one by one. The memory of parts is emptied when it holds more than ``limit``.
+    parts are encoded one by one. The memory of parts is emptied when it holds more than ``limit``. Whether a tokenizer is
+    of that kind is read from its file (:func:`in_parts`); any other gets whole texts.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -84,6 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.in_parts = in_parts(json.loads(self.tokenizer.to_str()))
         vocab = self.tokenizer.get_vocab()
         size = max(vocab.values()) + 1
         self.last = np.zeros(size, bool)
@@ -105,6 +129,8 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
+        if not self.in_parts:
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.places) > self.limit:
             self.clear()
         counts, parts = [], []
@@ -198,92 +224,73 @@ class _Places(dict):
         return n
 
 
-BLOCK = "shard int, block int, n_docs long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, table binary, control binary, data binary"
-
-
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 20) -> DataFrame:
-    """(doc_id, h, ids) for every row: little-endian ids of its whole text (null: empty) with ``end_id`` after it."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(tokenizer_path)
-        end = np.array([end_id], "<u4")
-        for b in batches:
-            texts = as_text(b.column(2))
-            for at in range(0, len(texts), 512):
-                ids = [np.concatenate([x, end]).astype("<u2" if encoder.kind == np.uint16 and end_id < 1 << 16 else "<u4").tobytes() for x in encoder.ids(texts[at : at + 512])]
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["doc_id", "part", "ids"])
-
-    return docs.select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part int, ids binary")
-
-
-def _ranges(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """``docs`` with the number of its range of doc_id, ascending, nulls first; bounds come from the ids alone."""
-    at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    cuts = sorted({int(c) for c in docs.select(at.alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)})
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    return docs.withColumn("part", F.size(F.filter(edges, lambda c: c <= at)).cast("int")), len(cuts) + 1
+BLOCK = "shard int, block int, before long, n_docs long, n_ids long, doc_ids binary, null_ids binary, doc_lengths binary, table binary, control binary, data binary"
 
 
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 1 << 20) -> None:
-    """Encode every row of ``docs`` and write the blocks to ``path``, in ascending (doc_id, ids) order over shards."""
+    """Encode every row of ``docs`` and write the blocks to ``path``, in ascending (doc_id, hash of the text) order over shards.
+
+    A shard is a range of that order, so rows of one doc_id may be in several. Each block says how many ids of its shard are
+    before it.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranged, n = _ranges(docs, max(shuffle_partitions(spark), 4))
-    wide = _id_type(tokenizer_path, end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs_of, shard, block, held = [], [], None, 0, 0
+        encoder, end = Encoder.shared(tokenizer_path), np.array([end_id], np.uint32)
+        ids: list[np.ndarray] = []
+        docs_of: list[int | None] = []
+        shard, block, before, held = 0, 0, 0, 0
         for b in batches:
-            for doc_id, part, raw in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                if docs_of and (part != shard or held >= block_ids):
-                    yield _block(shard, block, docs_of, ids)
-                    block = block + 1 if part == shard else 0
-                    ids, docs_of, held = [], [], 0
-                shard = part
-                ids.append(np.frombuffer(raw, wide))
-                docs_of.append(doc_id)
-                held += len(ids[-1])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                shard = part.column(0)[0].as_py()
+                for doc_id, own in zip(part.column(1).to_pylist(), encoder.ids(as_text(part.column(2)))):
+                    if docs_of and held >= block_ids:
+                        yield _block(shard, block, before, docs_of, ids)
+                        ids, docs_of, block, before, held = [], [], block + 1, before + held, 0
+                    ids.append(np.concatenate([own, end]).astype(np.uint32))
+                    docs_of.append(doc_id)
+                    held += len(ids[-1])
         if docs_of:
-            yield _block(shard, block, docs_of, ids)
-
-    encoded = encode_documents(ranged, tokenizer_path, end_id)
-    encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").mapInArrow(run, BLOCK).write.parquet(path)
+            yield _block(shard, block, before, docs_of, ids)
 
+    n = max(shuffle_partitions(spark), 4)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(n, F.asc_nulls_first("doc_id"), F.asc("h"))
+    ordered = rows.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("h"))
+    ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, BLOCK).write.parquet(path)
 
-def _id_type(tokenizer_path: str, end_id: int) -> str:
-    from tokenizers import Tokenizer
 
-    return "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-
-
-def _block(shard: int, block: int, doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+def _block(shard: int, block: int, before: int, doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
     coded = encode_ids(np.concatenate(ids))
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     lengths = np.array([len(x) for x in ids], "<i8")
-    row = [shard, block, len(ids), int(lengths.sum()), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), nulls.tobytes() if nulls.any() else b"", lengths.tobytes(), *coded]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    row = [shard, block, before, len(ids), int(lengths.sum()), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), nulls.tobytes() if nulls.any() else b"", lengths.tobytes(), *coded]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
 
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+
+
 def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, decoded from the blocks at ``path``.
 
-    ``start`` is the number of ids of all documents before it. The driver sees two numbers for each block's shard: the
-    rest of the order is kept within the blocks. ``ids`` are unsigned 32-bit, as int64 array is four times their size it
-    stays binary.
+    ``start`` is the number of ids of all documents before it: those of the shards before, added up over one row for each
+    shard, and those before its block, which the block says. ``ids`` are unsigned 32-bit; as int64 array is four times
+    their size it stays binary.
     """
     files = spark.read.parquet(path)
-    blocks = sorted((r["shard"], r["block"], r["n_ids"]) for r in files.select("shard", "block", "n_ids").collect())
-    starts, before = {}, 0
-    for shard, block, n in blocks:
-        starts[shard, block] = before
-        before += n
-    shared = spark.sparkContext.broadcast(starts)  # a number for each block of about a million ids
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("of_shards"))
+    placed = files.join(F.broadcast(shards), "shard")  # as many rows as shards were written
+    own = placed.select((F.col("of_shards") + F.col("before")).alias("start"), "n_ids", "doc_ids", "null_ids", "doc_lengths", "table", "control", "data")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 ids = decode_ids(Coded(row["table"], row["control"], row["data"]), row["n_ids"]).astype("<u4")
                 lengths = np.frombuffer(row["doc_lengths"], "<i8")
                 ends = np.cumsum(lengths)
@@ -291,21 +298,19 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
                 nulls = np.frombuffer(row["null_ids"], np.uint8).astype(bool) if row["null_ids"] else None
                 own = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=nulls), pa.array(ends - lengths + shared.value[row["shard"], row["block"]]), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
+                    [pa.array(doc_ids, mask=nulls), pa.array(ends - lengths + row["start"]), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return own.mapInArrow(run, READ)
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write ``docs`` as token blocks in the shared folder and read them back: (doc_id, start, n_tokens, ids_crc32, ids).
 
-    Null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id are ordered by their ids, so
-    repeated rows follow each other. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id are ordered by a hash of their
+    texts, so repeated rows follow each other. An empty table gives an empty result. Other columns are ignored.
     """
-    import uuid
-
     path = f"{shared_dir(docs.sparkSession)}/token-blocks-{uuid.uuid4().hex}"
     write_token_blocks(docs, path, tokenizer_path, end_id)
     return read_token_blocks(docs.sparkSession, path)

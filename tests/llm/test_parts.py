@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eventide.llm import mainhtml, ppm, tokenids, toxicity, winnowing
 from eventide.llm.labelled import labelled_pages
@@ -55,6 +56,29 @@ def test_token_blocks_round_trip(ids):
     assert tokenids.decode_ids(coded, len(ids)).tolist() == ids
 
 
+@pytest.mark.parametrize("name, parts", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_the_librarys_whatever_the_tokenizer(spark, small, name, parts):
+    """A tokenizer that doesn't work word by word gets whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    assert tokenids.Encoder(path).in_parts == parts
+    texts = ["", "It's 3.5 o'clock,\n\n  they'LL say", "naïve ÇA İstanbul ﬁ 漢字 🙂", "tab\tand\x00nul <|endoftext|> x<|endoftext|>y", "a  b   c\u2003d\u0085e", "e\u0301 \u212b ß ẞ Σ. ΑΣ,"]
+    texts += [t or "" for t in pq.read_table(os.path.join(small, "documents.parquet"), columns=["text"]).column(0).to_pylist()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in tokenids.token_ids(docs, path, 1).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+
+
+def test_rows_of_one_id_are_dealt_to_several_shards(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    out = tokenids.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 1).orderBy("start").collect()
+    ids = [r["doc_id"] for r in out]
+    assert len(out) == 4000 and ids[:3600] == [None] * 3600 and ids[3600:] == sorted(ids[3600:])
+    assert out[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
+
+
 def test_ppm_probabilities_add_up():
     texts = [b"the cat sat on the mat", b"the cat ate", b"a mat and a hat", b"the hat"]
     order = 3
@@ -265,7 +289,6 @@ def test_pseudonyms_of_numbers_side_by_side(spark):
 
 
 def test_digit_permutation_is_one_to_one(spark):
-    from pyspark.sql import functions as F
 
     from eventide.llm.pii import permute_digits
 
