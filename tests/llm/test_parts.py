@@ -248,6 +248,35 @@ def test_winnowing_guarantees_long_matches():
         assert set(winnowing.winnow(a, 12, 24).hashes.tolist()) & set(winnowing.winnow(b, 12, 24).hashes.tolist())
 
 
+@given(st.lists(st.integers(1, 4), max_size=120), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=5), min_size=1, max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_backward_search_finds_and_locates_all_occurrences(seq, phrases):
+    from eventide.llm import fmindex
+
+    ends = np.array([*seq, 0])
+    assert fmindex.suffix_array(ends).tolist() == sorted(range(len(ends)), key=lambda i: ends[i:].tolist())
+    index = fmindex.FMIndex.of(np.array(seq, np.int64), 4, step=3)
+    for p in phrases:
+        which, low, high = index.search(np.array([p]))
+        at = sorted(index.locate(np.arange(low[0], high[0])).tolist()) if len(which) else []
+        assert at == [i for i in range(len(seq) - len(p) + 1) if seq[i : i + len(p)] == p]
+
+
+def test_index_is_the_same_after_it_was_written():
+    from eventide.llm import fmindex
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(60))).encode() for _ in range(50)]
+    texts += texts[:5] + [b""]
+    shard = fmindex.Shard.build(texts)
+    phrases = fmindex.Phrases.of([("1", b"a b a"), ("2", b"c c d a b b"), ("3", b"nowhere to find"), ("4", b"")], 4)
+    found = shard.find(phrases)
+    assert fmindex.Shard.from_bytes(shard.to_bytes()).find(phrases) == found
+    for text, items in zip(texts, found.items):
+        own = b" " + text + b" "
+        assert items == [i for i, ws in (("1", [b"a b a"]), ("2", [b"c c d a", b"c d a b", b"d a b b"])) if any(b" " + w + b" " in own for w in ws)]
+
+
 def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -289,7 +318,6 @@ def test_pseudonyms_of_numbers_side_by_side(spark):
 
 
 def test_digit_permutation_is_one_to_one(spark):
-
     from eventide.llm.pii import permute_digits
 
     found = spark.range(1000).select(permute_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p")).collect()
