@@ -1,12 +1,14 @@
 """Labelled pages to train the extractor on: layouts drawn from a seed, with ``data-label="main"`` on what is main text.
 
 The pages vary in what marks the article (an element, a class or id, nothing but its place), in what stands around and
-inside it, and in the lengths of all texts, so that no single sign is always right.
+inside it, and in the lengths of all texts, so that no single sign is always right. In bare pages all elements are plain
+divisions without telling names, where only the texts themselves tell.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 #: Names that sites give to the parts of a page.
 MAIN = ("article", "main", "div.content", "div#content", "div.post", "div.entry-content", "div.article-body", "section.story", "div#main", "td.text", "div.text")
@@ -19,6 +21,7 @@ NOTICES = ("div.cookie-notice", "div.notice", "div#cookie-banner", "div.consent"
 FORMS = ("form", "form.search", "form#login", "form.subscribe", "div.search-form")
 COMMENTS = ("div.comments", "section#comments", "ol.comment-list", "div.comment", "section.responses", "div.replies", "div#disqus-thread")
 FRAMES = ("div", "div.wrapper", "div.container", "div#page", "div.row", "section", "div.col", "table")
+TELLING = "address article aside blockquote footer h1 h2 header li main nav p section ul ol".split()
 LETTERS = "aeiouaeiouaeiourstlnmdkpbgvhfzäéñ"
 
 
@@ -98,9 +101,18 @@ class Pages:
                 out.append(f'</{"span"}>{self.words(2, 30)}<br>{self.words(1, 20)}')
         return "".join(x if not x.startswith("</span>") else f"<div>{x[7:]}</div>" for x in out)
 
+    def bare(self, page: str) -> str:
+        """``page`` with divisions for elements, and names that tell nothing or none at all."""
+        page = re.sub(rf"<(/?)(?:{'|'.join(TELLING)})(?=[\s>])", r"<\1div", page)
+        named = self.random.random() < 0.5
+        name = lambda m: f' {m[1]}="{self.random.choice("bcdfgkqxz")}{self.random.randint(1, 99)}"' if named else ""
+        return re.sub(r' (class|id)="[^"]*"', name, page)
+
     def page(self) -> str:
         r = self.random
         before = [self.prose(r.choice(HEADERS), 8) if r.random() < 0.5 else ""] + [self.links(r.choice(MENUS)) for _ in range(r.randint(0, 2))] + [self.aside() for _ in range(r.randint(0, 2))]
+        if r.random() < 0.08:
+            before.insert(0, f"<noscript><div>{self.words(3, 14)}</div></noscript>")
         kind, body = r.choice(MAIN), self.article()
         parts = [self.element(kind, body, main=True)]
         if r.random() < 0.3:  # something else inside the article's own element
@@ -125,3 +137,8 @@ class Pages:
 def labelled_pages(n: int = 600, seed: int = 6) -> list[str]:
     pages = Pages(seed)
     return [pages.page() for _ in range(n)]
+
+
+def bare_pages(n: int = 80, seed: int = 7) -> list[str]:
+    pages = Pages(seed)
+    return [pages.bare(pages.page()) for _ in range(n)]

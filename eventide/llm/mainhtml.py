@@ -20,10 +20,12 @@ from .common import as_text, bounded_batches
 
 #: Fixed values of HTML: elements that part blocks, that have no end tag, and whose content isn't shown text.
 BLOCKS = frozenset(
-    "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head iframe math noscript object script style svg template textarea title".split())
+HIDDEN = frozenset("head iframe script style svg template textarea title".split())
+#: Of these, the ones whose content ends with the page where it has no end tag.
+RAW = frozenset("iframe script style textarea title".split())
 #: What a start tag closes where it is innermost.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
@@ -116,7 +118,7 @@ def leaf_blocks(page: str, root: Node) -> list[Block]:
         elif name in HIDDEN:
             if not closing and not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(name)}[\s/>]" if name != "head" else r"</head[\s/>]|<body[\s/>]", re.I).search(page, at)
-                at = over.start() if over else (end if name != "head" else at)
+                at = over.start() if over else (end if name in RAW else at)
         elif name == "a":
             links = 0 if closing else 1
         elif name == "br":
@@ -125,19 +127,29 @@ def leaf_blocks(page: str, root: Node) -> list[Block]:
     return out
 
 
-def text_features(block: Block, first: bool, last: bool) -> tuple[str, ...]:
-    """What a block's text looks like: its length, its share of link text, its end, whether a copyright sign is there."""
-    text = block.text
-    size = (text.count(" ") + 1).bit_length()
-    link = 0 if not block.in_links else 1 if 3 * block.in_links < len(text) else 2 if 3 * block.in_links < 2 * len(text) else 3
-    return (
-        f"len:{size if size < 7 else 7}",
-        f"link:{link}",
-        "end:1" if text[-1] in ".!?" else "end:0",
-        "copy:1" if "©" in text else "copy:0",
-        f"edge:{int(first)}{int(last)}",
-        f"in:{block.node.tag}",
-    )
+def text_features(blocks: list[Block]) -> list[tuple[str, ...]]:
+    """What each block's text looks like: its length, its share of link text, its end, a copyright sign; lengths and links beside it."""
+    sizes, links = [], []
+    for b in blocks:
+        size = (b.text.count(" ") + 1).bit_length()
+        sizes.append(size if size < 7 else 7)
+        links.append(0 if not b.in_links else 1 if 3 * b.in_links < len(b.text) else 2 if 3 * b.in_links < 2 * len(b.text) else 3)
+    shapes = [f"{s}{k}" for s, k in zip(sizes, links)]
+    out, last = [], len(blocks) - 1
+    for i, b in enumerate(blocks):
+        out.append(
+            (
+                f"len:{sizes[i]}",
+                f"link:{links[i]}",
+                f"before:{shapes[i - 1] if i else ''}",
+                f"after:{shapes[i + 1] if i < last else ''}",
+                "end:1" if b.text[-1] in ".!?" else "end:0",
+                "copy:1" if "©" in b.text else "copy:0",
+                f"edge:{int(i == 0)}{int(i == last)}",
+                f"in:{b.node.tag}",
+            )
+        )
+    return out
 
 
 class Field(NamedTuple):
@@ -148,13 +160,13 @@ class Field(NamedTuple):
     start: tuple[float, float]
 
     def emissions(self, blocks: list[Block]) -> list[float]:
-        get, out, n = self.weights.get, [], len(blocks)
-        for i, b in enumerate(blocks):
+        get, out = self.weights.get, []
+        for b, own in zip(blocks, text_features(blocks)):
             node = b.node
             if node.score is None:
                 node.score = sum(get(f, 0.0) for f in node.features)
             score = node.score
-            for f in text_features(b, i == 0, i == n - 1):
+            for f in own:
                 score += get(f, 0.0)
             out.append(score)
         return out
@@ -213,9 +225,9 @@ def fit(pages: Iterable[str], rounds: int = 200, rate: float = 0.15, ridge: floa
     shape = (len(chains), lengths.max())
     truth, cells, ids = np.zeros(shape, np.int64), [], []
     for i, blocks in enumerate(chains):
-        for t, b in enumerate(blocks):
+        for t, (b, found) in enumerate(zip(blocks, text_features(blocks))):
             truth[i, t] = b.node.label
-            own = [number.setdefault(f, len(number)) for f in (*sorted(b.node.features), *text_features(b, t == 0, t == len(blocks) - 1))]
+            own = [number.setdefault(f, len(number)) for f in (*sorted(b.node.features), *found)]
             cells += [i * shape[1] + t] * len(own)
             ids += own
     cells, ids = np.array(cells), np.array(ids)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fmindex import contamination
-from .labelled import labelled_pages
+from .labelled import bare_pages, labelled_pages
 from .mainhtml import fit, main_text
 from .pieces import sampled_pieces
 from .pii import pseudonymise
@@ -46,7 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"), fit(labelled_pages(600, seed=6)))
+    return main_text(table(spark, sf_dir, "pages"), fit([*labelled_pages(600, seed=6), *bare_pages(80, seed=7)]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
