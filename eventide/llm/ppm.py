@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -442,11 +443,22 @@ def _sharded(keys: np.ndarray, by: np.ndarray, shares: int) -> tuple[np.ndarray,
     return order, np.searchsorted(share[order], np.arange(shares + 1))
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first sight, the end's first."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of ``texts``, the end's first, and the number of each word in order."""
-    number: dict[bytes, int] = {b"": 0}
-    at = [number.setdefault(w, len(number)) for own in texts for w in own]
-    return np.fromiter(map(word_hash, number), np.uint64, len(number)), np.array(at, np.int64)
+    number = _Numbers()
+    at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64)
+    return np.fromiter(map(word_hash, number), np.uint64, len(number)), at
 
 
 def _distinct_words(hashes: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
@@ -465,7 +477,8 @@ def _requests(order: int, shares: int):
 
     def run(chunk: pa.Table) -> pa.Table:
         texts = [tokens(t) for t in as_bytes(chunk.column("text").combine_chunks())]
-        words, word_cuts = _distinct_words(_words(texts)[0], shares)
+        own = {b"", *chain.from_iterable(texts)}
+        words, word_cuts = _distinct_words(np.fromiter(map(word_hash, own), np.uint64, len(own)), shares)
         grams = np.sort(pd.unique(packed_grams([b" ".join(t) for t in texts], order)[0]))
         by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
         grams = grams[by]
@@ -476,60 +489,56 @@ def _requests(order: int, shares: int):
     return run
 
 
-ANSWERS = "chunk int, share int, wide boolean, counts binary, logs binary"
+ANSWERS = "chunk int, share int, words binary, counts binary, totals binary, distinct binary"
 
 
-def _few(values: np.ndarray) -> bytes:
-    """Numbers of 32 bits that are often alike: their distinct values, the most frequent first, then the place of each."""
-    codes, own = pd.factorize(values.view("<u4"))
-    order = np.argsort(-np.bincount(codes, minlength=len(own)), kind="stable")
-    place = np.empty(len(own), "<u2" if len(own) <= 1 << 16 else "<u4")
-    place[order] = np.arange(len(own))
-    table = packed(own[order])
-    return np.array([len(own), len(table)], "<u4").tobytes() + table + packed(place[codes])
+def _packed_counts(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, or 64 where one needs them; the first byte tells."""
+    kind = "<u8" if len(values) and values.max() >= 1 << 32 else "<u4"
+    return kind[-1].encode() + packed(values.astype(kind))
 
 
-def _few_back(raw: bytes, n: int, kind: str) -> np.ndarray:
-    n_own, size = np.frombuffer(raw[:8], "<u4").tolist()
-    place = unpacked(raw[8 + size :], n, "<u2" if n_own <= 1 << 16 else "<u4")
-    return unpacked(raw[8 : 8 + size], n_own, "<u4")[place].view(kind)
+def _unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    return unpacked(raw[1:], n, "<u" + raw[:1].decode()).astype(np.float64)
 
 
-def _answers(order: int, escapes: Escapes):
-    """For each requested word its count, 0 if it isn't there, and for each gram its log10 probability, NaN if the longest
-    contexts haven't seen it. A share's statistics are held, its requests pass by."""
+def _contexts_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of sorted ``grams``, and the place of each gram's."""
+    contexts = grams >> np.uint64(8)
+    new = np.concatenate([[True], contexts[1:] != contexts[:-1]])[: len(grams)]
+    return contexts[new], np.cumsum(new) - 1
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
-        for b in batches:
-            out = []
-            for share, chunk, first, second, n_first, n_second in zip(*[b.column(i).to_pylist() for i in range(6)]):
-                if share != key:
-                    key = share
-                    words = grams = np.zeros(0, "<u8")
-                    counts, logs = np.zeros(0, "<i8"), np.zeros(0, "<f4")
-                if chunk == WORDS:
-                    words, counts = np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8")
-                elif chunk == GRAMS:
-                    level = Contexts(np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8").astype(np.float64))
-                    grams, logs = level.grams, seen_log(escapes, level.counts, level.total[level.of], level.distinct[level.of]).astype("<f4")
-                else:
-                    at = _find(words, unpacked(first, n_first, "<u8"))
-                    n = np.where(at >= 0, counts[at], 0) if len(words) else np.zeros(len(at))
-                    place = _find(grams, unpacked(second, n_second, "<u8"))
-                    found = np.where(place >= 0, logs[place], np.nan).astype("<f4") if len(grams) else np.full(len(place), np.nan, "<f4")
-                    wide = bool(len(n)) and bool(n.max() >= 1 << 32)
-                    out.append((chunk, share, wide, packed(n.astype("<u8" if wide else "<u4")), _few(found)))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["chunk", "share", "wide", "counts", "logs"])
 
-    return run
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each requested word its count, for each gram its count, and for each of the grams' contexts its sum and its number of
+    distinct bytes; 0 for what isn't there. A share's statistics are held, its requests pass by."""
+
+    def of(keys: np.ndarray, wanted: np.ndarray, *columns: np.ndarray) -> list[bytes]:
+        at = _find(keys, wanted)
+        return [_packed_counts(np.where(at >= 0, c[at], 0) if len(c) else np.zeros(len(at), np.int64)) for c in columns]
+
+    key = None
+    for b in batches:
+        out = []
+        for share, chunk, first, second, n_first, n_second in zip(*[b.column(i).to_pylist() for i in range(6)]):
+            if share != key:
+                key, none = share, np.zeros(0, "<u8")
+                words, counts, level = none, none, Contexts(none, none)
+            if chunk == WORDS:
+                words, counts = np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8")
+            elif chunk == GRAMS:
+                level = Contexts(np.frombuffer(first, "<u8"), np.frombuffer(second, "<i8"))
+            else:
+                grams = unpacked(second, n_second, "<u8")
+                out.append((chunk, share, *of(words, unpacked(first, n_first, "<u8"), counts), *of(level.grams, grams, level.counts), *of(level.keys, _contexts_of(grams)[0], level.total, level.distinct)))
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["chunk", "share", "words", "counts", "totals", "distinct"])
 
 
 SCORED = "chunk int, doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, missed binary, times binary"
 
 
-def _score(order: int, shares: int, folds: int, fold: int):
+def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
     """Rows of a chunk with the sums over the grams that the longest contexts have seen, and the grams that they haven't."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -539,8 +548,8 @@ def _score(order: int, shares: int, folds: int, fold: int):
         texts = [tokens(t) for _, t in rows]
         hashes, at = _words(texts)
         words, cuts = _distinct_words(hashes, shares)
-        got = {s: own for s, *own in zip(*(answers.column(i).to_pylist() for i in ("share", "wide", "counts", "logs")))}
-        times = np.concatenate([unpacked(got[i][1], b - a, "<u8" if got[i][0] else "<u4").astype(np.int64) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+        got = {s: own for s, *own in zip(*(answers.column(i).to_pylist() for i in ("share", "words", "counts", "totals", "distinct")))}
+        times = np.concatenate([_unpacked_counts(got[i][0], b - a) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
         by = np.argsort(words)
         times = times[by][np.searchsorted(words[by], hashes)]
         n_words = np.array([len(t) for t in texts], np.int64)
@@ -551,9 +560,14 @@ def _score(order: int, shares: int, folds: int, fold: int):
         keys, starts = packed_grams([b" ".join(t) for t in texts], order)
         grams, inverse = distinct(keys)
         by, cuts = _sharded(grams, _middle(grams, order), shares)
-        values = np.empty(len(grams), np.float32)
-        values[by] = np.concatenate([_few_back(got[i][2], b - a, "<f4") for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
-        logs = values[inverse].astype(np.float64)
+        values = np.full(len(grams), np.nan)
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                contexts, of = _contexts_of(grams[by[a:b]])
+                count, total, different = _unpacked_counts(got[i][1], b - a), *(_unpacked_counts(got[i][c], len(contexts))[of] for c in (2, 3))
+                seen = np.flatnonzero(count)
+                values[by[a:b][seen]] = seen_log(escapes, count[seen], total[seen], different[seen])
+        logs = values[inverse]
         open_ = np.isnan(logs)
         sums = np.add.reduceat(np.where(open_, 0.0, logs), starts)
         of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(keys))))[open_]
@@ -697,8 +711,8 @@ def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold:
     requests = chunks.groupBy("chunk").applyInArrow(_requests(order, n), REQUESTS)
     held = statistics.select("share", F.when(F.col("kind") == "word", WORDS).otherwise(GRAMS).alias("chunk"), "keys", "counts", F.lit(None).cast("int").alias("n_a"), F.lit(None).cast("int").alias("n_b"))
     asked = held.unionAll(requests).repartitionById(n, F.col("share")).sortWithinPartitions("share", "chunk")
-    answers = asked.mapInArrow(_answers(order, levels.escapes[order]), ANSWERS)
-    scored = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, n, folds, fold), SCORED), "lm-scored")
+    answers = asked.mapInArrow(_answers, ANSWERS)
+    scored = materialize(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, n, levels.escapes[order], folds, fold), SCORED), "lm-scored")
     found = scored.groupBy("chunk").cogroup(resolve(levels, scored, order, n).groupBy("chunk")).applyInArrow(_add_up, SCORES)
     base = F.col("base_sum") - F.col("n_tokens") * math.log10(sums["n"] + sums["v"] + 1)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums["n"])).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
