@@ -57,10 +57,19 @@ class AutoencoderConfig:
 
 @dataclass(frozen=True)
 class TreeConfig:
-    max_depths: tuple[int, ...] = (3, 5)
-    min_rows: tuple[int, ...] = (50,)
+    """The grid that each unit's tree is chosen from, by mean f1 over ``folds``; at most ``max_rows`` rows train (a capped cohort has no more)."""
+
+    max_depths: tuple[int, ...] = (5, 6, 7, 8, 9)
+    balanced: tuple[bool, ...] = (True, False)
     impurities: tuple[str, ...] = ("gini", "entropy")
-    folds: int = 3
+    min_rows: int = 50
+    max_leaves: int = 8
+    folds: int = 5
     least_f1: float = 0.5
-    parallelism: int = 4
-    seed: int = 42
+    max_rows: int = 10_000
+
+    def grid(self) -> list[dict]:
+        return [{"balanced": b, "impurity": i, "max_depth": d, "min_rows": self.min_rows, "max_leaves": self.max_leaves} for b in self.balanced for i in self.impurities for d in self.max_depths]
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(repr(sorted(asdict(self).items())).encode()).hexdigest()[:16]

@@ -159,4 +159,5 @@ class ProjectionEmbedder:
                 out = np.tanh(x @ shared.value).astype(np.float32).tolist() if len(x) else []
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=["row_id", "embedding"])
 
-        return rows.select("row_id", "features").mapInArrow(run, "row_id long, embedding array<float>")
+        own = rows.select("row_id", "features")
+        return own.mapInArrow(run, f"row_id {dict(own.dtypes)['row_id']}, embedding array<float>")

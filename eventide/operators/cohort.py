@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.events import is_terminal
+from ..sources.scratch import materialize
 
 
 def split_periods(events: DataFrame, forced: tuple[int, ...]) -> DataFrame:
@@ -115,7 +116,7 @@ def select_balanced(available: DataFrame, cap_positive: int, cap_negative: int,
     Running sums grow strictly, so what fits is a prefix of each class. Columns of :func:`running_rows`. An empty class
     raises RuntimeError.
     """
-    ranked = running_rows(available, seed).cache()
+    ranked = materialize(running_rows(available, seed), "ranked")
     fits = F.when(F.col("is_pos"), F.col("cum") <= cap_positive).otherwise(F.col("cum") <= cap_negative)
     found = ranked.agg(F.count_if(F.col("is_pos")), F.count_if(~F.col("is_pos")), F.count_if(F.col("is_pos") & fits), F.count_if(~F.col("is_pos") & fits)).first()
     if not found[0] or not found[1]:

@@ -5,17 +5,20 @@ Activations are (row_id, activation array); units are its positions from 0 on.
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterable, Iterator
+from typing import Protocol
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TreeConfig
 from ..functions.arrays import cosine, dot, l1, squared_distance, zeros
+from ..sources.sinks import exists
+from . import trees
 
 
 def by_unit(activations: DataFrame, row_id: str = "row_id", column: str = "activation") -> DataFrame:
@@ -61,45 +64,75 @@ def loss_terms(rows: DataFrame, width: int, alpha: float, original: str = "x", e
     return found.select("*", (F.col("reconstruction") + F.col("sparsity")).alias("loss"))
 
 
-def _balanced(rows: DataFrame, label: str) -> DataFrame:
-    """Both classes get the same weight in all."""
-    counts = rows.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
-    weight = F.when(F.col(label) == 1, F.lit(sum(counts) / (2 * max(counts[0], 1)))).otherwise(F.lit(sum(counts) / (2 * max(counts[1], 1))))
-    return rows.withColumn("weight", weight)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
-def unit_trees(features: DataFrame, targets: DataFrame, test_features: DataFrame, test_targets: DataFrame, config: TreeConfig) -> tuple[DataFrame, dict[int, object]]:
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, or the first ``most`` of them in the order of a hash of row_id."""
+    return rows if rows.count() <= most else rows.orderBy(F.xxhash64("row_id"), "row_id").limit(most)
+
+
+TREES = "idx int, depth int, impurity string, balanced boolean, cv_f1 double, feature array<int>, limit array<double>, left array<int>, right array<int>, value array<int>"
+
+
+def fit_trees(features: DataFrame, targets: DataFrame, units: DataFrame, config: TreeConfig) -> DataFrame:
+    """``TREES`` of each of ``units`` (idx): the tree and the settings that :func:`trees.search` chooses.
+
+    Features are (row_id, features array), targets (row_id, idx, y). Units are dealt out to tasks; what a unit's task holds
+    is bounded by ``max_rows``.
+    """
+    own = _sampled(features.select("row_id", "features"), config.max_rows)
+    grid, folds = config.grid(), config.folds
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("row_id", "ascending")])
+        y = np.array(rows.column("y").to_pylist(), np.int64)
+        tree, chosen, score = trees.search(_matrix(rows.column("features")), y, grid, folds)
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), *[pa.list_(pa.int32())] * 3]
+        row = (rows.column("idx")[0].as_py(), chosen["max_depth"], chosen["impurity"], chosen["balanced"], score, *tree)
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in TREES.split(", ")])
+
+    return own.join(targets.join(units.select("idx"), "idx", "left_semi"), "row_id").groupBy("idx").applyInArrow(fit, TREES)
+
+
+def saved_trees(features: DataFrame, targets: DataFrame, units: DataFrame, config: TreeConfig, path: str) -> DataFrame:
+    """:func:`fit_trees`, but units whose tree is at ``path`` aren't fitted again, and those that are fitted go there.
+
+    The parameters' fingerprint is part of the path, so trees of another grid are never taken.
+    """
+    spark = features.sparkSession
+    path = f"{path.rstrip('/')}/{config.fingerprint()}"
+    if exists(spark, path):
+        units = units.join(spark.read.schema(TREES).parquet(path).select("idx"), "idx", "left_anti")
+    missing = [r["idx"] for r in units.select("idx").distinct().orderBy("idx").collect()]  # units, not rows
+    for i in range(0, len(missing), 64):  # a run that breaks off keeps what it has
+        fit_trees(features, targets, units.where(F.col("idx").isin(missing[i : i + 64])), config).write.mode("append").parquet(path)
+    return spark.read.schema(TREES).parquet(path) if exists(spark, path) else spark.createDataFrame([], TREES)
+
+
+def unit_trees(features: DataFrame, targets: DataFrame, test_features: DataFrame, test_targets: DataFrame, config: TreeConfig, path: str | None = None) -> tuple[DataFrame, dict[int, trees.UnitTree]]:
     """Metrics (idx, n, accuracy, recall, f1, kept) on the test rows and the models, of a tree for each useful unit.
 
     Features are (row_id, features array), targets (row_id, idx, y). Trees are chosen over the grid of ``config`` by
-    cross-validated f1, several units at a time; kept: f1 of ``least_f1`` or more. MLlib has neither a bound on leaves
-    nor random splits, so the grid leaves them out.
+    cross-validated f1, many units at a time; kept: f1 of ``least_f1`` or more. With ``path`` trees are kept there.
     """
-    spark = features.sparkSession
-    units = [r["idx"] for r in useful_units(targets, test_targets).orderBy("idx").collect()]  # units, not rows
-    table = features.select("row_id", array_to_vector(F.col("features").cast("array<double>")).alias("features")).cache()
-    test = test_features.select("row_id", array_to_vector(F.col("features").cast("array<double>")).alias("features")).cache()
-
-    def one(idx: int):
-        own = _balanced(table.join(targets.where(F.col("idx") == idx), "row_id").select("features", F.col("y").cast("double").alias("label")), "label").cache()
-        tree = DecisionTreeClassifier(weightCol="weight", seed=config.seed)
-        grid = [
-            {tree.maxDepth: d, tree.minInstancesPerNode: m, tree.impurity: i}
-            for d in config.max_depths for m in config.min_rows for i in config.impurities
-        ]
-        if len(grid) > 1:
-            judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-            model = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=judge, numFolds=config.folds, seed=config.seed).fit(own).bestModel
-        else:
-            model = tree.fit(own, grid[0])
-        own.unpersist()
-        guess = model.transform(test.join(test_targets.where(F.col("idx") == idx), "row_id")).select("idx", "y", F.col("prediction").cast("int").alias("guess"))
-        return idx, model, binary_metrics(guess).first()
-
-    with ThreadPool(config.parallelism) as pool:
-        found = pool.map(one, units)
-    rows = [(*map(r.__getitem__, ("idx", "n", "accuracy", "recall", "f1")), r["f1"] >= config.least_f1) for _, _, r in found]
-    return spark.createDataFrame(rows, "idx int, n long, accuracy double, recall double, f1 double, kept boolean"), {i: m for i, m, _ in found}
+    units = useful_units(targets, test_targets)
+    found = fit_trees(features, targets, units, config) if path is None else saved_trees(features, targets, units, config, path).join(units, "idx", "left_semi")
+    models = {r["idx"]: trees.UnitTree(r["feature"], r["limit"], r["left"], r["right"], r["value"]) for r in found.collect()}  # a few nodes for each unit
+    shared = features.sparkSession.sparkContext.broadcast(models)
+    own = test_features.select("row_id", "features")
+
+    def guess(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            for idx, tree in shared.value.items():
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([idx] * len(x), pa.int32()), pa.array(tree.predict(x) if len(x) else [], pa.int32())], names=["row_id", "idx", "guess"])
+
+    guesses = own.mapInArrow(guess, f"row_id {dict(own.dtypes)['row_id']}, idx int, guess int")
+    metrics = binary_metrics(guesses.join(test_targets.select("row_id", F.col("idx").cast("int").alias("idx"), "y"), ["row_id", "idx"]))
+    return metrics.withColumn("kept", F.col("f1") >= config.least_f1), models
 
 
 def logistic(rows: DataFrame, iterations: int, features: str = "features", label: str = "y", weight_of_data: float = 1.0):
@@ -109,14 +142,56 @@ def logistic(rows: DataFrame, iterations: int, features: str = "features", label
     return LogisticRegression(maxIter=iterations, tol=1e-9, regParam=1 / (weight_of_data * n), elasticNetParam=0.0, standardization=False).fit(own)
 
 
-def concept_vectors(embeddings: DataFrame, targets: DataFrame, units: list[int], iterations: int = 500) -> DataFrame:
+def newton(x: np.ndarray, y: np.ndarray, iterations: int) -> np.ndarray:
+    """Coefficients and intercept of a logistic model with the penalty |coefficients|^2 / 2, by Newton's steps with halving."""
+    full = np.hstack([x, np.ones((len(x), 1))])
+    penalty = np.ones(full.shape[1])
+    penalty[-1] = 0.0
+    theta = np.zeros(full.shape[1])
+    loss = lambda t: float(np.logaddexp(0.0, full @ t).sum() - y @ (full @ t) + 0.5 * (penalty * t * t).sum())
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-full @ theta))
+        slope = full.T @ (p - y) + penalty * theta
+        if np.abs(slope).max() < 1e-9:
+            break
+        step = np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-12), slope)
+        size, before = 1.0, loss(theta)
+        while size > 1e-6 and loss(theta - size * step) > before:
+            size /= 2
+        theta = theta - size * step
+    return theta
+
+
+def separators(embeddings: DataFrame, targets: DataFrame, units: list[int] | None = None, iterations: int = 100, max_rows: int = 10_000) -> DataFrame:
+    """(idx, cav, intercept): a linear separator of each unit's targets among embeddings (row_id, embedding).
+
+    Units are dealt out to tasks; what a unit's task holds is bounded by ``max_rows``.
+    """
+    own = _sampled(embeddings.select("row_id", "embedding"), max_rows)
+    wanted = targets if units is None else targets.where(F.col("idx").isin(units))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("row_id", "ascending")])
+        theta = newton(_matrix(rows.column("embedding")), np.array(rows.column("y").to_pylist(), np.float64), iterations)
+        return pa.table([pa.array([rows.column("idx")[0].as_py()], pa.int32()), pa.array([theta[:-1].tolist()], pa.list_(pa.float64())), pa.array([float(theta[-1])])], names=["idx", "cav", "intercept"])
+
+    return own.join(wanted, "row_id").groupBy("idx").applyInArrow(fit, "idx int, cav array<double>, intercept double")
+
+
+def concept_vectors(embeddings: DataFrame, targets: DataFrame, units: list[int] | None = None, iterations: int = 100) -> DataFrame:
     """(idx, cav): the normal of a linear separator of each unit's targets among embeddings (row_id, embedding)."""
-    spark, own = embeddings.sparkSession, embeddings.cache()
-    rows = []
-    for idx in units:  # one model each, fitted by Spark; only coefficients come back
-        joined = own.join(targets.where(F.col("idx") == idx), "row_id")
-        rows.append((idx, [float(x) for x in logistic(joined, iterations, "embedding").coefficients]))
-    return spark.createDataFrame(rows, "idx int, cav array<double>")
+    return separators(embeddings, targets, units, iterations).select("idx", "cav")
+
+
+def separator_slopes(embeddings: DataFrame, targets: DataFrame, found: DataFrame) -> DataFrame:
+    """(idx, pos, slope): what is left of the slope of each separator's loss; 0 at a solution. The intercept's comes last.
+
+    Summed up by Spark over all rows, so it doesn't depend on how the separators (idx, cav, intercept) were found.
+    """
+    rows = embeddings.join(targets, "row_id").join(found, "idx")
+    off = 1 / (1 + F.exp(-(dot(F.col("embedding").cast("array<double>"), F.col("cav")) + F.col("intercept")))) - F.col("y")
+    cells = rows.select("idx", "cav", off.alias("off"), F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0)))).alias("pos", "x"))
+    return cells.groupBy("idx", "pos").agg((F.sum(F.col("off") * F.col("x")) + F.first(F.coalesce(F.try_element_at("cav", F.col("pos") + 1), F.lit(0.0)))).alias("slope"))
 
 
 def surrogate_gradient(embeddings: DataFrame, predictions: DataFrame, iterations: int = 1000) -> DataFrame:
@@ -134,3 +209,19 @@ def predict(model, rows: DataFrame, features: str = "features") -> DataFrame:
     """(row_id, prediction, probability) by a fitted classifier; probability is that of class 1."""
     own = rows.select("row_id", array_to_vector(F.col(features).cast("array<double>")).alias("features"))
     return model.transform(own).select("row_id", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
+
+
+class Classifier(Protocol):
+    """What the concepts explain: fitted to (row_id, features, label), gives (row_id, prediction, probability)."""
+
+    def fit_predict(self, train: DataFrame, rows: DataFrame) -> DataFrame: ...
+
+
+class LogisticClassifier:
+    """A classifier where no pretrained model is at hand."""
+
+    def __init__(self, iterations: int = 100):
+        self.iterations = iterations
+
+    def fit_predict(self, train: DataFrame, rows: DataFrame) -> DataFrame:
+        return predict(logistic(train, self.iterations, "features", "label"), rows)

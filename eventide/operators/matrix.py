@@ -49,6 +49,6 @@ def labelled(rows: DataFrame, terminal: str = "DEATH") -> DataFrame:
 
 
 def feature_arrays(rows: DataFrame, values: list[str], terminal: str = "DEATH") -> DataFrame:
-    """(row_id, patient_id, year, features array<float>, label): what models take; row_id follows (patient_id, year)."""
+    """(row_id string, patient_id, year, features array<float>, label): what models take; row_id is the period, then the entity."""
     own = labelled(rows, terminal).select(*KEYS, F.array(*[F.col(f"`{v}`").cast("float") for v in values]).alias("features"), "label")
-    return own.select(F.xxhash64(*KEYS).alias("row_id"), "*")
+    return own.select(F.concat_ws(":", F.col("year").cast("string"), "patient_id").alias("row_id"), "*")

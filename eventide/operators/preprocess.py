@@ -40,3 +40,20 @@ def standardise(rows: DataFrame, columns: list[str], fit_on: DataFrame | None =
         mean, deviation = moments[f"m_{c}"], moments[f"s_{c}"]
         out[c] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(deviation) if deviation else F.when(F.col(c).isNotNull(), F.lit(0.0))
     return rows.withColumns(out)
+
+
+def normalised(rows: DataFrame, column: str = "features") -> DataFrame:
+    """``rows`` with the array ``column`` imputed by its positions' medians, then standardised, both of these rows alone.
+
+    Nulls and NaNs are missing; a position without any value or deviation becomes zero. What is worked out for each
+    position, a row for each, comes to the driver and goes into the plan as literals. Arrays have one length.
+    """
+    value = F.nullif(F.col("v").cast("double"), F.lit(float("nan")))
+    cells = rows.select(F.posexplode(column).alias("pos", "v")).select("pos", value.alias("v"))
+    medians = {r["pos"]: r["m"] for r in cells.groupBy("pos").agg(F.median("v").alias("m")).collect()}
+    known = F.array(*[F.lit(medians[i] if medians[i] is not None else 0.0) for i in sorted(medians)]).cast("array<double>")
+    filled = F.zip_with(F.col(column).cast("array<double>"), known, lambda v, m: F.coalesce(F.nullif(v, F.lit(float("nan"))), m))
+    own = rows.withColumn(column, filled)
+    moments = {r["pos"]: (r["mean"], r["deviation"]) for r in own.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")).collect()}
+    scale = F.array(*[F.struct(F.lit(moments[i][0]).alias("mean"), F.lit(moments[i][1] or None).cast("double").alias("deviation")) for i in sorted(moments)]) if moments else F.array().cast("array<struct<mean:double,deviation:double>>")
+    return own.withColumn(column, F.zip_with(F.col(column), scale, lambda v, s: F.coalesce((v - s["mean"]) / s["deviation"], F.lit(0.0))))

@@ -129,5 +129,14 @@ ORACLE_SQL = {
     ),
     "concept_dot_scores": sql("SELECT CAST(label AS INTEGER) AS idx, round(sum(m * g), 6) AS score FROM (SELECT label, idx, avg(act) AS m FROM emb GROUP BY label, idx) JOIN (SELECT idx, avg(act) AS g FROM emb GROUP BY idx) USING (idx) GROUP BY label", "emb"),
     "stream_bucket_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
-    "feather_roundtrip": "SELECT * FROM nation",
+    "feather_roundtrip": "SELECT * FROM orders",
+    "outcome_apart": sql("SELECT returned AS outcome, count(*) AS n, (SELECT count(*) FROM wide WHERE returned IS NOT NULL) AS n_rows, (SELECT count(price) FROM wide WHERE returned IS NOT NULL) AS n_prices, 'row_id,line,quantity,price,constant' AS columns FROM wide WHERE returned IS NOT NULL GROUP BY returned", "wide"),
+    "normalised_features": sql(
+        "SELECT row_id, line, round((q - avg(q) OVER ()) / stddev_pop(q) OVER (), 6) AS quantity, round((p - avg(p) OVER ()) / stddev_pop(p) OVER (), 6) AS price FROM (SELECT row_id, line, CAST(coalesce(quantity, (SELECT median(quantity) FROM wide)) AS DOUBLE) AS q, CAST(coalesce(price, (SELECT median(price) FROM wide)) AS DOUBLE) AS p FROM wide)", "wide"
+    ),
+    "cached_counts": sql("SELECT patient_id, year, event, count(date) AS n FROM ue GROUP BY ALL", "ue"),
+    "weights_roundtrip": f"""SELECT 'w' AS name, CAST(i.range AS INTEGER) AS row, CAST(j.range AS INTEGER) AS pos, round((((i.range * 31 + j.range * 17) % 13) - 6) / 10, 6) AS value FROM range({UNITS}) i, range({WIDTH}) j
+        UNION ALL SELECT 'b_e', 0, CAST(range AS INTEGER), (range % 3 - 1) / 10 FROM range({UNITS}) UNION ALL SELECT 'b_d', 0, CAST(range AS INTEGER), (range % 5 - 2) / 10 FROM range({WIDTH})""",
 }
+ORACLE_SQL["appended_metrics"] = f"{ORACLE_SQL['binary_metrics'].replace('SELECT idx, n, round(hit', ', found AS (SELECT idx, n, round(hit', 1)}) SELECT * FROM found UNION ALL SELECT * FROM found"
+ORACLE_SQL["concept_vector_slopes"] = sql(f"SELECT DISTINCT CAST(c.idx AS INTEGER) AS idx, CAST(p.range AS INTEGER) AS pos, true AS vanishes FROM (SELECT idx FROM code WHERE h > 0 GROUP BY idx HAVING count(*) >= 50) c, range({WIDTH + 1}) p", "code")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, TreeConfig
 from ..operators import autoencoder, cohort, concepts, matrix, preprocess, selection
+from ..sources.scratch import materialize
+from ..sources.sinks import read_or_compute
 
 
 @dataclass(frozen=True)
@@ -27,18 +29,25 @@ class Prepared:
         return tuple(matrix.feature_arrays(rows, self.features, config.row_terminal) for rows in (self.train_rows, self.test_rows))
 
 
-def prepare(events: DataFrame, config: CohortConfig, boosting: BoostingConfig | None = None) -> Prepared:
+#: Candidates are ranked by gain unless the caller says None.
+GAIN = BoostingConfig()
+
+
+def prepare(events: DataFrame, config: CohortConfig, boosting: BoostingConfig | None = GAIN) -> Prepared:
     """Train rows of a balanced, capped cohort up to the terminal event, and all test rows, from a canonical event log.
 
     Train is train entities in train periods, test is test entities in test periods. A terminal event in a test period
     leaves an entity negative. Features come from untrimmed rows of the selected entities; test rows are neither trimmed
-    nor capped. With ``boosting`` the candidates are ranked by gain, else by frequency.
+    nor capped. The candidates are ranked by gain, with None by frequency.
+
+    The log is written once to the shared folder, as is its split: all that follows reads these, whatever ``events`` are.
     """
+    events = materialize(events, "log")
     train_years, test_years = cohort.train_test_periods(events, config.forced_periods)
-    split = cohort.split_entities(events, config.seed, config.test_percent)
+    split = materialize(cohort.split_entities(events, config.seed, config.test_percent), "split")
     train_events = cohort.within(events, split.where(~F.col("is_test")), train_years)
     selected = cohort.select_balanced(cohort.availability(train_events, config.entity_terminal), config.cap_positive, config.cap_negative, config.seed)
-    own = cohort.within(events, selected, train_years)
+    own = materialize(cohort.within(events, selected, train_years), "selected")
     features = selection.top_events(own, config, boosting)
     values = selection.with_terminal(features, config.row_terminal)
     present = (lambda e: e.select("patient_id", "year").distinct()) if config.keep_presence else (lambda e: None)
@@ -51,23 +60,46 @@ def prepare(events: DataFrame, config: CohortConfig, boosting: BoostingConfig |
     )
 
 
-def represent(train: DataFrame, test: DataFrame, embedder: autoencoder.Embedder, config: AutoencoderConfig) -> tuple[DataFrame, DataFrame, autoencoder.Weights, list[float]]:
-    """Train and test as (row_id, x, h, xhat) by an autoencoder fitted to the train embeddings, its weights and losses."""
-    embedded = embedder.embed(train)
-    weights, losses = autoencoder.train(embedded, config)
-    return autoencoder.transform(embedded, weights), autoencoder.transform(embedder.embed(test), weights), weights, losses
+def model_inputs(made: Prepared, config: CohortConfig) -> tuple[DataFrame, DataFrame]:
+    """Train and test arrays as models take them: imputed and standardised, each by its own rows, and written."""
+    return tuple(materialize(preprocess.normalised(materialize(rows, "arrays")), "normalised") for rows in made.arrays(config))
+
+
+def represent(train: DataFrame, test: DataFrame, embedder: autoencoder.Embedder, config: AutoencoderConfig, cache: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, autoencoder.Weights, list[float]]:
+    """Train and test as (row_id, x, h, xhat) by an autoencoder fitted to the train embeddings, its weights and losses.
+
+    With ``cache`` (folder, fingerprint of model and inputs) embeddings are read from there if they are there.
+    """
 
+    def embedded(name: str, rows: DataFrame) -> DataFrame:
+        return embedder.embed(rows) if cache is None else read_or_compute(rows.sparkSession, cache[0], f"{name}_embeddings", cache[1], lambda: embedder.embed(rows))
 
-def explain(train: DataFrame, test: DataFrame, features: tuple[DataFrame, DataFrame], trees: TreeConfig, support: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Tree metrics and concept scores of the kept units, from (row_id, x, h, xhat) and (row_id, features, label)."""
+    own = embedded("train", train)
+    weights, losses = autoencoder.train(own, config)
+    return autoencoder.transform(own, weights), autoencoder.transform(embedded("test", test), weights), weights, losses
+
+
+def explain(
+    train: DataFrame, test: DataFrame, features: tuple[DataFrame, DataFrame], trees: TreeConfig, support: int = 50, classifier: concepts.Classifier | None = None, cache: tuple[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Tree metrics and concept scores of the kept units, from (row_id, x, h, xhat) and (row_id, features, label).
+
+    The concepts' scores are along the gradient of a linear stand-in for what ``classifier`` predicts on the training rows.
+    With ``cache`` (folder, fingerprint of inputs) trees and predictions are read from there if they are there.
+    """
     limits = concepts.thresholds(train, support, column="h")
-    targets, test_targets = (concepts.binarise(rows, limits, column="h").cache() for rows in (train, test))
-    metrics, _ = concepts.unit_trees(features[0], targets, features[1], test_targets, trees)
+    targets, test_targets = (materialize(concepts.binarise(rows, limits, column="h"), "targets") for rows in (train, test))
+    metrics, _ = concepts.unit_trees(features[0], targets, features[1], test_targets, trees, f"{cache[0]}/trees/{cache[1]}" if cache else None)
+    metrics = materialize(metrics, "metrics")
     kept = [r["idx"] for r in metrics.where("kept").orderBy("idx").collect()]
     embeddings = train.select("row_id", F.col("x").alias("embedding"))
     cavs = concepts.concept_vectors(embeddings, targets, kept)
-    fitted = concepts.logistic(features[0], 100, "features", "label")
-    predictions = concepts.predict(fitted, features[0]).select("row_id", F.col("prediction").alias("y"))
+
+    def guessed() -> DataFrame:
+        return (classifier or concepts.LogisticClassifier()).fit_predict(features[0], features[0])
+
+    found = guessed() if cache is None else read_or_compute(train.sparkSession, cache[0], "predictions", cache[1], guessed)
+    predictions = found.select("row_id", F.col("prediction").alias("y"))
     if predictions.select("y").distinct().count() < 2:
         return metrics, cavs.select("idx", F.lit(0.0).alias("score"))
     return metrics, concepts.concept_scores(cavs, concepts.surrogate_gradient(embeddings, predictions))

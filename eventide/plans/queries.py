@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,8 @@ from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, TreeConfig
 from ..functions.arrays import affine, relu
 from ..operators import autoencoder, cohort, concepts, matrix, preprocess, selection
 from ..sources import events as sources
+from ..sources import sinks
+from ..sources.scratch import materialize, scratch_path
 from ..streaming import events as streams
 from . import pipeline
 
@@ -188,13 +189,13 @@ def trim_post_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG)
+    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None)
     return _long(made.train_rows, selection.with_terminal(made.features, TERMINAL))
 
 
 @query
 def test_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG)
+    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None)
     return _long(made.test_rows, selection.with_terminal(made.features, TERMINAL))
 
 
@@ -242,6 +243,21 @@ def wide_outcome_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.with_outcome(_wide(spark, sf_dir), "returned", ("shipped", "not_there"))
 
 
+@query
+def outcome_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and outcome taken apart, each counted."""
+    features, outcome = preprocess.split_outcome(preprocess.with_outcome(_wide(spark, sf_dir), "returned", ("shipped",)))
+    found = outcome.groupBy("outcome").agg(F.count("*").alias("n")).crossJoin(features.agg(F.count("*").alias("n_rows"), F.count("price").alias("n_prices")))
+    return found.withColumn("columns", F.lit(",".join(features.columns)))
+
+
+@query
+def normalised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays with gaps, imputed and standardised position by position."""
+    own = _wide(spark, sf_dir).select("row_id", "line", F.array(F.col("quantity").cast("double"), F.col("price").cast("double")).alias("features"))
+    return preprocess.normalised(own).select("row_id", "line", *[rounded(F.col("features")[i], n) for i, n in enumerate(("quantity", "price"))])
+
+
 @query
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preprocess.impute_median(_wide(spark, sf_dir).drop("shipped"), ["quantity", "price"])
@@ -341,33 +357,90 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+@query
+def cached_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed and written by the first call, read by the second, which must not compute."""
+    root = scratch_path(spark, "cached")
+    sinks.read_or_compute(spark, root, "counts", "a", lambda: matrix.long_counts(sources.user_events(spark, sf_dir)))
+    return sinks.read_or_compute(spark, root, "counts", "a", lambda: spark.range(0).toDF("never"))
+
+
+@query
+def weights_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "weights")
+    sinks.save_weights(spark, {"w": WEIGHTS.w.tolist(), "b_e": [WEIGHTS.b_e.tolist()], "b_d": [WEIGHTS.b_d.tolist()]}, path)
+    found = sinks.load_weights(spark, path)
+    return spark.createDataFrame([(name, i, j, round(x, 6)) for name, rows in found.items() for i, row in enumerate(rows) for j, x in enumerate(row)], "name string, row int, pos int, value double")
+
+
+@query
+def appended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of the units, appended twice as CSV and read again."""
+    path, rows = scratch_path(spark, "metrics"), binary_metrics(spark, sf_dir)
+    for _ in range(2):
+        sinks.append_metrics(rows, path)
+    return spark.read.schema(rows.schema).csv(path)
+
+
+@query
+def feather_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as Feather by its tasks and read back by others."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(4, "o_orderkey")
+    return sources.read_feather(spark, *sources.write_feather(rows, scratch_path(spark, "feather")))
+
+
+def _concept_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    coded = materialize(autoencoder.transform(_embeddings(spark, sf_dir), WEIGHTS), "coded")
+    return coded, materialize(concepts.binarise(coded, concepts.thresholds(coded, 50, column="h"), column="h"), "marks")
+
+
+@query
+def concept_vector_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the slopes at the separators' solutions: nothing, as a solution is where they vanish."""
+    coded, marks = _concept_inputs(spark, sf_dir)
+    own = coded.select("row_id", F.col("x").alias("embedding"))
+    return concepts.separator_slopes(own, marks, concepts.separators(own, marks)).select("idx", "pos", (F.abs("slope") < 1e-4).alias("vanishes"))
+
+
 # Models: no SQL can say what they learn; tests hold them against properties and brute force.
 
 
 @query
 def gbt_gain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _selected_events(spark, sf_dir)
+    made = materialize(_selected_events(spark, sf_dir), "selected")
     values = [r["event"] for r in selection.most_frequent(made, CONFIG, CONFIG.candidates).collect()]
     rows = matrix.pivot_counts(made, selection.with_terminal(values, TERMINAL))
-    return selection.gain_ranking(rows, values, TERMINAL, BoostingConfig(rounds=10, max_depth=4)).orderBy(F.desc("gain"), F.asc("event")).limit(CONFIG.top_k)
+    return selection.gain_ranking(rows, values, TERMINAL, BoostingConfig()).orderBy(F.desc("gain"), F.asc("event")).limit(CONFIG.top_k)
+
+
+@query
+def gain_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default path: features ranked by gain."""
+    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG)
+    return _long(made.train_rows, selection.with_terminal(made.features, TERMINAL))
 
 
 @query
 def predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG).arrays(CONFIG)
-    model = concepts.logistic(train.cache(), 100, "features", "label")
-    return concepts.predict(model, test)
+    """What a classifier of the normalised training rows says of them."""
+    train, _ = pipeline.model_inputs(pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None), CONFIG)
+    return concepts.LogisticClassifier().fit_predict(train, train)
 
 
 @query
-def sae_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, losses = autoencoder.train(_embeddings(spark, sf_dir), AutoencoderConfig(epochs=100))
-    return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+def explained_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run: cohort, embeddings, sparse codes, trees, concept vectors, scores."""
+    train, test = pipeline.model_inputs(pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None), CONFIG)
+    coded, coded_test, _, _ = pipeline.represent(train, test, autoencoder.ProjectionEmbedder(CONFIG.top_k, 48), AutoencoderConfig(epochs=1000))
+    coded, coded_test = materialize(coded, "coded"), materialize(coded_test, "coded")
+    metrics, scores = pipeline.explain(coded, coded_test, (train, test), TreeConfig())
+    return metrics.join(scores, "idx", "left")
 
 
-def _concept_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    coded = autoencoder.transform(_embeddings(spark, sf_dir), WEIGHTS).cache()
-    return coded, concepts.binarise(coded, concepts.thresholds(coded, 50, column="h"), column="h")
+@query
+def sae_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, losses = autoencoder.train(_embeddings(spark, sf_dir), AutoencoderConfig())
+    return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
 @query
@@ -375,32 +448,16 @@ def unit_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, marks = _concept_inputs(spark, sf_dir)
     rows = coded.select("row_id", F.col("x").alias("features"))
     train, test = "row_id % 5 <> 0", "row_id % 5 = 0"  # an 80 to 20 split of rows
-    return concepts.unit_trees(rows.where(train), marks.where(train), rows.where(test), marks.where(test), TreeConfig(max_depths=(3,), impurities=("gini",), min_rows=(10,)))[0]
+    return concepts.unit_trees(rows.where(train), marks.where(train), rows.where(test), marks.where(test), TreeConfig())[0]
 
 
 @query
 def concept_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, marks = _concept_inputs(spark, sf_dir)
-    units = [r["idx"] for r in marks.select("idx").distinct().orderBy("idx").collect()]
-    return concepts.concept_vectors(coded.select("row_id", F.col("x").alias("embedding")), marks, units)
+    return concepts.concept_vectors(coded.select("row_id", F.col("x").alias("embedding")), marks)
 
 
 @query
 def surrogate_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
     return concepts.surrogate_gradient(rows.select("row_id", "embedding"), rows.select("row_id", (F.col("label") >= 5).cast("int").alias("y")))
-
-
-@query
-def feather_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table written as Feather and read back by tasks."""
-    import pyarrow.feather as feather
-
-    from ..sources.scratch import shared_dir
-
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    root = shared_dir(spark).removeprefix("file://")
-    os.makedirs(root, exist_ok=True)
-    path = f"{root}/nation-{uuid.uuid4().hex}.feather"
-    feather.write_feather(rows.toArrow(), path, compression="lz4")
-    return sources.read_feather(spark, path)

@@ -21,7 +21,7 @@ def read_feather(spark: SparkSession, *paths: str) -> DataFrame:
     """
 
     def opened(path: str) -> pa.ipc.RecordBatchFileReader:
-        store, name = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+        store, name = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
         return pa.ipc.open_file(store.open_input_file(name))
 
     import pyarrow.fs  # noqa: F401  so that pa.fs is there
@@ -42,6 +42,37 @@ def read_feather(spark: SparkSession, *paths: str) -> DataFrame:
     return listed.mapInArrow(run, from_arrow_schema(schema, prefer_timestamp_ntz=True))
 
 
+def write_feather(rows: DataFrame, folder: str) -> list[str]:
+    """Feather files of ``rows`` in ``folder``, one written by each task that has rows; their paths, for :func:`read_feather`.
+
+    The folder may be local or a URI that Arrow's file systems know; all machines must reach it. A task that is run again
+    writes its file again.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+        store.create_dir(root)
+        name = f"{root.rstrip('/')}/part-{task.partitionId():06}.feather"
+        own, sink, writer = f"{name}.{task.taskAttemptId()}", None, None
+        for b in batches:
+            if b.num_rows:
+                if writer is None:
+                    sink = store.open_output_stream(own)
+                    writer = pa.ipc.new_file(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                writer.write_batch(b)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            store.move(own, name)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/part-{task.partitionId():06}.feather"])], names=["path"])
+
+    return sorted(r["path"] for r in rows.mapInArrow(run, "path string").collect())  # a path for each task
+
+
 def canonical_events(log: DataFrame, entity: str = "patient_id", date: str = "date", event: str = "event", period: Column | None = None) -> DataFrame:
     """(patient_id string, date timestamp_ntz, year int, event string) of a log; other columns are left behind.
 

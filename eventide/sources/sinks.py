@@ -9,6 +9,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finished writing a table at ``path``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def read_or_compute(spark: SparkSession, root: str, name: str, fingerprint: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` under ``root`` for this ``fingerprint`` of parameters and inputs, computed and written if absent.
 
@@ -16,8 +22,7 @@ def read_or_compute(spark: SparkSession, root: str, name: str, fingerprint: str,
     success mark is from a run that broke off, and is written anew.
     """
     path = f"{root.rstrip('/')}/{name}/{fingerprint}"
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+    if exists(spark, path):
         return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -122,7 +122,7 @@ def test_a_late_terminal_event_leaves_an_entity_negative(spark):
 def test_golden_run(spark, sf, cap, want):
     config = CohortConfig(cap_positive=cap, cap_negative=cap, max_rows=10_000, top_k=20)
     log_ = sources.order_events(spark, f"/root/testdata/{sf}").cache()
-    made = pipeline.prepare(log_, config)
+    made = pipeline.prepare(log_, config, None)
     split = cohort.split_entities(log_)
     train_ids = split.where(~F.col("is_test"))
     own = cohort.availability(cohort.within(log_, train_ids, made.train_years), config.entity_terminal)
@@ -132,7 +132,7 @@ def test_golden_run(spark, sf, cap, want):
     assert found == want and chosen[True][0] == chosen[False][0]
     assert train.join(test, "patient_id").count() == 0 and not set(made.train_years) & set(made.test_years)
     assert train.columns == test.columns == ["patient_id", "year", *made.features, "DEATH"]
-    longer = pipeline.prepare(log_, CohortConfig(cap_positive=cap, cap_negative=cap, top_k=20, keep_presence=True))
+    longer = pipeline.prepare(log_, CohortConfig(cap_positive=cap, cap_negative=cap, top_k=20, keep_presence=True), None)
     assert longer.train_rows.count() >= train.count()
     log_.unpersist()
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.config import AutoencoderConfig, CohortConfig, TreeConfig
-from eventide.operators import autoencoder, concepts
+from eventide.operators import autoencoder, concepts, trees
 from eventide.plans import pipeline
 from eventide.sources import events as sources
 from eventide.sources import sinks
@@ -91,20 +91,76 @@ def test_logistic_coefficients_are_newtons(spark):
 def test_trees_explain_a_unit(spark):
     rows = spark.createDataFrame([(i, [float(i % 10), float(i % 3)]) for i in range(300)], "row_id long, features array<double>")
     marks = rows.select("row_id", F.lit(4).alias("idx"), (F.col("features")[0] > 5).cast("int").alias("y"))
-    metrics, models = concepts.unit_trees(rows, marks, rows, marks, TreeConfig(max_depths=(2,), min_rows=(5,), folds=2))
+    metrics, models = concepts.unit_trees(rows, marks, rows, marks, TreeConfig(max_depths=(2,), min_rows=5, folds=2))
     assert metrics.first()["kept"] and metrics.first()["f1"] == 1.0
     graph = sinks.tree_graph(models[4].toDebugString, ["tens", "threes"])
     assert graph.startswith("digraph") and "tens" in graph and "->" in graph
 
 
+def test_trees_are_grown_best_split_first():
+    """By hand: three blocks of rows, two leaves more than the first split; a bound on leaves keeps the better one."""
+    x = np.repeat(np.arange(12.0), 10)[:, None]
+    y = np.repeat([0, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0], 10)
+    every = np.arange(120)
+    settings = {"balanced": False, "impurity": "gini", "max_depth": 5, "min_rows": 5}
+    data = trees.Binned.of(x)
+    tree = trees.grow(data, every, y, max_leaves=8, **settings)
+    assert (tree.predict(x) == y).all() and sum(f < 0 for f in tree.feature) == 3
+    assert sum(f < 0 for f in trees.grow(data, every, y, max_leaves=2, **settings).feature) == 2
+    assert trees.grow(data, every, y, max_leaves=8, **(settings | {"min_rows": 61})).feature == [-1]
+    assert trees.grow(data, every, y, max_leaves=8, **(settings | {"max_depth": 1})).feature[1:] == [-1, -1]
+
+
+def test_trees_find_the_best_split_of_all():
+    """The first split of many small tables against trying all limits of all features."""
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        x, y = r.integers(0, 6, (60, 4)).astype(float), r.integers(0, 2, 60)
+        for balanced in (True, False):
+            for impurity in ("gini", "entropy"):
+                w = np.where(y == 1, 60 / (2 * y.sum()), 60 / (2 * (1 - y).sum())) if balanced else np.ones(60)
+
+                def cost(own):
+                    total, p = w[own].sum(), w[own][y[own] == 1].sum() / w[own].sum()
+                    return total * (2 * p * (1 - p) if impurity == "gini" else -sum(q * np.log2(q) for q in (p, 1 - p) if q))
+
+                found = {(f, v): cost(x[:, f] <= v) + cost(x[:, f] > v) for f in range(4) for v in range(6) if min((x[:, f] <= v).sum(), (x[:, f] > v).sum()) >= 5}
+                tree = trees.grow(trees.Binned.of(x), np.arange(60), y, balanced, impurity, 1, 5, 8)
+                assert tree.feature[0] < 0 or found[tree.feature[0], tree.limit[0]] == pytest.approx(min(found.values()))
+
+
+def test_trees_are_kept_and_not_fitted_again(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i % 10), float(i % 3)]) for i in range(300)], "row_id long, features array<double>")
+    marks = rows.select("row_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx"), (F.col("features")[0] > 5).cast("int").alias("y"))
+    config, path = TreeConfig(max_depths=(2,), min_rows=5, folds=2), str(tmp_path / "trees")
+    one = marks.where("idx = 1")
+    concepts.unit_trees(rows, one, rows, one, config, path)
+    metrics, models = concepts.unit_trees(rows, marks, rows, marks, config, path)
+    assert sorted(models) == [1, 2] and metrics.count() == 2
+    flipped = marks.withColumn("y", 1 - F.col("y"))
+    assert concepts.unit_trees(rows, flipped, rows, flipped, config, path)[1] == models
+    assert concepts.unit_trees(rows, flipped, rows, flipped, TreeConfig(max_depths=(3,), min_rows=5, folds=2), path)[1] != models
+
+
+def test_separators_are_newtons(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 3))
+    rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "row_id long, embedding array<double>")
+    marks = rows.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx")).join(rows, "row_id").select("row_id", "idx", (F.when(F.col("idx") == 0, F.col("embedding")[0]).otherwise(F.col("embedding")[1] - F.col("embedding")[2]) > 0.2).cast("int").alias("y"))
+    found = concepts.separators(rows, marks)
+    assert all(abs(s["slope"]) < 1e-6 for s in concepts.separator_slopes(rows, marks, found).collect())
+    single = concepts.logistic(rows.join(marks.where("idx = 1"), "row_id"), 500, "embedding")
+    assert np.allclose(found.where("idx = 1").first()["cav"], single.coefficients.toArray(), atol=1e-3)
+
+
 def test_whole_run(spark, small):
     config = CohortConfig(cap_positive=60, cap_negative=60, top_k=15)
-    made = pipeline.prepare(sources.order_events(spark, small), config)
-    train, test = (rows.cache() for rows in made.arrays(config))
+    made = pipeline.prepare(sources.order_events(spark, small), config, None)
+    train, test = pipeline.model_inputs(made, config)
     coded, coded_test, weights, losses = pipeline.represent(train, test, autoencoder.ProjectionEmbedder(15, 12), AutoencoderConfig(epochs=30))
     assert losses[-1] < losses[0] and weights.w.shape == (18, 12)
     coded, coded_test = coded.cache(), coded_test.cache()
-    metrics, scores = pipeline.explain(coded, coded_test, (train, test), TreeConfig(max_depths=(2,), impurities=("gini",), min_rows=(3,), least_f1=0.0), support=10)
+    metrics, scores = pipeline.explain(coded, coded_test, (train, test), TreeConfig(max_depths=(2,), impurities=("gini",), min_rows=3, least_f1=0.0), support=10)
     assert metrics.count() > 0 and scores.count() == metrics.where("kept").count()
 
 
