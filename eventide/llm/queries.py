@@ -12,6 +12,7 @@ from .common import table
 from .fmindex import contamination
 from .labelled import bare_pages, labelled_pages
 from .mainhtml import fit, main_text
+from .oracle import ORACLE_SQL  # noqa: F401  what the registry reads
 from .pieces import sampled_pieces
 from .pii import pseudonymise
 from .ppm import language_model_scores
@@ -82,6 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_winnowing": op10_winnowing,
 }
-
-#: DuckDB SQL where it can express the operator on whole tables.
-ORACLE_SQL: dict[str, str] = {}

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_text, bounded_batches, shared_dir, shuffle_partitions
+from .common import as_text, bounded_batches, scratch_path, shuffle_partitions
 
 #: For each control byte: the four lengths and their sum.
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -311,6 +310,6 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFram
     Null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id are ordered by a hash of their
     texts, so repeated rows follow each other. An empty table gives an empty result. Other columns are ignored.
     """
-    path = f"{shared_dir(docs.sparkSession)}/token-blocks-{uuid.uuid4().hex}"
+    path = scratch_path(docs.sparkSession, "token-blocks")
     write_token_blocks(docs, path, tokenizer_path, end_id)
     return read_token_blocks(docs.sparkSession, path)

@@ -7,12 +7,15 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from eventide.llm.queries import QUERIES
+from eventide.llm import winnowing
+from eventide.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import differences
 
 
 def lower(text: str) -> str:
@@ -120,6 +123,11 @@ def test_contamination(spark, edge, documents):
     assert sum(r["contaminated"] for r in found.collect()) >= 3
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, small, name):
+    assert differences(spark, small, QUERIES[name], ORACLE_SQL[name]) == ""
+
+
 def test_contamination_in_blocks_of_phrases(spark, edge):
     from eventide.llm.common import table
     from eventide.llm.fmindex import contamination
@@ -223,6 +231,41 @@ def test_winnowing(spark, edge, documents):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def winnowed(text: str) -> list[tuple[int, int]]:
+    """(hash, place) of the rightmost least gram of each window, by looking at all windows."""
+    raw = text.encode()
+    if not raw:
+        return []
+    hashes = (winnowing.gram_hashes(np.frombuffer(raw, np.uint8), min(12, len(raw))) >> np.uint64(32)).tolist()
+    size = min(24, len(hashes))
+    chosen = {max(range(i, i + size), key=lambda j: (-hashes[j], j)) for i in range(len(hashes) - size + 1)}
+    return [(hashes[j], j) for j in sorted(chosen)]
+
+
+def alike(a: list, b: list) -> float:
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def test_winnowing_of_edited_texts(spark, small):
+    """Fingerprints, likeness and the step from the last document to the first, by brute force."""
+    docs = pq.read_table(os.path.join(small, "documents.parquet"), columns=["doc_id", "text"]).to_pylist()[:60]
+    text = {r["doc_id"]: (r["text"] or "")[:1500] for r in docs} | {10**6: "", 10**6 + 1: "ab", 10**6 + 2: "the same twelve bytes " * 9}
+    found = winnowing.edited_fingerprints(spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(4)).collect()
+    order = sorted(text, reverse=True)
+    assert sorted(r["doc_id"] for r in found) == sorted(text)
+    for r in found:
+        own, following = text[r["doc_id"]], text[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        half = len(own) // 2
+        new = own[: len(own) - half] + following[:half]
+        a, b, c = winnowed(own), winnowed(new), winnowed(following)
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        for fingerprint, want in ((r["fingerprint"], a), (r["edited_fingerprint"], b)):
+            back = winnowing.decode(fingerprint)
+            assert list(zip(back.hashes.tolist(), back.positions.tolist())) == want
+        assert r["near_edited"] == pytest.approx(alike(a, b)) and r["near_next"] == pytest.approx(alike(a, c))
+
+
 def test_pseudonyms(spark, edge, documents):
     found = {r["doc_id"]: r for r in QUERIES["op8_pii"](spark, edge).collect() if r["doc_id"] is not None}
     plain = [d for d, t in documents if d is not None and not re.search("[0-9@]", t)]

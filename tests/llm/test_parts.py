@@ -93,6 +93,35 @@ def test_ppm_probabilities_add_up():
     assert seen > unseen
 
 
+def test_ppm_scores_by_hand():
+    """Each byte by its contexts' own dictionaries: longest first, what a context has seen excluded from all shorter ones."""
+    order, train = 3, [b"the cat sat on the mat", b"the cat ate the hat", b"a mat and a hat", b"no cats"]
+    keys, counts = np.unique(ppm.packed_grams(train, order)[0], return_counts=True)
+    model = ppm.Model(keys, counts, order)
+    seen: dict[bytes, Counter] = {}
+    for t in train:
+        padded = ppm.START * order + t + ppm.END
+        for i in range(order, len(padded)):
+            for d in range(order + 1):
+                seen.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    for text in (b"the cat", b"the hats on a xyz", b"", b"qqq the", "\u00e9 mat".encode()):
+        padded, want = ppm.START * order + text + ppm.END, 0.0
+        for i in range(order, len(padded)):
+            excluded: set[int] = set()
+            for d in range(order, -1, -1):
+                left = {b: n for b, n in seen.get(padded[i - d : i], {}).items() if b not in excluded}
+                if left:
+                    total, escape = sum(left.values()), model.escapes[order - d].of(np.array([sum(left.values())]), np.array([len(left)]))[0]
+                    if padded[i] in left:
+                        want += math.log10((1 - escape) * (left[padded[i]] - 0.5) / (total - 0.5 * len(left)))
+                        break
+                    want += math.log10(escape)
+                    excluded |= set(left)
+            else:
+                want -= math.log10(ppm.SYMBOLS - len(seen[b""]))
+        assert model.text_scores([text])[0] == pytest.approx(want, rel=1e-5)
+
+
 @pytest.mark.parametrize("order, size", [(6, 2000), (6, 20), (2, 20), (1, 20)])
 def test_ppm_keeps_its_order_at_every_size(spark, order, size):
     """The larger table has over 2.5 million distinct grams of seven bytes; scores are those of a trie held in one piece."""
