@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from labels of whole documents.
 
 A document is a bag of sentences, and toxic if at least one of them is. Each sentence gets a logistic score over its
-words; a document's score is 1 - product(1 - score of a sentence). The weights minimise the log loss of that score against
+words; a document's score is 1 - product(1 - score of a sentence), where sentences without a sign of offence count for
+little however many they are. The weights minimise the log loss of that score against
 the document labels, so no sentence was ever labelled; afterwards the sentence scores tell where the offence is.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bounded_batches, fold
 
 STOP = b"\x01"
+FAINT, FAINTLY = 0.05, 0.1
 #: Letters (A-Z lowered), digits and all beyond ASCII are words; . ! ? and line ends end a sentence; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 1 if b in b".!?\n" else 32 for b in range(256))
 
@@ -66,7 +68,11 @@ class Toxicity(NamedTuple):
 
     @staticmethod
     def noisy_or(logits: np.ndarray) -> float:
-        return float(-np.expm1(-np.logaddexp(0.0, logits).sum()))
+        """1 - product(1 - score) over the sentences. Those that score less than ``FAINT`` make up for ``FAINTLY`` at most,
+        all of them together, so that length alone makes no text toxic."""
+        kept = -np.logaddexp(0.0, logits)
+        faint = logits < np.log(FAINT / (1 - FAINT))
+        return float(-np.expm1(kept[~faint].sum() + max(kept[faint].sum(), np.log1p(-FAINTLY))))
 
 
 class Bags(NamedTuple):

@@ -50,6 +50,21 @@ def test_toxicity_tells_held_out_documents_apart(spark, middle):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.9
 
 
+def test_length_alone_is_not_toxic(middle):
+    """Texts of megabytes and of nothing but stops, by a model of the middle table's labels."""
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(os.path.join(middle, "documents.parquet")).to_pylist()}
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(os.path.join(middle, "labels.parquet")).to_pylist() if r["toxic"] is not None and r["doc_id"] in text}
+    model = toxicity.fit([text[i] for i in labels], np.array(list(labels.values())))
+    score = lambda t: model.noisy_or(model.sentences(t))
+    toxic = max((text[i] for i in labels if labels[i]), key=score)
+    clean = b"\n".join(t for i, t in text.items() if score(t) < 0.05 and not labels.get(i))
+    clean *= 4_000_000 // len(clean) + 1
+    assert score(toxic) > 0.3
+    for t in (b"", b". " * 20_000, b"!" * 20_000, b"\n" * 100_000, clean):
+        assert score(t) < 0.3
+    assert score(clean + b"\n" + toxic) > 0.3 and score(b". " * 20_000 + toxic) > 0.3
+
+
 @given(st.lists(st.integers(0, 49_407), max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_token_blocks_round_trip(ids):
