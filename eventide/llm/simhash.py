@@ -208,10 +208,11 @@ def one_of_each(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3,
     """
     linked = _linked(docs, k, seed, distance, list_limit)
     first = F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
-    kept = linked.groupBy("group").agg(F.min("doc_id").alias("_id"), first.alias("_hash")).select("_id", "_hash")
-    own = "_text_hash"
-    while own in docs.columns:
-        own += "_"
-    rows = docs.withColumn(own, F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows[own] == kept["_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
+    kept = linked.groupBy("group").agg(F.min("doc_id").alias("doc_id"), first.alias("hash"))
+    names = ["_id", "_none", "_hash"]
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = [f"{n}_" for n in names]
+    key = lambda hash_: [F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), hash_.alias(names[2])]
+    # no key is null, so that the texts are dealt out once for both the join and the repeated rows
+    rows = docs.select("*", *key(F.xxhash64("text"))).join(kept.select(*key(F.col("hash"))), names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
