@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shuffle_partitions
@@ -127,11 +127,19 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_selected long"
 
 
+def _at_most(cuts: list[int], edges: Column, at: Column) -> Column:
+    """How many of the sorted ``cuts`` (as a column: ``edges``) are at most ``at``: found in one of about as many groups as a group has cuts."""
+    width = max(int(len(cuts) ** 0.5), 1)
+    ends = F.array(*[F.lit(c) for c in cuts[width - 1 :: width]]) if cuts else edges
+    groups = F.array(F.size(F.filter(ends, lambda c: c <= at)))
+    return F.element_at(F.transform(groups, lambda g: g * width + F.size(F.filter(F.slice(edges, g * width + 1, F.lit(width)), lambda c: c <= at))), 1)
+
+
 def edited_fingerprints(docs: DataFrame, k: int = 12, window: int = 24) -> DataFrame:
     """Fingerprints of every text of ``docs`` and of its edited text, and their likeness; the columns are those of ``SCHEMA``.
 
     The next document is the one before by doc_id (after the least: the greatest). A null text counts as empty; a null
-    doc_id comes after all others; rows of one doc_id are ordered by text; a lone row is its own next. An empty table gives
+    doc_id comes after all others; rows of one doc_id are ordered by a hash of the text; a lone row is its own next. An empty table gives
     an empty result. Other columns are ignored.
 
     Rows are dealt once, by ranges of doc_id whose bounds come from the ids alone; each range's first row also goes to the
@@ -147,7 +155,7 @@ def edited_fingerprints(docs: DataFrame, k: int = 12, window: int = 24) -> DataF
     cuts = sorted({int(c) for c in cuts})
     edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     #: Range 0 has the greatest ids.
-    rows = rows.withColumn("part", F.lit(len(cuts)) - F.size(F.filter(edges, lambda c: c <= at)))
+    rows = rows.withColumn("part", F.lit(len(cuts)) - _at_most(cuts, edges, at))
     order = F.struct(at.alias("at"), F.xxhash64("text").alias("h"))
     heads = {r["part"]: (r["head"]["at"], r["head"]["h"]) for r in rows.groupBy("part").agg(F.max(order).alias("head")).collect()}  # a row for each range
     used = sorted(heads)
