@@ -24,7 +24,6 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,19 +57,11 @@ def packed_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return keys[at], starts
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``keys`` in order, and of each key the place of its equal; by hashing, as there are far fewer distinct ones."""
-    codes, own = pd.factorize(keys)
-    order = np.argsort(own)
-    place = np.empty(len(own), np.int64)
-    place[order] = np.arange(len(own))
-    return own[order], place[codes]
-
-
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``keys`` in order, and how often each is there."""
-    own, place = distinct(keys)
-    return own, np.bincount(place, minlength=len(own))
+    own = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    return own[first], np.diff(np.append(first, len(own)))
 
 
 class HashTable:
@@ -479,7 +470,7 @@ def _requests(order: int, shares: int):
         texts = [tokens(t) for t in as_bytes(chunk.column("text").combine_chunks())]
         own = {b"", *chain.from_iterable(texts)}
         words, word_cuts = _distinct_words(np.fromiter(map(word_hash, own), np.uint64, len(own)), shares)
-        grams = np.sort(pd.unique(packed_grams([b" ".join(t) for t in texts], order)[0]))
+        grams = counted(packed_grams([b" ".join(t) for t in texts], order)[0])[0]
         by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
         grams = grams[by]
         n = chunk.column("chunk")[0].as_py()
@@ -558,7 +549,8 @@ def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
         base = np.log10(times + 1.0)
         n = chunk.column("chunk")[0].as_py()
         keys, starts = packed_grams([b" ".join(t) for t in texts], order)
-        grams, inverse = distinct(keys)
+        own_grams = [counted(x) for x in np.split(keys, starts[1:])]  # of each text: once each, in order
+        grams = counted(np.concatenate([x for x, _ in own_grams]))[0]
         by, cuts = _sharded(grams, _middle(grams, order), shares)
         values = np.full(len(grams), np.nan)
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -567,15 +559,12 @@ def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
                 count, total, different = _unpacked_counts(got[i][1], b - a), *(_unpacked_counts(got[i][c], len(contexts))[of] for c in (2, 3))
                 seen = np.flatnonzero(count)
                 values[by[a:b][seen]] = seen_log(escapes, count[seen], total[seen], different[seen])
-        logs = values[inverse]
-        open_ = np.isnan(logs)
-        sums = np.add.reduceat(np.where(open_, 0.0, logs), starts)
-        of = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(keys))))[open_]
-        missed, ends = keys[open_], np.searchsorted(of, np.arange(len(rows) + 1))
         out = []
-        for i, ((doc_id, _), own, stop) in enumerate(zip(rows, n_words.tolist(), word_ends.tolist())):
-            unseen, occurs = counted(missed[ends[i] : ends[i + 1]])
-            out.append((n, doc_id, held_out(doc_id, folds, fold), own + 1, int(known[stop] - known[stop - own] + (times[0] > 0)), float(base[at[stop - own : stop]].sum() + base[0]), float(sums[i]), unseen.astype("<u8").tobytes(), occurs.astype("<i8").tobytes()))
+        for (doc_id, _), own, stop, (found, times_of) in zip(rows, n_words.tolist(), word_ends.tolist(), own_grams):
+            logs = values[np.searchsorted(grams, found)]
+            missed = np.isnan(logs)
+            total = float((logs[~missed] * times_of[~missed]).sum())
+            out.append((n, doc_id, held_out(doc_id, folds, fold), own + 1, int(known[stop] - known[stop - own] + (times[0] > 0)), float(base[at[stop - own : stop]].sum() + base[0]), total, found[missed].astype("<u8").tobytes(), times_of[missed].astype("<i8").tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), SCORED_TYPES)], names=SCORED_NAMES)
 
     return run
