@@ -34,6 +34,8 @@ from .common import LOWER, as_bytes, bounded_batches, chunk_rows, chunked, mater
 START, END = b"\xfe", b"\xff"  # no UTF-8 text has these bytes
 #: Bytes that a text can have, and the end.
 SYMBOLS = 257
+#: Texts' bytes for each share of the statistics, at least.
+SHARE_BYTES = 32 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -349,9 +351,8 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def corpus_statistics(docs: DataFrame, order: int, folds: int, fold: int) -> DataFrame:
-    """(kind, share, keys, counts, n, total): counts of all words and of all grams of the training texts of ``docs``."""
-    n = shuffle_partitions(docs.sparkSession)
+def corpus_statistics(docs: DataFrame, order: int, folds: int, fold: int, n: int) -> DataFrame:
+    """(kind, share, keys, counts, n, total): counts of all words and of all grams of the training texts of ``docs``, in ``n`` shares."""
     parts = docs.select("doc_id", "text").mapInArrow(_statistics(order, n, folds, fold, 32 << 20), STATISTICS)
     merged = parts.repartitionById(n, F.col("share")).sortWithinPartitions("share", "kind").mapInArrow(_merged, MERGED)
     return materialize(merged, "lm-statistics")
@@ -405,9 +406,8 @@ class Levels(NamedTuple):
     root: Model
 
 
-def build(statistics: DataFrame, order: int) -> Levels:
+def build(statistics: DataFrame, order: int, n: int) -> Levels:
     """The levels of contexts of ``order`` bytes and fewer. Only the lowest grams and sums by class come to the driver."""
-    n = shuffle_partitions(statistics.sparkSession)
     grams = statistics.where("kind = 'gram'").select("kind", "share", "keys", "counts")
     low = min(order - 1, 1)
     shares = {order: grams}
@@ -686,17 +686,18 @@ def language_model_scores(docs: DataFrame, order: int = 6, folds: int = 7, fold:
     all counts are 0. Other columns are ignored. Words are counted by their 64-bit hash. ``order`` is 1 to 7 bytes.
 
     Counts are gathered by the scan's tasks and summed up by share of the hashes. For scoring, each chunk of texts asks
-    every share for the counts of its distinct words and the probabilities of its distinct grams, so that what is on very
+    every share for the counts of its distinct words, of its distinct grams and of their contexts, so that what is on very
     many rows is asked for once by each chunk. Contexts have ``order`` bytes at every size of the input.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = shuffle_partitions(spark)
-    statistics = corpus_statistics(docs, order, folds, fold)
-    levels = build(statistics, order)
+    size = text_bytes(docs)
+    n = max(shuffle_partitions(spark), -(-size // SHARE_BYTES))
+    statistics = corpus_statistics(docs, order, folds, fold, n)
+    levels = build(statistics, order, n)
     words = statistics.where("kind = 'word'")
     sums = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
-    chunks = chunked(docs, text_bytes(docs))
+    chunks = chunked(docs, size)
     requests = chunks.groupBy("chunk").applyInArrow(_requests(order, n), REQUESTS)
     held = statistics.select("share", F.when(F.col("kind") == "word", WORDS).otherwise(GRAMS).alias("chunk"), "keys", "counts", F.lit(None).cast("int").alias("n_a"), F.lit(None).cast("int").alias("n_b"))
     asked = held.unionAll(requests).repartitionById(n, F.col("share")).sortWithinPartitions("share", "chunk")
