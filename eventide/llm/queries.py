@@ -20,6 +20,7 @@ from .simhash import near_duplicates
 from .suffixdedup import remove_repeats
 from .tokenids import token_ids
 from .toxicity import toxicity
+from .whitening import whitened
 from .winnowing import edited_fingerprints
 
 
@@ -71,6 +72,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"), k=12, window=24)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), top=32, scale=64, offset=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_winnowing": op10_winnowing,
+    "op11_whitening": op11_whitening,
 }
