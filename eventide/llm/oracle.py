@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import BASE, INDEXED, MISSING, NOTICES, SLACK, Template
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -17,4 +19,38 @@ hit_items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER B
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION}
+
+
+def _values(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+
+
+def licence_sql(base: tuple[Template, ...], notices: tuple[Template, ...]) -> str:
+    """Every place of every word, joined with every template's words: no index decides what is looked at."""
+    templates, phrases = [*base, *notices], []
+    for t, own in enumerate(templates):
+        whole = len(own.words) <= INDEXED
+        for k, m in enumerate([own.text] if whole else own.mandatory):
+            first = own.words.index(m.split()[0]) if whole else next(i for i in range(len(own.words)) if own.words[i : i + len(m.split())] == m.split())
+            phrases += [(t, k, first + j, w, 0 if whole else SLACK) for j, w in enumerate(m.split())]
+    return f"""
+WITH names(t, base, label, short) AS ({_values([(t, t < len(base), x.label, len(x.words) <= INDEXED) for t, x in enumerate(templates)])}),
+tw(t, q, w) AS ({_values([(t, x.words.index(w), w) for t, x in enumerate(templates) for w in dict.fromkeys(x.words)])}),
+phrase(t, k, q, w, slack) AS ({_values(phrases)}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
+places AS MATERIALIZED (SELECT r, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM docs),
+known AS MATERIALIZED (SELECT * FROM places WHERE w IN (SELECT w FROM tw)),
+df AS (SELECT w, count(DISTINCT r) AS n FROM known GROUP BY w),
+idf AS (SELECT t, q, w, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1 AS v FROM tw LEFT JOIN df USING (w)),
+entries AS MATERIALIZED (SELECT *, v / sum(v) OVER (PARTITION BY t) AS share, count(*) OVER (PARTITION BY t) - CASE WHEN short THEN 0 ELSE {MISSING} END AS needed
+  FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, w) AS rank FROM idf JOIN names USING (t)) WHERE short OR rank <= {INDEXED}),
+agreed AS (SELECT r, t, i - q AS s, sum(share) AS share FROM known JOIN entries USING (w) GROUP BY r, t, i - q HAVING count(*) >= any_value(needed)),
+shifted AS (SELECT a.r, a.t, a.s, p.k, d.range AS d, count(*) AS n FROM agreed a JOIN phrase p ON p.t = a.t JOIN range({-SLACK}, {SLACK + 1}) d ON abs(d.range) <= p.slack JOIN known w ON w.r = a.r AND w.i = a.s + d.range + p.q AND w.w = p.w GROUP BY ALL),
+held AS (SELECT DISTINCT r, t, s, k FROM shifted JOIN (SELECT t, k, count(*) AS size FROM phrase GROUP BY t, k) USING (t, k) WHERE n = size),
+sure AS MATERIALIZED (SELECT r, t, s, base, label, CASE WHEN base THEN 1.0 ELSE least(share, 1.0) END AS share FROM agreed JOIN names USING (t) WHERE (SELECT count(*) FROM held h WHERE h.r = agreed.r AND h.t = agreed.t AND h.s = agreed.s) = (SELECT count(DISTINCT k) FROM phrase p WHERE p.t = agreed.t)),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM sure GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score
+FROM docs LEFT JOIN found USING (r)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION, "op12_licences": licence_sql(BASE, NOTICES)}

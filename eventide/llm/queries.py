@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fmindex import contamination
 from .labelled import bare_pages, labelled_pages
+from .licences import licences
 from .mainhtml import fit, main_text
 from .oracle import ORACLE_SQL  # noqa: F401  what the registry reads
 from .pieces import sampled_pieces
@@ -76,6 +77,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"), top=32, scale=64, offset=1_000_000)
 
 
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
@@ -88,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_winnowing": op10_winnowing,
     "op11_whitening": op11_whitening,
+    "op12_licences": op12_licences,
 }
