@@ -53,4 +53,19 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
 FROM docs LEFT JOIN found USING (r)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION, "op12_licences": licence_sql(BASE, NOTICES)}
+#: Every phrase of up to five words, spelt out and counted.
+COLLOCATIONS = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(text, '{UPPER}', '{LOWER}') AS t FROM documents WHERE text IS NOT NULL),
+pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(unnest(regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+')), '[^\\x20\\x09]+') AS w FROM docs),
+phrases AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM phrases GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT * FROM f WHERE m >= 2 AND a >= 100),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates b WHERE b.lang = c.lang AND b.m > c.m AND 100 * b.a >= 100 * c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS p, array_to_string(string_split(phrase, ' ')[k + 1 : m], ' ') AS q FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scores AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p JOIN f y ON y.lang = c.lang AND y.phrase = q JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": DECONTAMINATION, "op12_licences": licence_sql(BASE, NOTICES), "op13_collocations": COLLOCATIONS}

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
 from .fmindex import contamination
 from .labelled import bare_pages, labelled_pages
@@ -81,6 +82,10 @@ def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
@@ -94,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_winnowing": op10_winnowing,
     "op11_whitening": op11_whitening,
     "op12_licences": op12_licences,
+    "op13_collocations": op13_collocations,
 }
