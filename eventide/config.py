@@ -57,7 +57,7 @@ class AutoencoderConfig:
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """The grid that each unit's tree is chosen from, by mean f1 over ``folds``; at most ``max_rows`` rows train (a capped cohort has no more)."""
+    """The grid that each unit's tree is chosen from, by mean f1 over ``folds``."""
 
     max_depths: tuple[int, ...] = (5, 6, 7, 8, 9)
     balanced: tuple[bool, ...] = (True, False)
@@ -66,7 +66,6 @@ class TreeConfig:
     max_leaves: int = 8
     folds: int = 5
     least_f1: float = 0.5
-    max_rows: int = 10_000
 
     def grid(self) -> list[dict]:
         return [{"balanced": b, "impurity": i, "max_depth": d, "min_rows": self.min_rows, "max_leaves": self.max_leaves} for b in self.balanced for i in self.impurities for d in self.max_depths]

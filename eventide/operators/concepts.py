@@ -69,32 +69,23 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """``rows``, or the first ``most`` of them in the order of a hash of row_id."""
-    return rows if rows.count() <= most else rows.orderBy(F.xxhash64("row_id"), "row_id").limit(most)
-
-
-TREES = "idx int, depth int, impurity string, balanced boolean, cv_f1 double, feature array<int>, limit array<double>, left array<int>, right array<int>, value array<int>"
+TREES = trees.TREES
 
 
 def fit_trees(features: DataFrame, targets: DataFrame, units: DataFrame, config: TreeConfig) -> DataFrame:
-    """``TREES`` of each of ``units`` (idx): the tree and the settings that :func:`trees.search` chooses.
+    """``TREES`` of each of ``units`` (idx): the tree and the settings with the best cross-validated f1, all grown together.
 
-    Features are (row_id, features array), targets (row_id, idx, y). Units are dealt out to tasks; what a unit's task holds
-    is bounded by ``max_rows``.
+    Features are (row_id, features array), targets (row_id, idx, y); rows without either play no part.
     """
-    own = _sampled(features.select("row_id", "features"), config.max_rows)
-    grid, folds = config.grid(), config.folds
+    grid = config.grid()
+    folds = config.folds if len(grid) > 1 else 1
+    return features.sparkSession.createDataFrame(trees.grown(trees.packed(features, targets, units, folds), grid, folds), TREES)
 
-    def fit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("row_id", "ascending")])
-        y = np.array(rows.column("y").to_pylist(), np.int64)
-        tree, chosen, score = trees.search(_matrix(rows.column("features")), y, grid, folds)
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), *[pa.list_(pa.int32())] * 3]
-        row = (rows.column("idx")[0].as_py(), chosen["max_depth"], chosen["impurity"], chosen["balanced"], score, *tree)
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in TREES.split(", ")])
 
-    return own.join(targets.join(units.select("idx"), "idx", "left_semi"), "row_id").groupBy("idx").applyInArrow(fit, TREES)
+def tree_splits(found: DataFrame) -> DataFrame:
+    """(idx, place, feature, limit, n, positive, gain) of every test in ``TREES``; place is the way to it from the root, L for at most the limit."""
+    columns = ("place", "feature", "limit", "n", "positive", "gain")
+    return found.select("idx", F.explode(F.arrays_zip(*columns)).alias("s")).select("idx", *[f"s.{c}" for c in columns]).where("feature >= 0")
 
 
 def saved_trees(features: DataFrame, targets: DataFrame, units: DataFrame, config: TreeConfig, path: str) -> DataFrame:

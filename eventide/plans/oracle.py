@@ -140,3 +140,27 @@ ORACLE_SQL = {
 }
 ORACLE_SQL["appended_metrics"] = f"{ORACLE_SQL['binary_metrics'].replace('SELECT idx, n, round(hit', ', found AS (SELECT idx, n, round(hit', 1)}) SELECT * FROM found UNION ALL SELECT * FROM found"
 ORACLE_SQL["concept_vector_slopes"] = sql(f"SELECT DISTINCT CAST(c.idx AS INTEGER) AS idx, CAST(p.range AS INTEGER) AS pos, true AS vanishes FROM (SELECT idx FROM code WHERE h > 0 GROUP BY idx HAVING count(*) >= 50) c, range({WIDTH + 1}) p", "code")
+
+#: Trees of two levels: bins at 64 quantiles (or all values if there are no more), gini, ties to the first feature's least limit.
+SPLITS = {
+    "y": "SELECT c.row_id, c.idx, CAST(h > threshold AS INTEGER) AS y FROM code c JOIN (SELECT idx, median(h) AS threshold FROM code WHERE h > 0 GROUP BY idx HAVING count(*) >= 50) t USING (idx)",
+    "valued": "SELECT *, row_number() OVER (PARTITION BY idx ORDER BY act) - 1 AS rank, count(*) OVER (PARTITION BY idx) AS total FROM emb",
+    "limits": """SELECT DISTINCT idx AS feature, act AS lim FROM valued JOIN (SELECT idx, count(DISTINCT act) AS kinds FROM emb GROUP BY idx) USING (idx) WHERE kinds <= 64 OR rank IN (SELECT (total - 1) * range // 64 FROM range(1, 64))
+        UNION ALL SELECT idx, 'inf'::DOUBLE FROM emb GROUP BY idx HAVING count(DISTINCT act) > 64""",
+    "binned": "SELECT row_id, e.idx AS feature, act, min(lim) AS lim FROM emb e JOIN limits l ON l.feature = e.idx AND lim >= act GROUP BY row_id, e.idx, act",
+}
+
+
+def _best(rows: str) -> str:
+    """The best split by (idx, place) of rows (idx, place, feature, lim, y)."""
+    gini = lambda p, n: f"coalesce(2 * ({p} / ({n})) * (1 - {p} / ({n})) * ({n}), 0)"
+    return f"""SELECT * FROM (SELECT *, round({gini("pa", "na")} - {gini("p", "n")} - {gini("(pa - p)", "na - n")}, 9) AS gain FROM (
+        SELECT idx, place, feature, lim, CAST(sum(sum(1)) OVER w AS DOUBLE) AS n, CAST(sum(sum(y)) OVER w AS DOUBLE) AS p, CAST(sum(sum(1)) OVER (PARTITION BY idx, place, feature) AS DOUBLE) AS na, CAST(sum(sum(y)) OVER (PARTITION BY idx, place, feature) AS DOUBLE) AS pa
+        FROM ({rows}) GROUP BY idx, place, feature, lim WINDOW w AS (PARTITION BY idx, place, feature ORDER BY lim)) WHERE n >= 50 AND na - n >= 50) WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY idx, place ORDER BY gain DESC, feature, lim) = 1"""
+
+
+SPLITS["first"] = _best("SELECT y.idx, '' AS place, feature, lim, y FROM binned JOIN y USING (row_id)")
+SPLITS["second"] = _best("SELECT y.idx, CASE WHEN e.act <= f.lim THEN 'L' ELSE 'R' END AS place, b.feature, b.lim, y FROM y JOIN first f USING (idx) JOIN emb e ON e.row_id = y.row_id AND e.idx = f.feature JOIN binned b ON b.row_id = y.row_id")
+ORACLE_SQL["unit_tree_splits"] = sql(
+    "SELECT CAST(idx AS INTEGER) AS idx, place, CAST(feature AS INTEGER) AS feature, round(lim, 6) AS limit, CAST(na AS BIGINT) AS n, CAST(pa AS BIGINT) AS positive, round(gain, 6) AS gain FROM (SELECT * FROM first UNION ALL SELECT * FROM second)", "code"
+).replace("\nSELECT CAST(idx", ",\n" + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in SPLITS.items()) + "\nSELECT CAST(idx", 1)

@@ -402,6 +402,15 @@ def concept_vector_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.separator_slopes(own, marks, concepts.separators(own, marks)).select("idx", "pos", (F.abs("slope") < 1e-4).alias("vanishes"))
 
 
+@query
+def unit_tree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test of each unit's tree of two levels, with the rows that reach it and its gain."""
+    coded, marks = _concept_inputs(spark, sf_dir)
+    config = TreeConfig(max_depths=(2,), balanced=(False,), impurities=("gini",), max_leaves=4)
+    found = concepts.fit_trees(coded.select("row_id", F.col("x").alias("features")), marks, marks.select("idx").distinct(), config)
+    return concepts.tree_splits(found).select("idx", "place", "feature", rounded("limit"), "n", "positive", rounded("gain"))
+
+
 # Models: no SQL can say what they learn; tests hold them against properties and brute force.
 
 

@@ -1,15 +1,19 @@
 """Thresholds, metrics, trees, concept vectors and the autoencoder against hand-made values and numpy."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventide.config import AutoencoderConfig, CohortConfig, TreeConfig
-from eventide.operators import autoencoder, concepts, trees
+from eventide.operators import autoencoder, concepts, order, trees
 from eventide.plans import pipeline
 from eventide.sources import events as sources
 from eventide.sources import sinks
 
+from . import brute_trees
+
 
 def acts(spark, *units):
     return spark.createDataFrame([(i, [float(u[i]) for u in units]) for i in range(len(units[0]))], "row_id long, activation array<double>")
@@ -103,12 +107,12 @@ def test_trees_are_grown_best_split_first():
     y = np.repeat([0, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0, 0], 10)
     every = np.arange(120)
     settings = {"balanced": False, "impurity": "gini", "max_depth": 5, "min_rows": 5}
-    data = trees.Binned.of(x)
-    tree = trees.grow(data, every, y, max_leaves=8, **settings)
+    data = brute_trees.Binned.of(x)
+    tree = brute_trees.grow(data, every, y, max_leaves=8, **settings)
     assert (tree.predict(x) == y).all() and sum(f < 0 for f in tree.feature) == 3
-    assert sum(f < 0 for f in trees.grow(data, every, y, max_leaves=2, **settings).feature) == 2
-    assert trees.grow(data, every, y, max_leaves=8, **(settings | {"min_rows": 61})).feature == [-1]
-    assert trees.grow(data, every, y, max_leaves=8, **(settings | {"max_depth": 1})).feature[1:] == [-1, -1]
+    assert sum(f < 0 for f in brute_trees.grow(data, every, y, max_leaves=2, **settings).feature) == 2
+    assert brute_trees.grow(data, every, y, max_leaves=8, **(settings | {"min_rows": 61})).feature == [-1]
+    assert brute_trees.grow(data, every, y, max_leaves=8, **(settings | {"max_depth": 1})).feature[1:] == [-1, -1]
 
 
 def test_trees_find_the_best_split_of_all():
@@ -125,10 +129,67 @@ def test_trees_find_the_best_split_of_all():
                     return total * (2 * p * (1 - p) if impurity == "gini" else -sum(q * np.log2(q) for q in (p, 1 - p) if q))
 
                 found = {(f, v): cost(x[:, f] <= v) + cost(x[:, f] > v) for f in range(4) for v in range(6) if min((x[:, f] <= v).sum(), (x[:, f] > v).sum()) >= 5}
-                tree = trees.grow(trees.Binned.of(x), np.arange(60), y, balanced, impurity, 1, 5, 8)
+                tree = brute_trees.grow(brute_trees.Binned.of(x), np.arange(60), y, balanced, impurity, 1, 5, 8)
                 assert tree.feature[0] < 0 or found[tree.feature[0], tree.limit[0]] == pytest.approx(min(found.values()))
 
 
+def _tables(spark, x, ys):
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "row_id long, features array<double>").repartition(5)
+    marks = spark.createDataFrame([(i, u, int(c)) for u, y in ys.items() for i, c in enumerate(y)], "row_id long, idx int, y int")
+    return rows, marks, marks.select("idx").distinct()
+
+
+def folds_of(y, folds):
+    """Either class dealt out in turn, in the order of a hash."""
+    out = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in np.flatnonzero(y == label))
+        out[[i for _, i in own]] = np.arange(len(own)) % folds
+    return out
+
+
+def test_trees_of_all_units_are_those_grown_on_one_machine(spark):
+    """500 rows, counts beside more values than bins, the whole grid."""
+    r = np.random.default_rng(8)
+    x = np.hstack([r.integers(0, 5, (500, 6)), r.normal(size=(500, 4))])
+    ys = {3: (x[:, 0] + x[:, 7] > 2).astype(int), 7: (x[:, 1] * x[:, 8] + r.normal(size=500) > 0.5).astype(int), 9: (r.random(500) < 0.3).astype(int)}
+    rows, marks, units = _tables(spark, x, ys)
+    config = TreeConfig(min_rows=20)
+    found = {t["idx"]: t for t in concepts.fit_trees(rows, marks, units, config).collect()}
+    assert sorted(found) == [3, 7, 9]
+    for u, y in ys.items():
+        tree, chosen, score = brute_trees.search(x, y, config.grid(), folds_of(y, config.folds))
+        t = found[u]
+        assert trees.UnitTree(t["feature"], t["limit"], t["left"], t["right"], t["value"]) == tree
+        assert (t["depth"], t["impurity"], t["balanced"]) == (chosen["max_depth"], chosen["impurity"], chosen["balanced"]) and t["cv_f1"] == pytest.approx(score)
+        at = tree.feature.index(-1)
+        assert t["n"][0] == 500 and t["positive"][0] == y.sum() and t["gain"][0] > 0 and t["gain"][at] == 0 and t["place"][:3] == ["", "L", "R"]
+
+
+def test_trees_of_odd_tables(spark):
+    """Missing features count as the greatest; rows without features or targets play no part; a unit of one class is a leaf."""
+    rows = spark.createDataFrame([(i, [None if i % 7 == 0 else float(i), float("nan")]) for i in range(100)] + [(500, None), (501, [1.0, 2.0])], "row_id long, features array<double>")
+    marks = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(100)] + [(i, 2, 1) for i in range(40)] + [(900, 1, 1)], "row_id long, idx int, y int")
+    units = marks.select("idx").distinct()
+    found = {t["idx"]: t for t in concepts.fit_trees(rows, marks, units, TreeConfig(min_rows=5, max_depths=(2,), folds=2)).collect()}
+    assert found[2]["feature"] == [-1] and found[2]["value"] == [1] and found[2]["n"] == [40]
+    assert found[1]["feature"][0] == 0 and found[1]["n"][0] == 100 and found[1]["cv_f1"] > 0.8
+    assert concepts.fit_trees(rows, marks, units.limit(0), TreeConfig()).count() == 0
+    assert concepts.fit_trees(rows.limit(0), marks, units, TreeConfig()).count() == 0
+
+
+def test_order_statistics(spark):
+    r = np.random.default_rng(4)
+    values = {k: [*r.integers(0, 9, n).astype(float), *r.normal(size=n)] for k, n in ((1, 40), (2, 333), (3, 1))}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [(1, None), (4, None)], "k int, v double").repartition(7)
+    found = {m["k"]: (m["n"], m["median"]) for m in order.medians(rows, "k", "v").collect()}
+    assert found == {k: (len(vs), pytest.approx(np.median(vs))) for k, vs in values.items()}
+    cuts = {c["k"]: c["limits"] for c in order.quantile_limits(rows, "k", "v", 64).collect()}
+    for k, vs in values.items():
+        u = np.unique(vs)
+        assert cuts[k] == (u if len(u) <= 64 else np.unique(np.quantile(vs, np.arange(1, 64) / 64, method="lower"))).tolist()
+
+
 def test_trees_are_kept_and_not_fitted_again(spark, tmp_path):
     rows = spark.createDataFrame([(i, [float(i % 10), float(i % 3)]) for i in range(300)], "row_id long, features array<double>")
     marks = rows.select("row_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("idx"), (F.col("features")[0] > 5).cast("int").alias("y"))
