@@ -8,12 +8,15 @@ and a share that has all fragments of a pivot counts all its n-grams by itself.
 are sent, equal texts before they are read. A pivot with very many occurrences is dealt to several shares; what they
 counted is added up.
 
-Words are looked up chunk by chunk: each chunk asks for the numbers of its own words, so no task holds the vocabulary.
+The frequent words are sent to every worker only if they take no more than SENT bytes; beyond that each chunk of texts asks
+for the numbers of its own words, and no task holds the vocabulary. Both ways give the same fragments.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ BREAKS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 CHUNK_BYTES = 4 << 20
 #: Fragments of a share, about, and occurrences from which on a pivot is dealt to several shares.
 SHARE, HOT = 250_000, 200_000
+#: Bytes of frequent words that are broadcast at most.
+SENT = 16 << 20
 _PIECES = bytes(10 if b in BREAKS else LOWER[b] for b in range(256))
 
 
@@ -36,21 +41,34 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_PIECES).replace(b"\n", b" " + END + b" ").split()
 
 
-def _word_counts(chunk: pa.Table) -> pa.Table:
-    """(chunk, lang, word, n) of a chunk's texts (chunk, lang, text, copies)."""
+def _texts(rows: pa.Table | pa.RecordBatch) -> list[tuple[str, list[bytes], int]]:
+    """(lang, tokens, copies) of each text."""
+    own = pa.Table.from_batches([rows]) if isinstance(rows, pa.RecordBatch) else rows
+    texts = as_bytes(own.column("text").combine_chunks()) if own.num_rows else []
+    return [(lang, tokens(t), n) for lang, t, n in zip(own.column("lang").to_pylist(), texts, own.column("copies").to_pylist())]
+
+
+def _counted(rows: pa.Table | pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Langs, words and how often each is there."""
     counts: dict[str, Counter[bytes]] = {}
-    for lang, text, copies in zip(chunk.column("lang").to_pylist(), as_bytes(chunk.column("text").combine_chunks()), chunk.column("copies").to_pylist()):
+    for lang, found, copies in _texts(rows):
         own = counts.setdefault(lang, Counter())
-        if copies == 1:
-            own.update(tokens(text))
-        else:
-            own.update({w: n * copies for w, n in Counter(tokens(text)).items()})
+        own.update(found if copies == 1 else {w: n * copies for w, n in Counter(found).items()})
     for own in counts.values():
         own.pop(END, None)
-    size = [len(own) for own in counts.values()]
-    names = np.repeat(np.arange(len(counts)), size)
-    words = pa.array([w for own in counts.values() for w in own], pa.binary()).cast(pa.string())
-    return pa.table([pa.array(np.full(len(names), chunk.column("chunk")[0].as_py(), np.int32)), pa.array(list(counts), pa.string()).take(pa.array(names)), words, pa.array([n for own in counts.values() for n in own.values()], pa.int64())], names=["chunk", "lang", "word", "n"])
+    langs = pa.array(list(counts), pa.string()).take(pa.array(np.repeat(np.arange(len(counts)), [len(own) for own in counts.values()])))
+    return langs, pa.array([w for own in counts.values() for w in own], pa.binary()).cast(pa.string()), pa.array([n for own in counts.values() for n in own.values()], pa.int64())
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(list(_counted(b)), names=["lang", "word", "n"])
+
+
+def _chunk_words(chunk: pa.Table) -> pa.Table:
+    """The distinct words of a chunk of texts (chunk, lang, text, copies)."""
+    langs, words, _ = _counted(chunk)
+    return pa.table([pa.array(np.full(len(words), chunk.column("chunk")[0].as_py(), np.int32)), langs, words], names=["chunk", "lang", "word"])
 
 
 def windows(ids: np.ndarray, reach: int) -> np.ndarray:
@@ -89,36 +107,71 @@ def _trimmed(rows: np.ndarray) -> pa.Array:
 FRAGMENTS = "share int, fragment binary, n long"
 
 
-def _fragments(reach: int, shares: int):
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        ids: dict[str, dict[bytes, int]] = {}
-        for lang, word, i in zip(known.column("lang").to_pylist(), known.column("word").cast(pa.binary()).to_pylist(), known.column("id").to_pylist()):
-            ids.setdefault(lang, {})[word] = i
-        flat, sizes, weights = [], [], []
-        for lang, text, copies in zip(texts.column("lang").to_pylist(), as_bytes(texts.column("text").combine_chunks()) if texts.num_rows else [], texts.column("copies").to_pylist()):
-            find = ids.get(lang, {}).get
-            flat += [find(w, 0) for w in tokens(text)]
-            flat.append(0)
-            sizes.append(len(flat))
-            weights.append(copies)
-        rows = windows(np.array(flat, np.int32), reach)
-        n = np.repeat(np.array(weights, np.int64), np.diff(np.array([0, *sizes])))
-        use = (rows[:, reach - 1] > 0) | (rows[:, reach + 1] > 0)
-        rows, n = _summed(rows[use], n[use])
-        # a pivot's frequency says over how many shares it is dealt, by its fragments' hash
-        order = np.argsort(known.column("id").to_numpy())
-        number, parts = known.column("id").to_numpy()[order], -(-known.column("f").to_numpy()[order] // HOT)
-        pivot = rows[:, reach].astype(np.uint64)
-        mix = np.zeros(len(rows), np.uint64)
-        for c in rows.T:
-            mix = (mix ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mix ^= mix >> np.uint64(29)
-        of = parts[np.searchsorted(number, rows[:, reach])].astype(np.uint64) if len(rows) else pivot
-        share = ((pivot * np.uint64(0x9E3779B1) + np.where(of > 1, mix % np.maximum(of, np.uint64(1)), np.uint64(0)) * np.uint64(0x85EBCA77)) >> np.uint64(8)) % np.uint64(shares)
-        share = share.astype(np.int32) + np.where(of > 1, shares, 0).astype(np.int32)
-        return pa.table([pa.array(share), _trimmed(rows), pa.array(n)], names=["share", "fragment", "n"])
+class Known(NamedTuple):
+    """Numbers of words by lang, and over how many shares each number is dealt, in ascending order."""
+
+    ids: dict[str, dict[bytes, int]]
+    number: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, langs: list[str], words: list[bytes], ids: np.ndarray, f: np.ndarray) -> Known:
+        found: dict[str, dict[bytes, int]] = {}
+        for lang, word, i in zip(langs, words, ids.tolist()):
+            found.setdefault(lang, {})[word] = i
+        order = np.argsort(ids)
+        return cls(found, ids[order], -(-f[order] // HOT))
+
+
+def _cut(texts: list[tuple[str, list[bytes], int]], known: Known, reach: int, shares: int) -> list[pa.Array]:
+    """``FRAGMENTS`` of texts, equal ones added up. A pivot that is dealt to several shares goes by its fragments' hash."""
+    flat, sizes = [], [0]
+    for lang, words, _ in texts:
+        find = known.ids.get(lang, {}).get
+        flat += [find(w, 0) for w in words]
+        flat.append(0)
+        sizes.append(len(flat))
+    rows = windows(np.array(flat, np.int32), reach)
+    n = np.repeat(np.array([copies for _, _, copies in texts], np.int64), np.diff(sizes))
+    use = (rows[:, reach - 1] > 0) | (rows[:, reach + 1] > 0)
+    rows, n = _summed(rows[use], n[use])
+    mix, pivot = np.zeros(len(rows), np.uint64), rows[:, reach].astype(np.uint64)
+    for c in rows.T:
+        mix = (mix ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mix ^= mix >> np.uint64(29)
+    of = known.parts[np.searchsorted(known.number, rows[:, reach])].astype(np.uint64) if len(rows) else pivot
+    salt = np.where(of > 1, mix % np.maximum(of, np.uint64(1)), np.uint64(0))
+    share = ((pivot * np.uint64(0x9E3779B1) + salt * np.uint64(0x85EBCA77)) >> np.uint64(8)) % np.uint64(shares)
+    return [pa.array(share.astype(np.int32) + np.where(of > 1, shares, 0).astype(np.int32)), _trimmed(rows), pa.array(n)]
+
+
+FRAGMENTS = "share int, fragment binary, n long"
+NAMES = ["share", "fragment", "n"]
 
-    return run
+
+def fragments_by_broadcast(texts: DataFrame, words: DataFrame, reach: int, shares: int) -> DataFrame:
+    """``FRAGMENTS`` where the frequent words are few enough to be sent to every worker, which the caller has checked."""
+    found = words.select("lang", "word", "id", "f").collect()
+    shared = texts.sparkSession.sparkContext.broadcast(Known.of([r["lang"] for r in found], [r["word"].encode() for r in found], np.array([r["id"] for r in found], np.int64), np.array([r["f"] for r in found], np.int64)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(_cut(_texts(b), shared.value, reach, shares), names=NAMES)
+
+    return texts.select("lang", "text", "copies").mapInArrow(run, FRAGMENTS)
+
+
+def fragments_by_chunk(texts: DataFrame, words: DataFrame, reach: int, shares: int) -> DataFrame:
+    """``FRAGMENTS`` with any number of frequent words: each chunk of texts asks for the numbers of its own words."""
+    chunks = texts.withColumn("chunk", F.pmod(F.xxhash64("lang", "text"), F.lit(max(-(-text_bytes(texts) // CHUNK_BYTES), 1))).cast("int"))
+    asked = chunks.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, lang string, word string")
+    known = asked.join(words.select("lang", "word", "id", "f"), ["lang", "word"])
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        known = Known.of(found.column("lang").to_pylist(), found.column("word").cast(pa.binary()).to_pylist(), found.column("id").to_numpy().astype(np.int64), found.column("f").to_numpy())
+        return pa.table(_cut(_texts(own), known, reach, shares), names=NAMES)
+
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, FRAGMENTS)
 
 
 GRAMS = "gram binary, n long"
@@ -225,12 +278,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     bounded_batches(spark)
     own = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), "text")
     texts = materialize(own.groupBy("lang", "text").agg(F.count("*").alias("copies")), "texts")
-    chunks = texts.withColumn("chunk", F.pmod(F.xxhash64("lang", "text"), F.lit(max(-(-text_bytes(texts) // CHUNK_BYTES), 1))).cast("int"))
-    counts = materialize(chunks.groupBy("chunk").applyInArrow(_word_counts, "chunk int, lang string, word string, n long"), "counts")
+    counts = materialize(texts.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
     words = frequent_words(counts, least)
-    shares = max(-(-(words.agg(F.sum("f")).first()[0] or 0) // SHARE), 4 * shuffle_partitions(spark))
-    known = counts.select("chunk", "lang", "word").join(words, ["lang", "word"])
-    fragments = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_fragments(longest - 1, shares), FRAGMENTS)
+    occurrences, size = words.agg(F.sum("f"), F.sum(F.octet_length("lang") + F.octet_length("word") + 16)).first()
+    shares = max(-(-(occurrences or 0) // SHARE), 4 * shuffle_partitions(spark))
+    fragments = (fragments_by_broadcast if (size or 0) <= SENT else fragments_by_chunk)(texts, words, longest - 1, shares)
     mine = fragments.groupBy("share").applyInArrow(_mine(longest, least, shares), GRAMS)
     grams = materialize(mine.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
     found = scored(grams, words, counts.groupBy("lang").agg(F.sum("n").alias("n")), scale)

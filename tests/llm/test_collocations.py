@@ -57,10 +57,11 @@ def prose(n, seed, words="a b a c d é b 漢 e_f x'y A B".split()):
         yield rng.choice(["en", "en", "de", None, ""]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", "\x85 ", " "]) for _ in range(rng.randint(0, 60)))
 
 
-@pytest.mark.parametrize("hot", [own.HOT, 20])
-def test_prose_against_every_phrase(spark, monkeypatch, hot):
-    """With a small limit nearly every pivot is dealt to several shares."""
+@pytest.mark.parametrize("hot, sent", [(own.HOT, own.SENT), (20, 0), (own.HOT, 0)])
+def test_prose_against_every_phrase(spark, monkeypatch, hot, sent):
+    """With a small limit nearly every pivot is dealt to several shares; with none to send each chunk asks for its words."""
     monkeypatch.setattr(own, "HOT", hot)
+    monkeypatch.setattr(own, "SENT", sent)
     monkeypatch.setattr(own, "CHUNK_BYTES", 2000)
     rows = [*prose(300, 5), *[("en", "one two three four five six")] * 40, *[("en", "a a a a a a")] * 9, (None, None), ("en", None), ("en", ""), ("fr", "seul")]
     want = brute(rows, 6, 25)
