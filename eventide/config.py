@@ -51,8 +51,15 @@ class AutoencoderConfig:
     weight_decay: float = 0.0
     alpha: float = 5e-4
     seed: int = 42
-    #: Up to so many rows train in one task; more use one Spark job for each step.
-    single_task_rows: int = 10_000
+    #: Tasks that train together; 0: as few as hold ``task_bytes`` of rows each.
+    tasks: int = 0
+    task_bytes: int = 256 << 20
+    keep_every: int = 2_500
+
+    def fingerprint(self) -> str:
+        """Of what decides about the result."""
+        own = {k: v for k, v in asdict(self).items() if k not in ("tasks", "task_bytes", "keep_every", "epochs")}
+        return hashlib.sha256(repr(sorted(own.items())).encode()).hexdigest()[:16]
 
 
 @dataclass(frozen=True)

@@ -7,10 +7,13 @@ from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AutoencoderConfig
+from ..sources.scratch import scratch_path
+from ..sources.sinks import exists
+from .together import Group, tasks_for, trained
 
 
 class Weights(NamedTuple):
@@ -63,59 +66,69 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
-def train(embeddings: DataFrame, config: AutoencoderConfig) -> tuple[Weights, list[float]]:
-    """Weights and the loss of every epoch, by full-batch Adam on the column ``embedding``.
+KEPT = "part string, numbers array<double>"
 
-    Up to ``single_task_rows`` rows, as a capped cohort has, all epochs run in one task; beyond that, each epoch is a job
-    in which every task sums the slopes over its own rows. The order of rows plays no part beyond rounding.
+
+def _packed(adam: Adam, losses: list[float]) -> pa.RecordBatch:
+    numbers = {**{f"{k}{i}": p.ravel() for k, of in (("at", adam.at), ("first", adam.first), ("second", adam.second)) for i, p in enumerate(of)}, "step": np.array([float(adam.step)]), "losses": np.array(losses)}
+    return pa.RecordBatch.from_arrays([pa.array(list(numbers)), pa.array([v.tolist() for v in numbers.values()], pa.list_(pa.float64()))], names=["part", "numbers"])
+
+
+def _unpacked(parts: dict[str, np.ndarray], width: int, config: AutoencoderConfig) -> tuple[Adam, list[float]]:
+    shapes = ((-1, width), (-1,), (-1,))
+    adam = Adam(Weights(*(parts[f"at{i}"].reshape(s) for i, s in enumerate(shapes))), config)
+    adam.first, adam.second = ([parts[f"{k}{i}"].reshape(s) for i, s in enumerate(shapes)] for k in ("first", "second"))
+    adam.step = int(parts["step"][0])
+    return adam, parts["losses"].tolist()
+
+
+def train(embeddings: DataFrame, config: AutoencoderConfig, kept: str | None = None) -> tuple[Weights, list[float]]:
+    """Weights and the loss of every epoch, by full-batch Adam on the column ``embedding``; null vectors play no part.
+
+    Tasks of a barrier stage hold the rows and sum their slopes each epoch; their number (``config.tasks``; 0: as many as
+    ``task_bytes`` asks for) and the order of rows change nothing beyond rounding. Every ``config.keep_every`` epochs the
+    state of training is written to the shared folder, or to ``kept``: a lost task sets the stage back to what was written
+    last, and a run that finds a state of these parameters in ``kept`` goes on from there.
     """
-    n = embeddings.where("embedding is not null").count()
-    if not n:
+    own = embeddings.where("embedding is not null").select(F.col("embedding").cast("array<double>").alias("embedding"))
+    found = own.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    if not found["n"]:
         raise RuntimeError("no embedding to train on")
-    own = embeddings.where("embedding is not null").select("embedding")
-    width = own.select(F.size("embedding")).first()[0]
-    return _in_one_task(own, width, config) if n <= config.single_task_rows else _by_jobs(own.cache(), width, config)
+    spark, width = embeddings.sparkSession, found["width"]
+    tasks = config.tasks or tasks_for(found["n"], width, spark.sparkContext.defaultParallelism, config.task_bytes)
+    root = f"{kept.rstrip('/')}/{config.fingerprint()}" if kept else scratch_path(spark, "autoencoder")
+    steps = [*range(config.keep_every, config.epochs, config.keep_every), config.epochs]
+    done = [s for s in steps if exists(spark, f"{root}/{s}")]
+    state = _read(spark, f"{root}/{done[-1]}") if done else None
+    for until in [s for s in steps if not done or s > done[-1]]:
+        trained(own, tasks, KEPT, _epochs(width, config, state, until)).write.mode("overwrite").parquet(f"{root}/{until}")
+        state = _read(spark, f"{root}/{until}")
+    adam, losses = _unpacked(state, width, config)
+    return adam.at, losses
 
 
-def _in_one_task(own: DataFrame, width: int, config: AutoencoderConfig) -> tuple[Weights, list[float]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_matrix(b.column(0)) for b in batches if b.num_rows]
-        x = np.concatenate(parts)
+def _read(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["part"]: np.array(r["numbers"]) for r in spark.read.schema(KEPT).parquet(path).collect()}  # a model, not data
+
+
+def _epochs(width: int, config: AutoencoderConfig, state: dict[str, np.ndarray] | None, until: int):
+    """Training from ``state`` up to epoch ``until``."""
+
+    def run(batches: list[pa.RecordBatch], group: Group) -> pa.RecordBatch:
+        x = np.concatenate([np.zeros((0, width)), *(_matrix(b.column(0)) for b in batches)])
         x = x[np.lexsort(x.T)]
-        adam, losses = Adam(initial(width, config), config), []
-        for _ in range(config.epochs):
+        adam, losses = (Adam(initial(width, config), config), []) if state is None else _unpacked(state, width, config)
+        shapes, cuts = [p.shape for p in adam.at], np.cumsum([p.size for p in adam.at])[:-1]
+        for _ in range(adam.step, until):
             loss, slope = slopes(x, adam.at, config.alpha)
+            if group.size > 1:
+                sums = group.sum(np.concatenate([*(p.ravel() for p in slope), [loss]]))
+                loss, slope = float(sums[-1]), Weights(*(p.reshape(s) for p, s in zip(np.split(sums[:-1], cuts), shapes)))
             losses.append(loss)
             adam.move(slope)
-        packed = [*(p.ravel().tolist() for p in adam.at), losses]
-        yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array(packed, pa.list_(pa.float64()))], names=["part", "numbers"])
-
-    parts = {r["part"]: np.array(r["numbers"]) for r in own.repartition(1).mapInArrow(run, "part int, numbers array<double>").collect()}  # weights
-    return Weights(parts[0].reshape(-1, width), parts[1], parts[2]), parts[3].tolist()
-
+        return _packed(adam, losses)
 
-def _by_jobs(own: DataFrame, width: int, config: AutoencoderConfig) -> tuple[Weights, list[float]]:
-    adam, losses = Adam(initial(width, config), config), []
-    shapes = [p.shape for p in adam.at]
-    cuts = np.cumsum([p.size for p in adam.at])[:-1]
-    for _ in range(config.epochs):
-        shared = own.sparkSession.sparkContext.broadcast(adam.at)  # a model, not data
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(1 + sum(p.size for p in shared.value))
-            for b in batches:
-                if b.num_rows:
-                    loss, slope = slopes(_matrix(b.column(0)), shared.value, config.alpha)
-                    sums += np.concatenate([[loss], *(p.ravel() for p in slope)])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["i", "value"])
-
-        rows = own.mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).collect()
-        sums = np.zeros(len(rows))
-        sums[[r["i"] for r in rows]] = [r["value"] for r in rows]
-        losses.append(float(sums[0]))
-        adam.move(Weights(*(p.reshape(s) for p, s in zip(np.split(sums[1:], cuts), shapes))))
-        shared.unpersist()
-    return adam.at, losses
+    return run
 
 
 def transform(rows: DataFrame, weights: Weights, column: str = "embedding", key: str = "row_id") -> DataFrame:

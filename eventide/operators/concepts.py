@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import TreeConfig
 from ..functions.arrays import cosine, dot, l1, squared_distance, zeros
 from ..sources.sinks import exists
-from . import trees
+from . import separators, trees
 
 
 def by_unit(activations: DataFrame, row_id: str = "row_id", column: str = "activation") -> DataFrame:
@@ -133,45 +133,19 @@ def logistic(rows: DataFrame, iterations: int, features: str = "features", label
     return LogisticRegression(maxIter=iterations, tol=1e-9, regParam=1 / (weight_of_data * n), elasticNetParam=0.0, standardization=False).fit(own)
 
 
-def newton(x: np.ndarray, y: np.ndarray, iterations: int) -> np.ndarray:
-    """Coefficients and intercept of a logistic model with the penalty |coefficients|^2 / 2, by Newton's steps with halving."""
-    full = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.ones(full.shape[1])
-    penalty[-1] = 0.0
-    theta = np.zeros(full.shape[1])
-    loss = lambda t: float(np.logaddexp(0.0, full @ t).sum() - y @ (full @ t) + 0.5 * (penalty * t * t).sum())
-    for _ in range(iterations):
-        p = 1 / (1 + np.exp(-full @ theta))
-        slope = full.T @ (p - y) + penalty * theta
-        if np.abs(slope).max() < 1e-9:
-            break
-        step = np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-12), slope)
-        size, before = 1.0, loss(theta)
-        while size > 1e-6 and loss(theta - size * step) > before:
-            size /= 2
-        theta = theta - size * step
-    return theta
-
-
-def separators(embeddings: DataFrame, targets: DataFrame, units: list[int] | None = None, iterations: int = 100, max_rows: int = 10_000) -> DataFrame:
-    """(idx, cav, intercept): a linear separator of each unit's targets among embeddings (row_id, embedding).
-
-    Units are dealt out to tasks; what a unit's task holds is bounded by ``max_rows``.
+def separators_of(embeddings: DataFrame, targets: DataFrame, units: list[int] | None = None, iterations: int = 100) -> DataFrame:
+    """(idx, cav, intercept): a linear separator of each unit's targets among embeddings (row_id, embedding), by all of their rows.
+
+    The penalty is |cav|^2 / 2. Each Newton step of all units is one job; rows without a vector or a target play no part.
     """
-    own = _sampled(embeddings.select("row_id", "embedding"), max_rows)
     wanted = targets if units is None else targets.where(F.col("idx").isin(units))
-
-    def fit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("row_id", "ascending")])
-        theta = newton(_matrix(rows.column("embedding")), np.array(rows.column("y").to_pylist(), np.float64), iterations)
-        return pa.table([pa.array([rows.column("idx")[0].as_py()], pa.int32()), pa.array([theta[:-1].tolist()], pa.list_(pa.float64())), pa.array([float(theta[-1])])], names=["idx", "cav", "intercept"])
-
-    return own.join(wanted, "row_id").groupBy("idx").applyInArrow(fit, "idx int, cav array<double>, intercept double")
+    found = separators.newton(separators.packed(embeddings, wanted), iterations)
+    return embeddings.sparkSession.createDataFrame([(u, t[:-1].tolist(), float(t[-1])) for u, t in found.items()], "idx int, cav array<double>, intercept double")  # a model
 
 
 def concept_vectors(embeddings: DataFrame, targets: DataFrame, units: list[int] | None = None, iterations: int = 100) -> DataFrame:
     """(idx, cav): the normal of a linear separator of each unit's targets among embeddings (row_id, embedding)."""
-    return separators(embeddings, targets, units, iterations).select("idx", "cav")
+    return separators_of(embeddings, targets, units, iterations).select("idx", "cav")
 
 
 def separator_slopes(embeddings: DataFrame, targets: DataFrame, found: DataFrame) -> DataFrame:

@@ -161,6 +161,20 @@ def _best(rows: str) -> str:
 
 SPLITS["first"] = _best("SELECT y.idx, '' AS place, feature, lim, y FROM binned JOIN y USING (row_id)")
 SPLITS["second"] = _best("SELECT y.idx, CASE WHEN e.act <= f.lim THEN 'L' ELSE 'R' END AS place, b.feature, b.lim, y FROM y JOIN first f USING (idx) JOIN emb e ON e.row_id = y.row_id AND e.idx = f.feature JOIN binned b ON b.row_id = y.row_id")
+#: Newton's steps for two coefficients a, b and an intercept c, by Cramer's rule; twelve are more than enough.
+NEWTON = {
+    "y": SPLITS["y"],
+    "pairs": "SELECT y.idx, y, max(act) FILTER (e.idx = 0) AS u, max(act) FILTER (e.idx = 1) AS v FROM y JOIN emb e USING (row_id) GROUP BY y.row_id, y.idx, y",
+    "t0": "SELECT DISTINCT idx, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM pairs",
+}
+for _i in range(12):
+    NEWTON[f"s{_i}"] = f"""SELECT idx, a, b, c, sum((p - y) * u) + a AS gu, sum((p - y) * v) + b AS gv, sum(p - y) AS g, sum(w * u * u) + 1 AS uu, sum(w * v * v) + 1 AS vv, sum(w * u * v) AS uv, sum(w * u) AS u1, sum(w * v) AS v1, sum(w) AS w1
+        FROM (SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(a * u + b * v + c))) AS p FROM pairs JOIN t{_i} USING (idx))) GROUP BY idx, a, b, c"""
+    NEWTON[f"t{_i + 1}"] = f"""SELECT idx, a - (gu * (vv * w1 - v1 * v1) - uv * (gv * w1 - v1 * g) + u1 * (gv * v1 - vv * g)) / d AS a, b - (uu * (gv * w1 - v1 * g) - gu * (uv * w1 - v1 * u1) + u1 * (uv * g - gv * u1)) / d AS b,
+        c - (uu * (vv * g - gv * v1) - uv * (uv * g - gv * u1) + gu * (uv * v1 - vv * u1)) / d AS c FROM (SELECT *, uu * (vv * w1 - v1 * v1) - uv * (uv * w1 - v1 * u1) + u1 * (uv * v1 - vv * u1) AS d FROM s{_i})"""
+ORACLE_SQL["separator_coefficients"] = sql("SELECT CAST(idx AS INTEGER) AS idx, CAST(pos AS INTEGER) AS pos, round(coefficient, 6) AS coefficient FROM (SELECT idx, 0 AS pos, a AS coefficient FROM t12 UNION ALL SELECT idx, 1, b FROM t12 UNION ALL SELECT idx, 2, c FROM t12)", "code").replace(
+    "\nSELECT CAST(idx", ",\n" + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in NEWTON.items()) + "\nSELECT CAST(idx", 1
+)
 ORACLE_SQL["unit_tree_splits"] = sql(
     "SELECT CAST(idx AS INTEGER) AS idx, place, CAST(feature AS INTEGER) AS feature, round(lim, 6) AS limit, CAST(na AS BIGINT) AS n, CAST(pa AS BIGINT) AS positive, round(gain, 6) AS gain FROM (SELECT * FROM first UNION ALL SELECT * FROM second)", "code"
 ).replace("\nSELECT CAST(idx", ",\n" + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in SPLITS.items()) + "\nSELECT CAST(idx", 1)

@@ -399,7 +399,15 @@ def concept_vector_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the slopes at the separators' solutions: nothing, as a solution is where they vanish."""
     coded, marks = _concept_inputs(spark, sf_dir)
     own = coded.select("row_id", F.col("x").alias("embedding"))
-    return concepts.separator_slopes(own, marks, concepts.separators(own, marks)).select("idx", "pos", (F.abs("slope") < 1e-4).alias("vanishes"))
+    return concepts.separator_slopes(own, marks, concepts.separators_of(own, marks)).select("idx", "pos", (F.abs("slope") < 1e-4).alias("vanishes"))
+
+
+@query
+def separator_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Separators among the embeddings' first two dimensions; position 2 is the intercept."""
+    coded, marks = _concept_inputs(spark, sf_dir)
+    found = concepts.separators_of(coded.select("row_id", F.slice("x", 1, 2).alias("embedding")), marks)
+    return found.select("idx", F.posexplode(F.concat("cav", F.array("intercept"))).alias("pos", "coefficient")).select("idx", "pos", rounded("coefficient"))
 
 
 @query

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.config import AutoencoderConfig, CohortConfig, TreeConfig
-from eventide.operators import autoencoder, concepts, order, trees
+from eventide.operators import autoencoder, concepts, order, separators, trees
 from eventide.plans import pipeline
 from eventide.sources import events as sources
 from eventide.sources import sinks
@@ -62,14 +62,44 @@ def test_autoencoder_slopes():
             assert slope[part][at] == pytest.approx((autoencoder.slopes(x, up, 0.1)[0] - autoencoder.slopes(x, down, 0.1)[0]) / 2e-6, abs=1e-4)
 
 
-def test_training_in_one_task_or_by_jobs_is_the_same(spark):
-    rows = spark.createDataFrame([([float(np.sin(i * j)) for j in range(1, 5)],) for i in range(40)], "embedding array<double>")
-    one = autoencoder.train(rows, AutoencoderConfig(epochs=4))
-    many = autoencoder.train(rows, AutoencoderConfig(epochs=4, single_task_rows=10))
-    assert one[1] == pytest.approx(many[1]) and np.allclose(one[0].w, many[0].w)
-    assert one[1][-1] < one[1][0]
+def _waves(spark, n=40):
+    return spark.createDataFrame([([float(np.sin(i * j)) for j in range(1, 5)],) for i in range(n)] + [(None,)], "embedding array<double>")
+
+
+def test_training_by_one_task_or_several_is_the_same(spark):
+    runs = [autoencoder.train(_waves(spark), AutoencoderConfig(epochs=12, tasks=tasks, keep_every=5)) for tasks in (1, 4, 8)]
+    for weights, losses in runs[1:]:
+        assert losses == pytest.approx(runs[0][1]) and np.allclose(weights.w, runs[0][0].w)
+    assert len(runs[0][1]) == 12 and runs[0][1][-1] < runs[0][1][0]
     with pytest.raises(RuntimeError):
-        autoencoder.train(rows.limit(0), AutoencoderConfig(epochs=1))
+        autoencoder.train(_waves(spark).limit(0), AutoencoderConfig(epochs=1))
+
+
+def test_training_is_full_batch_adam(spark):
+    """Against steps written out here."""
+    config = AutoencoderConfig(epochs=3, tasks=2)
+    x = np.array([r[0] for r in _waves(spark).collect() if r[0]])
+    at = autoencoder.initial(4, config)
+    m, v = ([np.zeros_like(p) for p in at] for _ in range(2))
+    for t in range(1, 4):
+        slope = autoencoder.slopes(x, at, config.alpha)[1]
+        m, v = [0.9 * a + 0.1 * s for a, s in zip(m, slope)], [0.999 * a + 0.001 * s * s for a, s in zip(v, slope)]
+        at = autoencoder.Weights(*(p - config.rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8) for p, a, b in zip(at, m, v)))
+    found = autoencoder.train(_waves(spark), config)[0]
+    assert all(np.allclose(a, b) for a, b in zip(found, at))
+
+
+def test_training_goes_on_from_kept_weights(spark, tmp_path):
+    whole = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=9))
+    first = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=6, keep_every=3), str(tmp_path))
+    more = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=9, keep_every=3, tasks=2), str(tmp_path))
+    assert more[1][:6] == first[1] and more[1] == pytest.approx(whole[1]) and np.allclose(more[0].w, whole[0].w)
+    import shutil
+
+    shutil.rmtree(next(tmp_path.iterdir()) / "9")  # the run broke off before its last part was written
+    assert autoencoder.train(_waves(spark), AutoencoderConfig(epochs=9, keep_every=3), str(tmp_path))[1] == pytest.approx(whole[1])
+    other = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=9, keep_every=3, rate=1e-2), str(tmp_path))
+    assert other[1][-1] != pytest.approx(whole[1][-1])
 
 
 def test_scores(spark):
@@ -208,12 +238,44 @@ def test_separators_are_newtons(spark):
     x = r.normal(size=(200, 3))
     rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "row_id long, embedding array<double>")
     marks = rows.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx")).join(rows, "row_id").select("row_id", "idx", (F.when(F.col("idx") == 0, F.col("embedding")[0]).otherwise(F.col("embedding")[1] - F.col("embedding")[2]) > 0.2).cast("int").alias("y"))
-    found = concepts.separators(rows, marks)
+    found = concepts.separators_of(rows, marks)
     assert all(abs(s["slope"]) < 1e-6 for s in concepts.separator_slopes(rows, marks, found).collect())
     single = concepts.logistic(rows.join(marks.where("idx = 1"), "row_id"), 500, "embedding")
     assert np.allclose(found.where("idx = 1").first()["cav"], single.coefficients.toArray(), atol=1e-3)
 
 
+def test_separators_of_any_number_of_rows_have_no_slope(spark):
+    """12 000 rows, more partitions than are added up at once; a unit with a target for every other row only."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12_000, 5))
+    y = (x @ [1.0, -2, 0.5, 0, 3] + r.normal(size=12_000) > 0).astype(int)
+    rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(20_000, None)], "row_id long, embedding array<double>").repartition(40)
+    marks = spark.createDataFrame([(i, 1, int(v)) for i, v in enumerate(y)] + [(i, 2, int(1 - y[i])) for i in range(0, 12_000, 2)] + [(30_000, 1, 1), (20_000, 1, 0)], "row_id long, idx int, y int")
+    found = {s["idx"]: np.array([*s["cav"], s["intercept"]]) for s in concepts.separators_of(rows, marks).collect()}
+    for unit, own, of in ((1, x, y), (2, x[::2], 1 - y[::2])):
+        full, theta = np.hstack([own, np.ones((len(own), 1))]), found[unit]
+        slope = full.T @ (1 / (1 + np.exp(-full @ theta)) - of) + np.array([*theta[:-1], 0.0])
+        assert np.abs(slope).max() < 1e-7
+    assert concepts.separators_of(rows, marks.limit(0)).count() == 0
+
+
+def test_newton_halves_a_step_that_goes_too_far():
+    """One separable direction of great scale: the whole step from zero overshoots."""
+    x, y = np.array([[-40.0, 1], [-39, 1], [1, 1], [60, 1]]), np.array([0.0, 1, 0, 1])
+    theta, at, size, seen = np.zeros(2), None, 1.0, 0
+    tried = theta
+    for _ in range(200):
+        now = separators.At.of(separators.sums(x, y, tried), tried)
+        if at is None or now.loss < at.loss:
+            theta, at, size = tried, now, 1.0
+        else:
+            size, seen = size / 2, seen + 1
+        if at.slope < 1e-9 or size < 1e-6:
+            break
+        tried = theta - size * at.step
+    assert at.slope < 1e-6
+
+
 def test_whole_run(spark, small):
     config = CohortConfig(cap_positive=60, cap_negative=60, top_k=15)
     made = pipeline.prepare(sources.order_events(spark, small), config, None)
