@@ -35,12 +35,17 @@ class CohortConfig:
 
 @dataclass(frozen=True)
 class BoostingConfig:
-    """Gain ranking by boosted trees; MLlib grows trees by depth, so leaves are bounded by 2 ** max_depth."""
+    """Gain ranking by trees grown leaf by leaf."""
 
     rounds: int = 200
+    leaves: int = 64
     step_size: float = 0.1
-    max_depth: int = 6
-    seed: int = 42
+    min_rows: int = 20
+    min_hessian: float = 1e-3
+    max_bins: int = 255
+    #: Tasks that train together; 0: as few as hold ``task_bytes`` of rows each.
+    tasks: int = 0
+    task_bytes: int = 256 << 20
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from ..sources.scratch import materialize
 def ranked_values(cells: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n, before, total): each distinct value of a key, how often it is there, how many are less, how many there are.
 
-    Null values aren't counted; NaN is greater than any number.
+    Null values aren't counted; NaN is greater than any number. Neither column may have a name of the result's.
     """
     counts = cells.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     own = materialize(counts.repartitionByRange(key, value).withColumn("_range", F.spark_partition_id()), "ranges")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BoostingConfig, CohortConfig
 from ..sources.events import is_terminal
-from .matrix import labelled, pivot_counts
+from .boosting import boosted_splits
 
 
 def event_frequency(events: DataFrame, config: CohortConfig) -> DataFrame:
@@ -29,22 +27,15 @@ def with_terminal(values: list[str], terminal: str) -> list[str]:
     return list(dict.fromkeys([*values, terminal]))
 
 
-def gain_ranking(rows: DataFrame, values: list[str], terminal: str, config: BoostingConfig) -> DataFrame:
-    """(event, gain) of every candidate in a table of counts, by boosted trees weighted by the ratio of the classes.
+def gain_ranking(events: DataFrame, values: list[str], terminal: str, config: BoostingConfig) -> DataFrame:
+    """(event, gain) of every candidate: what the splits on it gain in boosted trees, 0 if there are none.
 
-    Trees are grown by depth, so the ranking isn't that of a leaf-wise booster. Without a positive row it raises
-    RuntimeError.
+    Rows are entity-periods with a candidate or the terminal event, which is their label; classes are weighted by their
+    ratio. Without a positive row it raises RuntimeError.
     """
-    own = labelled(rows, terminal)
-    n_pos, n = own.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
-    if not n_pos:
-        raise RuntimeError("no positive row to rank features by")
-    names = [f"f{i}" for i in range(len(values))]
-    own = own.select(*[F.col(f"`{v}`").cast("float").alias(c) for v, c in zip(values, names)], F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, F.lit((n - n_pos) / n_pos)).otherwise(F.lit(1.0)).alias("weight"))
-    table = VectorAssembler(inputCols=names, outputCol="features").transform(own).select("features", "label", "weight")
-    model = GBTClassifier(maxIter=config.rounds, stepSize=config.step_size, maxDepth=config.max_depth, weightCol="weight", seed=config.seed).fit(table)
-    gains = model.featureImportances.toArray()
-    return rows.sparkSession.createDataFrame([(v, float(g)) for v, g in zip(values, gains)], "event string, gain double")
+    gains = boosted_splits(events, values, terminal, config).groupBy("event").agg(F.sum("gain").alias("gain"))
+    names = events.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], "event string")
+    return names.join(gains, "event", "left").select("event", F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
 
 def top_events(events: DataFrame, config: CohortConfig, boosting: BoostingConfig | None = None) -> list[str]:
@@ -53,5 +44,5 @@ def top_events(events: DataFrame, config: CohortConfig, boosting: BoostingConfig
     found = [r["event"] for r in most_frequent(events, config, k).collect()]  # at most k names
     if not boosting:
         return found
-    ranked = gain_ranking(pivot_counts(events, with_terminal(found, config.row_terminal)), found, config.row_terminal, boosting)
+    ranked = gain_ranking(events, found, config.row_terminal, boosting)
     return [r["event"] for r in ranked.orderBy(F.desc("gain"), F.asc("event")).limit(config.top_k).collect()]

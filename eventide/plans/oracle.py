@@ -178,3 +178,24 @@ ORACLE_SQL["separator_coefficients"] = sql("SELECT CAST(idx AS INTEGER) AS idx,
 ORACLE_SQL["unit_tree_splits"] = sql(
     "SELECT CAST(idx AS INTEGER) AS idx, place, CAST(feature AS INTEGER) AS feature, round(lim, 6) AS limit, CAST(na AS BIGINT) AS n, CAST(pa AS BIGINT) AS positive, round(gain, 6) AS gain FROM (SELECT * FROM first UNION ALL SELECT * FROM second)", "code"
 ).replace("\nSELECT CAST(idx", ",\n" + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in SPLITS.items()) + "\nSELECT CAST(idx", 1)
+
+#: The first boosted tree: every cut of every candidate at the root, then in both children, of which the better one is cut.
+BOOSTED = {
+    "candidates": f"SELECT event, row_number() OVER (ORDER BY n DESC, event) AS code FROM freq ORDER BY code LIMIT {CONFIG.candidates}",
+    "found": "SELECT patient_id, year, event, count(date) AS n FROM own WHERE event = 'DEATH' OR event IN (SELECT event FROM candidates) GROUP BY ALL",
+    "rows_": "SELECT *, CASE WHEN y = 1 THEN (total - pos) / pos ELSE 1 END AS w, pos / total AS p FROM (SELECT *, CAST(sum(y) OVER () AS DOUBLE) AS pos, count(*) OVER () AS total FROM (SELECT patient_id, year, CAST(count(*) FILTER (WHERE event = 'DEATH') > 0 AS INTEGER) AS y FROM found GROUP BY patient_id, year))",
+    "dense": "SELECT patient_id, year, code, event, coalesce(n, 0) AS lim, w * (p - y) AS g, w * p * (1 - p) AS h FROM rows_ CROSS JOIN candidates LEFT JOIN found USING (patient_id, year, event)",
+}
+
+
+def _boosted(rows: str) -> str:
+    """The best cut by place of rows (place, code, event, lim, g, h)."""
+    return f"""SELECT * FROM (SELECT *, round(gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha, 9) AS gain FROM (SELECT place, code, event, lim, sum(sum(g)) OVER w AS gl, sum(sum(h)) OVER w AS hl, sum(count(*)) OVER w AS nl, sum(sum(g)) OVER a AS ga, sum(sum(h)) OVER a AS ha, sum(count(*)) OVER a AS na
+        FROM ({rows}) GROUP BY place, code, event, lim WINDOW a AS (PARTITION BY place, code), w AS (PARTITION BY place, code ORDER BY lim)) WHERE nl >= 20 AND na - nl >= 20 AND hl >= 0.001 AND ha - hl >= 0.001) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY place ORDER BY gain DESC, code, lim) = 1"""
+
+
+BOOSTED["root"] = _boosted("SELECT '' AS place, code, event, lim, g, h FROM dense")
+BOOSTED["children"] = _boosted("SELECT CASE WHEN c.lim <= r.lim THEN 'L' ELSE 'R' END AS place, d.code, d.event, d.lim, d.g, d.h FROM dense d JOIN dense c USING (patient_id, year) JOIN root r ON c.code = r.code")
+ORACLE_SQL["boosted_splits"] = sql(
+    "SELECT CAST(0 AS INTEGER) AS round, place, event, CAST(lim AS DOUBLE) AS limit, round(gain, 6) AS gain, CAST(na AS BIGINT) AS n FROM (SELECT * FROM root UNION ALL SELECT * FROM (SELECT * FROM children ORDER BY gain DESC, place LIMIT 1))", "freq"
+).replace("\nSELECT CAST(0", ",\n" + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in BOOSTED.items()) + "\nSELECT CAST(0", 1)

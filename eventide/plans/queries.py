@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, TreeConfig
 from ..functions.arrays import affine, relu
-from ..operators import autoencoder, cohort, concepts, matrix, preprocess, selection
+from ..operators import autoencoder, boosting, cohort, concepts, matrix, preprocess, selection
 from ..sources import events as sources
 from ..sources import sinks
 from ..sources.scratch import materialize, scratch_path
@@ -20,6 +21,7 @@ from . import pipeline
 
 #: Caps and features that bind on the small tables too.
 CONFIG = CohortConfig(cap_positive=200, cap_negative=200, max_rows=400, candidates=40, top_k=20)
+CANDIDATES = CohortConfig().candidates
 PATTERN, TERMINAL = CONFIG.entity_terminal, CONFIG.row_terminal
 UNITS, WIDTH, ALPHA = 6, 64, 5e-4
 #: Fixed weights that SQL can write down too.
@@ -402,6 +404,15 @@ def concept_vector_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.separator_slopes(own, marks, concepts.separators_of(own, marks)).select("idx", "pos", (F.abs("slope") < 1e-4).alias("vanishes"))
 
 
+@query
+def boosted_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests of the first boosted tree, with three leaves."""
+    made = materialize(_selected_events(spark, sf_dir), "selected")
+    values = [r["event"] for r in selection.most_frequent(made, CONFIG, CONFIG.candidates).collect()]
+    found = boosting.boosted_splits(made, values, TERMINAL, BoostingConfig(rounds=1, leaves=3))
+    return found.select("round", "place", "event", "limit", rounded("gain"), "n")
+
+
 @query
 def separator_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Separators among the embeddings' first two dimensions; position 2 is the intercept."""
@@ -425,15 +436,14 @@ def unit_tree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gbt_gain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = materialize(_selected_events(spark, sf_dir), "selected")
-    values = [r["event"] for r in selection.most_frequent(made, CONFIG, CONFIG.candidates).collect()]
-    rows = matrix.pivot_counts(made, selection.with_terminal(values, TERMINAL))
-    return selection.gain_ranking(rows, values, TERMINAL, BoostingConfig()).orderBy(F.desc("gain"), F.asc("event")).limit(CONFIG.top_k)
+    values = [r["event"] for r in selection.most_frequent(made, CONFIG, CANDIDATES).collect()]
+    return selection.gain_ranking(made, values, TERMINAL, BoostingConfig()).orderBy(F.desc("gain"), F.asc("event")).limit(CONFIG.top_k)
 
 
 @query
 def gain_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default path: features ranked by gain."""
-    made = pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG)
+    """The default path: features ranked by gain among as many candidates as production runs have."""
+    made = pipeline.prepare(sources.order_events(spark, sf_dir), replace(CONFIG, candidates=CANDIDATES))
     return _long(made.train_rows, selection.with_terminal(made.features, TERMINAL))
 
 

@@ -1,12 +1,14 @@
 """Rules of the cohort engine on hand-made rows, golden counts, and properties of a whole run."""
 
 import datetime as dt
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventide.config import BoostingConfig, CohortConfig
-from eventide.operators import cohort, matrix, preprocess, selection
+from eventide.operators import boosting, cohort, matrix, preprocess, selection
 from eventide.plans import pipeline
 from eventide.sources import events as sources
 
@@ -137,12 +139,77 @@ def test_golden_run(spark, sf, cap, want):
     log_.unpersist()
 
 
+def counted(spark, rows):
+    """An event log with so many events of each name for each entity."""
+    made = spark.createDataFrame([(p, e, n) for p, counts in rows.items() for e, n in counts.items() if n], "patient_id string, event string, n int")
+    return made.select("patient_id", F.lit(2000).alias("year"), "event", F.explode(F.sequence(F.lit(1), "n"))).select("patient_id", F.lit("2000-01-01").cast("timestamp_ntz").alias("date"), "year", "event")
+
+
+def brute_boost(x, y, config):
+    """(round, place, feature, limit, gain, rows) of every split, by trying every limit of every feature in every leaf."""
+    n, pos = len(y), y.sum()
+    w, score, out = np.where(y == 1, (n - pos) / pos, 1.0), np.full(n, np.log(pos / (n - pos))), []
+    for turn in range(config.rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = w * (p - y), w * p * (1 - p)
+
+        def best(own):
+            found = []
+            for f in range(x.shape[1]):
+                for v in np.unique(x[:, f])[:-1]:
+                    low, high = own & (x[:, f] <= v), own & (x[:, f] > v)
+                    if min(low.sum(), high.sum()) >= config.min_rows:
+                        found.append((round(sum(g[s].sum() ** 2 / h[s].sum() for s in (low, high)) - g[own].sum() ** 2 / h[own].sum(), 9), -f, -v))
+            top = max(found, default=(0, 0, 0))
+            return top if top[0] > 0 else None
+
+        leaves = {"": np.ones(n, bool)}
+        offers = {"": best(leaves[""])}
+        while len(leaves) < config.leaves and any(offers.values()):
+            place = max((k for k in offers if offers[k]), key=lambda k: offers[k][0])
+            gain, f, v = offers.pop(place)
+            own = leaves.pop(place)
+            out.append((turn, place, -f, -v, gain, int(own.sum())))
+            for side, part in (("L", own & (x[:, -f] <= -v)), ("R", own & (x[:, -f] > -v))):
+                leaves[place + side], offers[place + side] = part, best(part)
+        for own in leaves.values():
+            score[own] -= config.step_size * g[own].sum() / h[own].sum()
+    return out
+
+
+def test_boosted_splits_against_every_limit(spark):
+    r = np.random.default_rng(11)
+    x = np.minimum(r.poisson(0.7, (300, 8)), 4)
+    y = (x[:, 0] + 2 * x[:, 1] * (x[:, 2] == 0) - x[:, 3] + r.normal(size=300) > 1).astype(int)
+    x[:, 7] = 1  # so that every entity has a row
+    names = [f"e{i}" for i in range(8)]
+    log_ = counted(spark, {str(i): dict(zip(names, map(int, v))) | {"DEATH": int(d), "other": 1} for i, (v, d) in enumerate(zip(x, y))})
+    config = BoostingConfig(rounds=4, leaves=6, min_rows=10)
+    want = brute_boost(x, y, config)
+    assert len(want) == 20
+    for tasks in (1, 3):
+        found = {(s["round"], s["place"]): (s["event"], s["limit"], s["gain"], s["n"]) for s in boosting.boosted_splits(log_, names, "DEATH", replace(config, tasks=tasks)).collect()}
+        assert set(found) == {(t, p) for t, p, *_ in want}
+        for t, p, f, v, gain, n in want:
+            assert found[t, p][:2] == (names[f], v) and found[t, p][2] == pytest.approx(gain, abs=1e-6) and found[t, p][3] == n
+
+
 def test_gain_ranking(spark):
-    rows = spark.createDataFrame([(str(i), 1, i % 2, i % 3, i % 2) for i in range(120)], "patient_id string, year int, good long, noise long, DEATH long")
-    found = {r["event"]: r["gain"] for r in selection.gain_ranking(rows, ["good", "noise"], "DEATH", BoostingConfig(rounds=3, max_depth=2)).collect()}
-    assert found["good"] > found["noise"]
+    log_ = counted(spark, {str(i): {"good": i % 2, "noise": i % 3, "DEATH": i % 2} for i in range(120)})
+    found = {r["event"]: r["gain"] for r in selection.gain_ranking(log_, ["good", "noise", "never"], "DEATH", BoostingConfig(rounds=3)).collect()}
+    assert found["good"] > found["noise"] and found["never"] == 0
     with pytest.raises(RuntimeError):
-        selection.gain_ranking(rows.where("DEATH = 0"), ["good"], "DEATH", BoostingConfig(rounds=1))
+        selection.gain_ranking(log_.where("event <> 'DEATH'"), ["good"], "DEATH", BoostingConfig(rounds=1))
+    alone = log_.where("event = 'DEATH'")
+    assert [r["gain"] for r in selection.gain_ranking(alone, ["good"], "DEATH", BoostingConfig(rounds=1)).collect()] == [0.0]
+
+
+def test_the_plan_of_sparse_rows_does_not_grow_with_the_candidates(spark):
+    log_ = counted(spark, {"a": {"x": 1, "DEATH": 1}})
+    sizes = {len(boosting.sparse_rows(log_, spark.createDataFrame([(f"e{i}", i) for i in range(n)], "event string, code int"), "DEATH").columns) for n in (1, 500)}
+    assert sizes == {5}
+    rows = boosting.sparse_rows(log_, spark.createDataFrame([("x", 0), ("y", 1)], "event string, code int"), "DEATH").collect()
+    assert [(r["codes"], r["counts"], r["label"]) for r in rows] == [([0], [1], 1)]
 
 
 def test_wide_tables(spark):
