@@ -43,8 +43,9 @@ class BoostingConfig:
     min_rows: int = 20
     min_hessian: float = 1e-3
     max_bins: int = 255
-    #: Tasks that train together; 0: as few as hold ``task_bytes`` of rows each.
+    #: Tasks that train together; 0: one for each ``task_cells`` counts, as far as there are slots, of ``task_bytes`` at most.
     tasks: int = 0
+    task_cells: int = 1 << 20
     task_bytes: int = 256 << 20
 
 
@@ -56,14 +57,15 @@ class AutoencoderConfig:
     weight_decay: float = 0.0
     alpha: float = 5e-4
     seed: int = 42
-    #: Tasks that train together; 0: as few as hold ``task_bytes`` of rows each.
+    #: Tasks that train together; 0: one for each ``task_rows`` rows, as far as there are slots, of ``task_bytes`` at most.
     tasks: int = 0
+    task_rows: int = 512
     task_bytes: int = 256 << 20
     keep_every: int = 2_500
 
     def fingerprint(self) -> str:
         """Of what decides about the result."""
-        own = {k: v for k, v in asdict(self).items() if k not in ("tasks", "task_bytes", "keep_every", "epochs")}
+        own = {k: v for k, v in asdict(self).items() if k not in ("tasks", "task_rows", "task_bytes", "keep_every", "epochs")}
         return hashlib.sha256(repr(sorted(own.items())).encode()).hexdigest()[:16]
 
 

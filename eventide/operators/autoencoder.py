@@ -85,8 +85,8 @@ def _unpacked(parts: dict[str, np.ndarray], width: int, config: AutoencoderConfi
 def train(embeddings: DataFrame, config: AutoencoderConfig, kept: str | None = None) -> tuple[Weights, list[float]]:
     """Weights and the loss of every epoch, by full-batch Adam on the column ``embedding``; null vectors play no part.
 
-    Tasks of a barrier stage hold the rows and sum their slopes each epoch; their number (``config.tasks``; 0: as many as
-    ``task_bytes`` asks for) and the order of rows change nothing beyond rounding. Every ``config.keep_every`` epochs the
+    Tasks of a barrier stage hold the rows and sum their slopes each epoch; their number (``config.tasks``; 0: by
+    ``task_rows`` and ``task_bytes``) and the order of rows change nothing beyond rounding. Every ``config.keep_every`` epochs the
     state of training is written to the shared folder, or to ``kept``: a lost task sets the stage back to what was written
     last, and a run that finds a state of these parameters in ``kept`` goes on from there.
     """
@@ -95,7 +95,7 @@ def train(embeddings: DataFrame, config: AutoencoderConfig, kept: str | None = N
     if not found["n"]:
         raise RuntimeError("no embedding to train on")
     spark, width = embeddings.sparkSession, found["width"]
-    tasks = config.tasks or tasks_for(found["n"], width, spark.sparkContext.defaultParallelism, config.task_bytes)
+    tasks = config.tasks or tasks_for(found["n"], width, spark.sparkContext.defaultParallelism, config.task_bytes, config.task_rows)
     root = f"{kept.rstrip('/')}/{config.fingerprint()}" if kept else scratch_path(spark, "autoencoder")
     steps = [*range(config.keep_every, config.epochs, config.keep_every), config.epochs]
     done = [s for s in steps if exists(spark, f"{root}/{s}")]

@@ -159,7 +159,7 @@ def boosted_splits(events: DataFrame, values: list[str], terminal: str, config:
     known = rows.select(F.explode(F.arrays_zip("codes", "counts")).alias("c")).select(F.col("c.codes").alias("code"), F.col("c.counts").alias("value"))
     found = {r["code"]: np.array([*r["limits"], *([np.inf] if r["cut"] else [])]) for r in quantile_limits(known, "code", "value", config.max_bins - 1).collect()}  # the candidates' bins
     limits = [found.get(i, np.zeros(0)) for i in range(len(set(values)))]
-    tasks = config.tasks or tasks_for(cells or 0, 4, spark.sparkContext.defaultParallelism, config.task_bytes)
+    tasks = config.tasks or tasks_for(cells or 0, 4, spark.sparkContext.defaultParallelism, config.task_bytes, config.task_cells)
 
     def train(batches: list[pa.RecordBatch], group: Group) -> pa.RecordBatch:
         made = boost(Sparse.of(batches, limits), config, group)

@@ -19,6 +19,7 @@ from ..config import TreeConfig
 from ..functions.arrays import cosine, dot, l1, squared_distance, zeros
 from ..sources.sinks import exists
 from . import separators, trees
+from .order import medians
 
 
 def by_unit(activations: DataFrame, row_id: str = "row_id", column: str = "activation") -> DataFrame:
@@ -29,7 +30,8 @@ def by_unit(activations: DataFrame, row_id: str = "row_id", column: str = "activ
 def thresholds(activations: DataFrame, support: int = 50, row_id: str = "row_id", column: str = "activation") -> DataFrame:
     """(idx, n_positive, threshold): the exact median of a unit's positive activations, if it has ``support`` of them."""
     positive = by_unit(activations, row_id, column).where("act > 0")
-    return positive.groupBy("idx").agg(F.count("*").alias("n_positive"), F.median(F.col("act").cast("double")).alias("threshold")).where(F.col("n_positive") >= support)
+    found = medians(positive.select("idx", "act"), "idx", "act")
+    return found.select("idx", F.col("n").alias("n_positive"), F.col("median").alias("threshold")).where(F.col("n_positive") >= support)
 
 
 def binarise(activations: DataFrame, limits: DataFrame, row_id: str = "row_id", column: str = "activation") -> DataFrame:

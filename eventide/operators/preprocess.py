@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import medians
+
 
 def with_outcome(table: DataFrame, outcome: str, drops: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose ``outcome`` is known, which comes last under that name, without the columns in ``drops`` that are there."""
@@ -23,12 +25,13 @@ def _numbers(columns: list[str]) -> dict[str, F.Column]:
 def impute_median(rows: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Nulls and NaNs in ``columns`` become the exact median of the column, of ``fit_on`` if given, else of ``rows``.
 
-    A column without any value is dropped. The medians, one row, come to the driver and go into the plan as literals.
-    Spark holds a column's distinct values to find an exact median: meant for a cohort, whose rows are capped.
+    A column without any value is dropped. The medians, a row for each column, come to the driver and go into the plan as
+    literals; no task holds a column's values.
     """
-    medians = (rows if fit_on is None else fit_on).agg(*[F.median(v).alias(c) for c, v in _numbers(columns).items()]).first()
-    filled = {c: F.coalesce(v, F.lit(medians[c])) for c, v in _numbers(columns).items() if medians[c] is not None}
-    return rows.withColumns(filled).drop(*[c for c in columns if medians[c] is None])
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), v.alias("value")) for i, v in enumerate(_numbers(columns).values())]))
+    known = {columns[r["column"]]: r["median"] for r in medians((rows if fit_on is None else fit_on).select(cells.alias("c")).select("c.column", "c.value"), "column", "value").collect()} if columns else {}
+    filled = {c: F.coalesce(v, F.lit(known[c])) for c, v in _numbers(columns).items() if c in known}
+    return rows.withColumns(filled).drop(*[c for c in columns if c not in known])
 
 
 def standardise(rows: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -50,8 +53,9 @@ def normalised(rows: DataFrame, column: str = "features") -> DataFrame:
     """
     value = F.nullif(F.col("v").cast("double"), F.lit(float("nan")))
     cells = rows.select(F.posexplode(column).alias("pos", "v")).select("pos", value.alias("v"))
-    medians = {r["pos"]: r["m"] for r in cells.groupBy("pos").agg(F.median("v").alias("m")).collect()}
-    known = F.array(*[F.lit(medians[i] if medians[i] is not None else 0.0) for i in sorted(medians)]).cast("array<double>")
+    found = {r["pos"]: r["median"] for r in medians(cells, "pos", "v").collect()}
+    width = rows.agg(F.max(F.size(column))).first()[0] or 0
+    known = F.array(*[F.lit(found.get(i, 0.0)) for i in range(width)]).cast("array<double>")
     filled = F.zip_with(F.col(column).cast("array<double>"), known, lambda v, m: F.coalesce(F.nullif(v, F.lit(float("nan"))), m))
     own = rows.withColumn(column, filled)
     moments = {r["pos"]: (r["mean"], r["deviation"]) for r in own.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")).collect()}
