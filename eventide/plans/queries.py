@@ -15,6 +15,7 @@ from ..functions.arrays import affine, relu
 from ..operators import autoencoder, boosting, cohort, concepts, matrix, preprocess, selection
 from ..sources import events as sources
 from ..sources import sinks
+from ..sources.arrowfiles import read_runs
 from ..sources.scratch import materialize, scratch_path
 from ..streaming import events as streams
 from . import pipeline
@@ -377,11 +378,11 @@ def weights_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def appended_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metrics of the units, appended twice as CSV and read again."""
+    """The metrics of the units appended by two runs, one of which is repeated, and read again."""
     path, rows = scratch_path(spark, "metrics"), binary_metrics(spark, sf_dir)
-    for _ in range(2):
-        sinks.append_metrics(rows, path)
-    return spark.read.schema(rows.schema).csv(path)
+    for run in ("first", "second", "first"):
+        sinks.append_metrics(rows, path, run)
+    return read_runs(spark, rows.schema, path).drop("run")
 
 
 @query
@@ -391,6 +392,14 @@ def feather_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_feather(spark, *sources.write_feather(rows, scratch_path(spark, "feather")))
 
 
+@query
+def feather_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of a Feather table, the others unread; large orders by status."""
+    paths = sources.write_feather(spark.read.parquet(f"{sf_dir}/orders.parquet"), scratch_path(spark, "feather"))
+    rows = sources.read_feather(spark, *paths, columns=["o_orderstatus", "o_totalprice"])
+    return rows.where("o_totalprice > 100000").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 def _concept_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     coded = materialize(autoencoder.transform(_embeddings(spark, sf_dir), WEIGHTS), "coded")
     return coded, materialize(concepts.binarise(coded, concepts.thresholds(coded, 50, column="h"), column="h"), "marks")

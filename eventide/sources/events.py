@@ -7,41 +7,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+
+from .arrowfiles import located, read_feather  # noqa: F401  the scan of Feather files
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_feather(spark: SparkSession, *paths: str) -> DataFrame:
-    """Feather (Arrow IPC) files of one schema: tasks read record batches, the driver only the schema and batch counts.
-
-    Paths may be local, or URIs that Arrow's file systems know; the executors must reach them.
-    """
-
-    def opened(path: str) -> pa.ipc.RecordBatchFileReader:
-        store, name = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
-        return pa.ipc.open_file(store.open_input_file(name))
-
-    import pyarrow.fs  # noqa: F401  so that pa.fs is there
-
-    schema = opened(paths[0]).schema
-    parts = [(p, i) for p in paths for i in range(opened(p).num_record_batches)]
-    if not parts:
-        return spark.createDataFrame([], from_arrow_schema(schema))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs  # noqa: F401
-
-        for b in batches:
-            for path, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield opened(path).get_batch(i)
-
-    listed = spark.createDataFrame(parts, "path string, i int").repartition(min(len(parts), 10_000))
-    return listed.mapInArrow(run, from_arrow_schema(schema, prefer_timestamp_ntz=True))
-
-
 def write_feather(rows: DataFrame, folder: str) -> list[str]:
     """Feather files of ``rows`` in ``folder``, one written by each task that has rows; their paths, for :func:`read_feather`.
 
@@ -50,11 +23,10 @@ def write_feather(rows: DataFrame, folder: str) -> list[str]:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, root = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+        store, root = located(folder)
         store.create_dir(root)
         name = f"{root.rstrip('/')}/part-{task.partitionId():06}.feather"
         own, sink, writer = f"{name}.{task.taskAttemptId()}", None, None

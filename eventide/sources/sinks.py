@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .arrowfiles import append_run
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark finished writing a table at ``path``."""
@@ -28,9 +30,9 @@ def read_or_compute(spark: SparkSession, root: str, name: str, fingerprint: str,
     return spark.read.parquet(path)
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Rows appended as CSV without a header."""
-    rows.write.mode("append").option("header", False).csv(path)
+def append_metrics(rows: DataFrame, path: str, run: str) -> None:
+    """Rows appended as CSV without a header; a ``run`` that was appended before adds nothing."""
+    append_run(rows, path, run)
 
 
 def append_report(path: str, lines: dict[str, object]) -> None:

@@ -297,9 +297,6 @@ def test_sinks(spark, tmp_path):
     for mark, n in (("a", 1), ("a", 1), ("b", 2)):
         assert sinks.read_or_compute(spark, str(tmp_path), "t", mark, compute).count() == 3
         assert len(calls) == n
-    sinks.append_metrics(spark.range(2), str(tmp_path / "m"))
-    sinks.append_metrics(spark.range(2), str(tmp_path / "m"))
-    assert spark.read.csv(str(tmp_path / "m")).count() == 4
     sinks.append_report(str(tmp_path / "deep" / "r.txt"), {"loss": 1.5})
     assert "loss: 1.5" in (tmp_path / "deep" / "r.txt").read_text()
     sinks.save_weights(spark, {"w": [[1, 2], [3, 4]], "b": [[5]]}, str(tmp_path / "w"))
@@ -307,18 +304,6 @@ def test_sinks(spark, tmp_path):
     assert CohortConfig().fingerprint() != CohortConfig(top_k=1).fingerprint()
 
 
-def test_feather(spark, tmp_path):
-    import pyarrow as pa
-    import pyarrow.feather as feather
-
-    path = str(tmp_path / "x.feather")
-    feather.write_feather(pa.table({"a": list(range(100)), "s": [None, "x"] * 50}), path, chunksize=7)
-    found = sources.read_feather(spark, path)
-    assert sorted(r["a"] for r in found.collect()) == list(range(100)) and found.where("s is null").count() == 50
-    feather.write_feather(pa.table({"a": pa.array([], pa.int64())}), path)
-    assert sources.read_feather(spark, path).count() == 0
-
-
 def test_streams(spark, tmp_path):
     from eventide.streaming import events as streams
 
