@@ -129,6 +129,8 @@ ORACLE_SQL = {
     ),
     "concept_dot_scores": sql("SELECT CAST(label AS INTEGER) AS idx, round(sum(m * g), 6) AS score FROM (SELECT label, idx, avg(act) AS m FROM emb GROUP BY label, idx) JOIN (SELECT idx, avg(act) AS g FROM emb GROUP BY idx) USING (idx) GROUP BY label", "emb"),
     "stream_bucket_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
+    "stream_first_terminal": """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS patient_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'error' AND value > 150)
+        SELECT patient_id, make_timestamp(min(ms) * 1000) AS terminal_date FROM t GROUP BY patient_id HAVING min(ms) < (SELECT max(ms) - 86400000 FROM t)""",
     "feather_roundtrip": "SELECT * FROM orders",
     "feather_columns": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus",
     "outcome_apart": sql("SELECT returned AS outcome, count(*) AS n, (SELECT count(*) FROM wide WHERE returned IS NOT NULL) AS n_rows, (SELECT count(price) FROM wide WHERE returned IS NOT NULL) AS n_prices, 'row_id,line,quantity,price,constant' AS columns FROM wide WHERE returned IS NOT NULL GROUP BY returned", "wide"),

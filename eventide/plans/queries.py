@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -343,16 +342,34 @@ def concept_dot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.concept_scores(cavs, gradient).select("idx", rounded("score"))
 
 
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """The table's files as a stream."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if _is_folder(spark, path) else f"{path}*")
+
+
 @query
 def stream_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by a stream over the table's files, run until all are read."""
-    path = f"{sf_dir}/events.parquet"
-    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if _is_folder(spark, path) else f"{path}*")
-    named = sources.canonical_events(log, entity="user_id", date="ts", event="event_type")
-    name = f"stream_{uuid.uuid4().hex}"
-    running = streams.bucket_counts(named).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Daily counts by a stream over the table's files, run until all are read; each batch replaces the table of counts."""
+    named = sources.canonical_events(_stream(spark, f"{sf_dir}/events.parquet"), entity="user_id", date="ts", event="event_type")
+    out, counts = scratch_path(spark, "stream"), streams.bucket_counts(named)
+    running = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "stream-state")).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select(F.date_format("bucket_start", "yyyy-MM-dd").alias("day"), "event", "n")
+    return spark.read.schema(counts.schema).parquet(out).select(F.date_format("bucket_start", "yyyy-MM-dd").alias("day"), "event", "n")
+
+
+@query
+def stream_first_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's first terminal event by keyed state with timers, of those that the watermark has passed."""
+    log = _stream(spark, f"{sf_dir}/events.parquet").where("event_type = 'error' and value > 150").withColumn("event", F.lit(TERMINAL))
+    found = streams.first_terminal(sources.canonical_events(log, entity="user_id", date="ts"), PATTERN)
+    out, before = scratch_path(spark, "stream"), spark.conf.get(streams.STATE_STORE[0], None)
+    spark.conf.set(*streams.STATE_STORE)
+    try:
+        running = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.unset(streams.STATE_STORE[0]) if before is None else spark.conf.set(streams.STATE_STORE[0], before)
+    return spark.read.schema(found.schema).parquet(out)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

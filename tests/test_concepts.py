@@ -302,14 +302,3 @@ def test_sinks(spark, tmp_path):
     sinks.save_weights(spark, {"w": [[1, 2], [3, 4]], "b": [[5]]}, str(tmp_path / "w"))
     assert sinks.load_weights(spark, str(tmp_path / "w")) == {"w": [[1.0, 2.0], [3.0, 4.0]], "b": [[5.0]]}
     assert CohortConfig().fingerprint() != CohortConfig(top_k=1).fingerprint()
-
-
-def test_streams(spark, tmp_path):
-    from eventide.streaming import events as streams
-
-    rows = spark.sql("select 'p' as patient_id, timestamp_ntz '2024-01-01 10:00:00' as date, 2024 as year, 'Death' as event union all select 'p', timestamp_ntz '2024-01-03 10:00:00', 2024, 'DEATH'")
-    rows.write.parquet(str(tmp_path / "in"))
-    live = streams.first_terminal(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "(?i)DEATH")
-    q = live.writeStream.outputMode("complete").format("memory").queryName("first_terminal_test").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [str(r["terminal_date"]) for r in spark.table("first_terminal_test").collect()] == ["2024-01-01 10:00:00"]
