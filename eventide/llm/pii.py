@@ -39,8 +39,11 @@ FORMATS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![./-]?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.(-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![.-]?\d)|(?<=\b(?i:tel|telephone|phone|call|mobile|cell|fax)[.:]{0,2} {0,2})\d{10}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    # a run of digits, spaces and hyphens: cards are looked for in the whole of it, and what else it may hold
+    "card": r"(?<!\d)\d[\d -]{11,}\d(?![\w@/]|[.:]\d)",
 }
+#: What may stand in a run beside cards.
+BESIDE = "|".join(f"(?:{FORMATS[k]})" for k in ("date", "phone", "ssn")).replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]")
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values()).replace(r"([./])", r"(?:[./])").replace(r"\1", "[./]")
 ROUNDS = 10
 #: Any 400 years of the Gregorian calendar have 146097 = 189 * 773 days, and 88497 = 9 * 9833 that are not a month's first 12.
@@ -154,28 +157,46 @@ def is_card(digits: Column) -> Column:
     return F.substring(digits, n, F.lit(1)) == luhn_digit(F.substring(digits, F.lit(1), n - 1))
 
 
-#: How cards are mostly written.
-CARD_FORM = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: How cards are mostly written, and the most groups of digits that one has.
+CARD_FORM, GROUPS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5})[ -]*$", 19
+PIECES = "array<struct<card:boolean,text:string>>"
 
 
-def card_in(value: Column) -> Column:
-    """Struct (rank, size, start, text) of the groups of digits in ``value`` that are a card; null where none are.
+def _joined(groups: Column, first: Column, last: Column) -> Column:
+    """Groups from ``first`` to ``last`` (from 0), nothing if there are none."""
+    return F.when(first <= last, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.get(groups, i)), "")).otherwise("")
 
-    Groups written as cards mostly are come first, then more digits before fewer, then by their place.
+
+def _cut(value: Column, mostly: bool) -> Column:
+    """``PIECES`` of a run: cards from left to right, apart from each other, and what is between them.
+
+    Of cards that start at one group of digits that with most groups is taken. ``mostly``: only those written as cards mostly
+    are. A group has what follows it up to the next digit.
     """
 
-    def spans(groups: Column) -> Column:
+    def cards(groups: Column) -> Column:
         n = F.size(groups)
-        before = lambda i: F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g) + 1)
 
-        def span(i: Column, j: Column) -> Column:
-            text = F.substring(value, before(i - 1) + 1, before(j) - before(i - 1) - 1)
-            return let(text, lambda t: F.struct((~t.rlike(CARD_FORM)).cast("int").alias("rank"), (-F.length(digits_of(t))).alias("size"), i.alias("start"), t.alias("text"), (before(i - 1) + 1).alias("at")))
+        def first(i: Column) -> Column:
+            texts = F.transform(F.sequence(F.least(i + GROUPS - 1, n - 1), i), lambda j: F.struct(i.alias("i"), j.alias("j"), _joined(groups, i, j).alias("text")))
+            formed = (lambda t: t.rlike(CARD_FORM)) if mostly else (lambda t: F.length(digits_of(t)).between(13, 19))
+            return F.get(F.filter(texts, lambda s: formed(s["text"]) & let(digits_of(s["text"]), is_card)), 0)
+
+        found = F.filter(F.transform(F.sequence(F.lit(0), n - 1), first), lambda s: s.isNotNull())
+        start = F.struct(F.array().cast(PIECES).alias("out"), F.lit(0).alias("next"))
+
+        def step(a: Column, s: Column) -> Column:
+            pair = F.array(F.struct(F.lit(False).alias("card"), _joined(groups, a["next"], s["i"] - 1).alias("text")), F.struct(F.lit(True).alias("card"), s["text"].alias("text")))
+            return F.when(s["i"] >= a["next"], F.struct(F.concat(a["out"], pair).alias("out"), (s["j"] + 1).alias("next"))).otherwise(a)
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: span(i, j))))
+        return F.aggregate(found, start, step, lambda a: F.array_append(a["out"], F.struct(F.lit(False).alias("card"), _joined(groups, a["next"], n - 1).alias("text"))))
 
-    found = F.filter(let(F.split(value, "[ -]"), spans), lambda s: s["size"].between(-19, -13) & s["text"].rlike(r"^[\d -]+$"))
-    return F.get(F.filter(F.array_sort(found), lambda s: let(digits_of(s["text"]), is_card)), 0)
+    return let(F.split(value, r"(?<=[ -])(?=\d)"), cards)
+
+
+def card_pieces(value: Column) -> Column:
+    """``PIECES`` that put together are the run ``value``: first cards as they mostly are written, then any between these."""
+    return F.flatten(F.transform(_cut(value, True), lambda p: F.when(p["card"] | (F.length(p["text"]) < 13), F.array(p)).otherwise(_cut(p["text"], False))))
 
 
 def iban_remainder(iban: Column) -> Column:
@@ -307,7 +328,7 @@ def kind_of(value: Column) -> Column:
         .when(whole("date"), F.when(let(_date(value), lambda d: d["day"].isNotNull()), F.lit("date")))
         .when(whole("phone") | value.rlike(r"^\d{10}$"), F.lit("phone"))
         .when(whole("ssn"), F.when(value.rlike(SSN), F.lit("ssn")))
-        .when(value.rlike(r"^[\dA-Z]") & card_in(value).isNotNull(), F.lit("card"))
+        .when(value.rlike(r"^\d[\d -]{11,}\d$"), F.lit("run"))
     )
 
 
@@ -322,8 +343,6 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     phone = let(F.substring(value, F.length(code) + 1, F.length(value)), lambda rest: F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest)))))
-    own_card = lambda t: let(digits_of(t), lambda d: let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda p: refill(t, F.concat(p, luhn_digit(p)))))
-    card = let(card_in(value), lambda s: F.concat(F.substring(value, F.lit(1), s["at"] - 1), own_card(s["text"]), F.substring(value, s["at"] + F.length(s["text"]), F.length(value))))
     plain = let(permute_text(key, "iban", F.substring(compact(value), F.lit(5), F.length(value))), lambda b: F.concat(F.substring(value, 1, 2), F.lpad((98 - iban_remainder(F.concat(F.substring(value, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b))
     body = F.when(value.contains(" "), F.regexp_replace(plain, "(.{4})(?=.)", "$1 ")).otherwise(plain)
     return (
@@ -334,11 +353,33 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "date", _date_pseudonym(key, value))
         .when(kind == "phone", phone)
         .when(kind == "ssn", _ssn_pseudonym(key, value))
-        .when(kind == "card", card)
         .otherwise(value)
     )
 
 
+def card_pseudonym(text: Column, key: str) -> Column:
+    own = let(digits_of(text), lambda d: let(permute_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1)), lambda p: refill(text, F.concat(p, luhn_digit(p)))))
+    return F.array(F.struct(F.lit("card").alias("kind"), own.alias("new")))
+
+
+def _beside(text: Column, key: str) -> Column:
+    """(kind, new) of what a run holds beside cards: dates, phone and nine-digit numbers, and the rest as it is."""
+    kind = lambda v: (
+        F.when(v.rlike(SSN), F.lit("ssn"))
+        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(let(_date(v), lambda d: d["day"].isNotNull()), F.lit("date")))
+        .when(v.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}$"), F.lit("phone"))
+    )
+    new = lambda v, k: F.when(k == "ssn", _ssn_pseudonym(key, v)).when(k == "date", _date_pseudonym(key, v)).when(k == "phone", refill(v, permute_digits(key, "phone", digits_of(v)))).otherwise(v)
+    found = F.transform(F.regexp_extract_all(text, F.lit(BESIDE), 0), lambda v: let(kind(v), lambda k: F.struct(k.alias("kind"), new(v, k).alias("new"))))
+    plain = lambda t: F.struct(F.lit(None).cast("string").alias("kind"), t.alias("new"))
+    return F.flatten(F.zip_with(F.split(text, BESIDE, -1), found, lambda g, x: F.filter(F.array(plain(g), x), lambda y: y.isNotNull())))
+
+
+def run_pseudonyms(run: Column, key: str) -> Column:
+    """(kind, new) of the pieces of a run of digits, in order; a null kind: left as it is."""
+    return F.flatten(F.transform(card_pieces(run), lambda p: F.when(p["card"], card_pseudonym(p["text"], key)).otherwise(_beside(p["text"], key))))
+
+
 def _free(name: str, taken: list[str]) -> str:
     while name.lower() in {c.lower() for c in taken}:
         name += "_"
@@ -352,13 +393,14 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text", kinds: str | N
     an input column named as ``kinds`` is replaced; without ``kinds`` no column is added. Works row by row, without a shuffle.
     """
     text, found = F.col(column), _free("_found", docs.columns)
-    new = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("new"))))
-    none = F.array().cast("array<struct<kind:string,new:string>>")
+    one = lambda v, k: F.array(F.struct(k.alias("kind"), pseudonym(v, k, key).alias("new")))
+    new = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: let(kind_of(v), lambda k: F.when(k == "run", run_pseudonyms(v, key)).otherwise(one(v, k))))
+    none = F.array().cast("array<array<struct<kind:string,new:string>>>")
     some = F.when(text.rlike("[0-9@]"), new).otherwise(none)  # every format has a digit or an @
     out = docs.withColumn(found, some)
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col(f"{found}.new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, found, lambda g, n: F.concat(g, F.coalesce(F.array_join(F.transform(n, lambda x: x["new"]), ""), F.lit("")))), "")
     out = out.withColumn(column, F.when(F.size(found) > 0, joined).otherwise(text))
     if kinds is not None:
-        out = out.withColumn(kinds, F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.col(f"{found}.kind"), lambda k: k.isNotNull())))
+        out = out.withColumn(kinds, F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.flatten(found), lambda x: x["kind"]), lambda k: k.isNotNull())))
     return out.drop(found)

@@ -183,3 +183,73 @@ def test_columns_of_clashing_names(spark):
     assert r["PII_KINDS"] == "mine" and r["_found"] == "too" and r["text"] != "10.0.0.1"
     (r,) = pseudonymise(docs.drop("PII_KINDS").withColumn("pii_kinds", F.lit("mine")), KEY).collect()
     assert r["pii_kinds"] == ["ip"]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + at % 2), 10)) for at, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def cards_of(run):
+    """(start, end) of the cards in a run of digits, spaces and hyphens: those written in fours or at once first, then any."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    formed = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}|\d{4}([ -])\d{6}\2\d{4,5}"
+    taken = []
+    for mostly in (True, False):
+        gaps, at = [], 0
+        for a, b in [*sorted(taken), (len(run), len(run))]:
+            gaps.append((at, a))
+            at = b
+        for low, high in gaps:
+            end = low
+            for start, _ in spans:
+                if start < end or start >= high:
+                    continue
+                texts = [(start, b) for a, b in spans if a >= start and b <= high][:19]
+                good = [x for x in texts if 13 <= len(re.sub(r"\D", "", run[x[0] : x[1]])) <= 19 and luhn(re.sub(r"\D", "", run[x[0] : x[1]])) and (not mostly or re.fullmatch(formed, run[x[0] : x[1]]))]
+                if good:
+                    taken.append(good[-1])
+                    end = good[-1][1]
+    return sorted(taken)
+
+
+def test_cards_beside_any_numbers(spark):
+    """Runs of digit groups against a search by hand: all cards are replaced and turn back, nothing else changes."""
+    rng = random.Random(12)
+
+    def card():
+        own = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15, 15, 15, 18])))
+        own += next(c for c in "0123456789" if luhn(own + c))
+        return own if len(own) != 16 or rng.random() < 0.3 else rng.choice(" -").join(own[i : i + 4] for i in range(0, 16, 4))
+
+    texts = ["Order 12345 4111 1111 1111 1111", "zip 90210 4111-1111-1111-1111", "12 34 4111 1111 1111 1111", "4111 1111 1111 1111 90210 and more", "4111  1111 1111 1111 5500 0000 0000 0004"]
+    while len(texts) < 1500:
+        parts = [card() if rng.random() < 0.4 else "".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 5, 6, 7, 8]))) for _ in range(rng.randint(1, 6))]
+        text = parts[0]
+        for p in parts[1:]:
+            text += rng.choice([" ", " ", "-", "  "]) + p
+        if not re.search(r"(?<!\d)(\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{3}[ -]\d{3}[ -]\d{4})(?!\d)", text):
+            texts.append(rng.choice(["", "no. ", "x"]) + text + rng.choice(["", ".", " a"]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for r in pseudonymise(rows, KEY).collect():
+        old, new = texts[r["doc_id"]], r["text"]
+        assert len(old) == len(new)
+        run = re.search(r"(?<!\d)\d[\d -]{11,}\d(?![\w@/]|[.:]\d)", old)
+        found = [(run.start() + a, run.start() + b) for a, b in cards_of(run[0])] if run else []
+        assert r["pii_kinds"] == ["card"] * len(found), old
+        at = 0
+        for a, b in [*found, (len(old), len(old))]:
+            assert old[at:a] == new[at:a]
+            at = b
+            if a < b:
+                was, now = (re.sub(r"\D", "", t[a:b]) for t in (old, new))
+                assert luhn(now) and digits_back("card", now[:-1]) == was[:-1] and re.sub(r"\d", "", old[a:b]) == re.sub(r"\d", "", new[a:b])
+        some += len(found)
+    assert some > 800
+
+
+def test_what_stands_beside_cards_in_a_run(spark):
+    rows = spark.createDataFrame([(1, "4111 1111 1111 1111 2024-01-13 555-123-4567 7"), (2, "4111111111111111 7 123-45-6789"), (3, "1 2 " * 50_000)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pseudonymise(rows, KEY).collect()}
+    assert found[1]["pii_kinds"] == ["card", "date", "phone"] and found[1]["text"].endswith(" 7") and "2024-01-13" not in found[1]["text"] and "555-123-4567" not in found[1]["text"]
+    assert found[2]["pii_kinds"] == ["card", "ssn"] and len(found[3]["text"]) == 200_000
