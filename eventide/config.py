@@ -49,6 +49,21 @@ class BoostingConfig:
     task_bytes: int = 256 << 20
 
 
+@dataclass(frozen=True)
+class EmbeddingConfig:
+    """A network with one hidden layer of ``width``, whose activations are the embeddings."""
+
+    width: int = 192
+    folds: int = 10
+    epochs: int = 200
+    rate: float = 1e-2
+    weight_decay: float = 1e-4
+    seed: int = 42
+    tasks: int = 0
+    task_rows: int = 512
+    task_bytes: int = 256 << 20
+
+
 @dataclass(frozen=True)
 class AutoencoderConfig:
     factor: float = 1.5

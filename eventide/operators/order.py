@@ -44,5 +44,7 @@ def medians(cells: DataFrame, key: str, value: str) -> DataFrame:
 def quantile_limits(cells: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """(key, limits): the distinct values of a key if there are at most ``bins``; else those at the ranks (total - 1) * i / bins, rounded down."""
     ranked = ranked_values(cells, key, value).withColumn("_distinct", F.count("*").over(W.partitionBy(key)))
-    at_cut = F.exists(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: holds_rank(F.floor((F.col("total") - 1) * i / bins)))
+    # the first of the ranks total' * i / bins that isn't before a value is its own, or it has none
+    ranked = ranked.withColumn("_i", F.expr(f"if(total > 1, greatest(1, (before * {bins} + total - 2) div (total - 1)), 1)"))
+    at_cut = (F.col("_i") < bins) & F.expr(f"((total - 1) * _i) div {bins} < before + n")
     return ranked.where((F.col("_distinct") <= bins) | at_cut).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("limits"), (F.max("_distinct") > bins).alias("cut"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, TreeConfig
 from ..operators import autoencoder, cohort, concepts, matrix, preprocess, selection
+from ..operators.embedding import FoldedEmbedder
 from ..sources.scratch import materialize
 from ..sources.sinks import read_or_compute
 
@@ -65,14 +66,22 @@ def model_inputs(made: Prepared, config: CohortConfig) -> tuple[DataFrame, DataF
     return tuple(materialize(preprocess.normalised(materialize(rows, "arrays")), "normalised") for rows in made.arrays(config))
 
 
-def represent(train: DataFrame, test: DataFrame, embedder: autoencoder.Embedder, config: AutoencoderConfig, cache: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, autoencoder.Weights, list[float]]:
+def represent(train: DataFrame, test: DataFrame, embedder: autoencoder.Embedder | FoldedEmbedder, config: AutoencoderConfig, cache: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame, autoencoder.Weights, list[float]]:
     """Train and test as (row_id, x, h, xhat) by an autoencoder fitted to the train embeddings, its weights and losses.
 
-    With ``cache`` (folder, fingerprint of model and inputs) embeddings are read from there if they are there.
+    An embedder that is fitted to labels is fitted to ``train``, whose rows it then embeds fold by fold. With ``cache``
+    (folder, fingerprint of model and inputs) embeddings are read from there if they are there.
     """
 
+    def made(name: str, rows: DataFrame) -> DataFrame:
+        if not isinstance(embedder, FoldedEmbedder):
+            return embedder.embed(rows)
+        if not embedder.networks:
+            embedder.fit(train)
+        return embedder.embed_train(rows) if name == "train" else embedder.embed(rows)
+
     def embedded(name: str, rows: DataFrame) -> DataFrame:
-        return embedder.embed(rows) if cache is None else read_or_compute(rows.sparkSession, cache[0], f"{name}_embeddings", cache[1], lambda: embedder.embed(rows))
+        return made(name, rows) if cache is None else read_or_compute(rows.sparkSession, cache[0], f"{name}_embeddings", cache[1], lambda: made(name, rows))
 
     own = embedded("train", train)
     weights, losses = autoencoder.train(own, config)

@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, TreeConfig
+from ..config import AutoencoderConfig, BoostingConfig, CohortConfig, EmbeddingConfig, TreeConfig
 from ..functions.arrays import affine, relu
 from ..operators import autoencoder, boosting, cohort, concepts, matrix, preprocess, selection
+from ..operators.embedding import FoldedEmbedder
 from ..sources import events as sources
 from ..sources import sinks
 from ..sources.arrowfiles import read_runs
@@ -480,11 +481,18 @@ def predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.LogisticClassifier().fit_predict(train, train)
 
 
+@query
+def folded_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each training row's embedding by the network of ten that hasn't seen it."""
+    train, _ = pipeline.model_inputs(pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None), CONFIG)
+    return FoldedEmbedder().fit(train).embed_train(train)
+
+
 @query
 def explained_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run: cohort, embeddings, sparse codes, trees, concept vectors, scores."""
     train, test = pipeline.model_inputs(pipeline.prepare(sources.order_events(spark, sf_dir), CONFIG, None), CONFIG)
-    coded, coded_test, _, _ = pipeline.represent(train, test, autoencoder.ProjectionEmbedder(CONFIG.top_k, 48), AutoencoderConfig(epochs=1000))
+    coded, coded_test, _, _ = pipeline.represent(train, test, FoldedEmbedder(EmbeddingConfig(width=48)), AutoencoderConfig(epochs=1000))
     coded, coded_test = materialize(coded, "coded"), materialize(coded_test, "coded")
     metrics, scores = pipeline.explain(coded, coded_test, (train, test), TreeConfig())
     return metrics.join(scores, "idx", "left")
