@@ -138,7 +138,7 @@ ORACLE_SQL = {
         "SELECT row_id, line, round((q - avg(q) OVER ()) / stddev_pop(q) OVER (), 6) AS quantity, round((p - avg(p) OVER ()) / stddev_pop(p) OVER (), 6) AS price FROM (SELECT row_id, line, CAST(coalesce(quantity, (SELECT median(quantity) FROM wide)) AS DOUBLE) AS q, CAST(coalesce(price, (SELECT median(price) FROM wide)) AS DOUBLE) AS p FROM wide)", "wide"
     ),
     "cached_counts": sql("SELECT patient_id, year, event, count(date) AS n FROM ue GROUP BY ALL", "ue"),
-    "weights_roundtrip": f"""SELECT 'w' AS name, CAST(i.range AS INTEGER) AS row, CAST(j.range AS INTEGER) AS pos, round((((i.range * 31 + j.range * 17) % 13) - 6) / 10, 6) AS value FROM range({UNITS}) i, range({WIDTH}) j
+    "weights_roundtrip": f"""SELECT 'means' AS name, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS row, CAST(pos AS INTEGER) AS pos, round(v, 6) AS value FROM (SELECT label, pos, avg(v) AS v FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos)
         UNION ALL SELECT 'b_e', 0, CAST(range AS INTEGER), (range % 3 - 1) / 10 FROM range({UNITS}) UNION ALL SELECT 'b_d', 0, CAST(range AS INTEGER), (range % 5 - 2) / 10 FROM range({WIDTH})""",
 }
 ORACLE_SQL["appended_metrics"] = f"{ORACLE_SQL['binary_metrics'].replace('SELECT idx, n, round(hit', ', found AS (SELECT idx, n, round(hit', 1)}) SELECT * FROM found UNION ALL SELECT * FROM found"

@@ -388,8 +388,11 @@ def cached_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weights_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' mean embeddings, and the fixed biases, as weights that are saved and loaded."""
+    cells = _embeddings(spark, sf_dir).select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("v"))
+    means = cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("cells")).orderBy("label").collect()  # a row for each label
     path = scratch_path(spark, "weights")
-    sinks.save_weights(spark, {"w": WEIGHTS.w.tolist(), "b_e": [WEIGHTS.b_e.tolist()], "b_d": [WEIGHTS.b_d.tolist()]}, path)
+    sinks.save_weights(spark, {"means": [[c["v"] for c in r["cells"]] for r in means], "b_e": [WEIGHTS.b_e.tolist()], "b_d": [WEIGHTS.b_d.tolist()]}, path)
     found = sinks.load_weights(spark, path)
     return spark.createDataFrame([(name, i, j, round(x, 6)) for name, rows in found.items() for i, row in enumerate(rows) for j, x in enumerate(row)], "name string, row int, pos int, value double")
 
