@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from labels of whole documents.
 
-A document is a bag of sentences, and toxic if at least one of them is. Each sentence gets a logistic score over its
-words; a document's score is 1 - product(1 - score of a sentence), where sentences without a sign of offence count for
-little however many they are. The weights minimise the log loss of that score against
-the document labels, so no sentence was ever labelled; afterwards the sentence scores tell where the offence is.
+A document is a bag of sentences, and toxic if at least one of them is, or by a leak of its own. A sentence's score is
+1 - (1 - s(bias + weights of its words)) / (1 - s(bias)) with the logistic s: 0 without a sign of offence, so that sentences
+without any are no instances, however many they are. The more sentences with words a document has, the less likely is each
+of them, by 1 / (1 + n / LONG); and its leak is s(leak + length * n / (n + SHORT)), which is bounded. A document's score is
+1 - (1 - leak) * product(1 - score of a sentence). Weights, bias, leak and length minimise the log loss of that very score against the document labels, so no sentence was ever
+labelled; afterwards the sentence scores tell where the offence is.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bounded_batches, fold
 
 STOP = b"\x01"
-FAINT, FAINTLY = 0.05, 0.1
+#: Sentences by which a sentence's bias and a document's leak change; the greatest logit that a leak can reach by length.
+LONG, SHORT, MOST = 150, 300, -2.0
 #: Letters (A-Z lowered), digits and all beyond ASCII are words; . ! ? and line ends end a sentence; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 1 if b in b".!?\n" else 32 for b in range(256))
 
@@ -50,44 +53,50 @@ class Words(dict):
         return value
 
 
+def _softplus(x):
+    return np.logaddexp(0.0, x)
+
+
 class Toxicity(NamedTuple):
-    """Weights of features, and what a sentence has without any."""
+    """Weights of features, what a sentence has without any, and the logit of the leak, without and by length."""
 
     weights: dict[bytes, float]
     bias: float
+    leak: float
+    length: float
 
-    def sentences(self, text: bytes, words: Words | None = None) -> np.ndarray:
-        """The logit of each sentence; one between two stops without a word is empty and has the bias alone."""
+    def sentences(self, text: bytes, words: Words | None = None) -> tuple[np.ndarray, int]:
+        """-log(1 - score) of each sentence, 0 of one between two stops without a word; how many have words."""
         found = marked_words(text)
-        logits = np.fromiter(map((Words(self.weights) if words is None else words).__getitem__, found), np.float64, len(found))
-        logits = np.append(logits, np.nan)
-        ends = np.flatnonzero(np.isnan(logits))
-        logits[ends] = 0.0
-        sums = np.concatenate([[0.0], np.cumsum(logits)])
-        return self.bias + sums[ends + 1] - sums[np.concatenate([[0], ends[:-1] + 1])]
-
-    @staticmethod
-    def noisy_or(logits: np.ndarray) -> float:
-        """1 - product(1 - score) over the sentences. Those that score less than ``FAINT`` make up for ``FAINTLY`` at most,
-        all of them together, so that length alone makes no text toxic."""
-        kept = -np.logaddexp(0.0, logits)
-        faint = logits < np.log(FAINT / (1 - FAINT))
-        return float(-np.expm1(kept[~faint].sum() + max(kept[faint].sum(), np.log1p(-FAINTLY))))
+        sums = np.fromiter(map((Words(self.weights) if words is None else words).__getitem__, found), np.float64, len(found))
+        sums = np.append(sums, np.nan)
+        ends = np.flatnonzero(np.isnan(sums))
+        sums[ends] = 0.0
+        # a sentence's own words are added up one by one: what others add up to leaves no rounding in it
+        own = np.add.reduceat(sums, np.concatenate([[0], ends[:-1] + 1]))
+        n = int((np.diff(ends, prepend=-1) > 1).sum())
+        bias = self.bias - np.log1p(n / LONG)
+        return np.where(own > 0, _softplus(bias + own) - _softplus(bias), 0.0), n
+
+    def noisy_or(self, hazards: np.ndarray, n: int) -> float:
+        """The score of a document from what :meth:`sentences` returns."""
+        return float(-np.expm1(-_softplus(self.leak + self.length * n / (n + SHORT)) - hazards.sum()))
 
 
 class Bags(NamedTuple):
-    """Training documents as word numbers by sentence, sentences by document."""
+    """Training documents as word numbers by sentence, sentences by document; how many sentences of a document have words."""
 
     words: np.ndarray
     sentence: np.ndarray
     document: np.ndarray
     labels: np.ndarray
+    spoken: np.ndarray
 
 
-def fit(texts: list[bytes], labels: np.ndarray, min_documents: int = 4, max_features: int = 3000, rounds: int = 150, rate: float = 0.2, decay: float = 3e-4) -> Toxicity:
+def fit(texts: list[bytes], labels: np.ndarray, min_documents: int = 4, max_features: int = 3000, rounds: int = 80, rate: float = 0.2, decay: float = 3e-4) -> Toxicity:
     """Weights by Adam on the full sample, for the ``max_features`` that tell most about the document labels."""
     if not len(texts) or not labels.any():
-        return Toxicity({}, -8.0)
+        return Toxicity({}, -8.0, -8.0, 0.0)
     ids: dict[bytes, int] = {STOP: 0}
     numbered = []  # words as numbers: a few bytes each
     for t in texts:
@@ -106,7 +115,7 @@ def fit(texts: list[bytes], labels: np.ndarray, min_documents: int = 4, max_feat
     of_word = [[number[f] for f in own if f in number] for own in known]
     sizes = np.array([len(x) for x in of_word])
     flat, starts = np.array([x for own in of_word for x in own], np.int64), np.cumsum(sizes) - sizes
-    words, sentence, document, n_sentences = [], [], [], 0
+    words, sentence, document, spoken, n_sentences = [], [], [], [], 0
     for d, found in enumerate(numbered):
         n = sizes[found]
         at = np.repeat(starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -115,37 +124,53 @@ def fit(texts: list[bytes], labels: np.ndarray, min_documents: int = 4, max_feat
         sentence.append(np.repeat(n_sentences + stops, n))
         own = int(stops[-1]) + 1 if len(stops) else 1
         document.append(np.full(own, d))
+        spoken.append(float((np.diff(np.append(np.flatnonzero(found == 0), len(found)), prepend=-1) > 1).sum()))
         n_sentences += own
-    bags = Bags(*map(np.concatenate, (words, sentence, document)), labels.astype(np.float64))
-    theta = np.zeros(len(number) + 1)
-    theta[-1] = -6.0
+    bags = Bags(*map(np.concatenate, (words, sentence, document)), labels.astype(np.float64), np.array(spoken))
+    theta = np.zeros(len(number) + 3)
+    theta[-3:-1] = -6.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        slope = gradient(theta, bags) / len(labels) + decay * np.append(np.sign(theta[:-1]), 0.0)
+        slope = gradient(theta, bags) / len(labels) + decay * np.append(np.ones(len(number)), [0.0] * 3)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta - rate * (1 - 0.9 * (step - 1) / rounds) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        theta[:-1] = np.maximum(theta[:-1], 0.0)  # no number of harmless words makes up for an offence
-    return Toxicity({f: float(theta[i]) for f, i in number.items() if abs(theta[i]) > 0.02}, float(theta[-1]))
+        theta[:-3] = np.maximum(theta[:-3], 0.0)  # no number of harmless words makes up for an offence
+        theta[-1] = np.clip(theta[-1], 0.0, max(MOST - theta[-2], 0.0))
+    return Toxicity({f: float(theta[i]) for f, i in number.items() if theta[i] > 0}, *map(float, theta[-3:]))
 
 
 def loss(theta: np.ndarray, bags: Bags) -> float:
-    """Log loss of the noisy-or scores, summed up."""
-    kept = -np.bincount(bags.document, weights=np.logaddexp(0.0, _logits(theta, bags)), minlength=len(bags.labels))
+    """Log loss of the documents' scores, summed up."""
+    kept = _kept(theta, bags)
     return float(-(bags.labels * np.log(np.maximum(-np.expm1(kept), 1e-12)) + (1 - bags.labels) * kept).sum())
 
 
 def gradient(theta: np.ndarray, bags: Bags) -> np.ndarray:
     """Slope of :func:`loss`: a toxic document's blame is shared among its sentences by their scores."""
-    logits = _logits(theta, bags)
-    kept = -np.bincount(bags.document, weights=np.logaddexp(0.0, logits), minlength=len(bags.labels))  # log P(no sentence)
-    toxic = np.maximum(-np.expm1(kept), 1e-12)
-    of_kept = -(bags.labels * (toxic - 1) / toxic + (1 - bags.labels))
-    of_logit = -of_kept[bags.document] * np.exp(-np.logaddexp(0.0, -logits))
-    return np.append(np.bincount(bags.words, weights=of_logit[bags.sentence], minlength=len(theta) - 1), of_logit.sum())
+    toxic = np.maximum(-np.expm1(_kept(theta, bags)), 1e-12)
+    blame = bags.labels * (toxic - 1) / toxic + (1 - bags.labels)
+    bias = _bias(theta, bags)
+    each, alone, leak = (np.exp(-_softplus(-x)) for x in (_logits(theta, bags), bias, _leak(theta, bags)))
+    of_sum = blame[bags.document] * each
+    of_bias = (blame[bags.document] * (each - alone)).sum()
+    return np.append(np.bincount(bags.words, weights=of_sum[bags.sentence], minlength=len(theta) - 3), [of_bias, (blame * leak).sum(), (blame * leak * bags.spoken / (bags.spoken + SHORT)).sum()])
+
+
+def _bias(theta: np.ndarray, bags: Bags) -> np.ndarray:
+    return (theta[-3] - np.log1p(bags.spoken / LONG))[bags.document]
+
+
+def _leak(theta: np.ndarray, bags: Bags) -> np.ndarray:
+    return theta[-2] + theta[-1] * bags.spoken / (bags.spoken + SHORT)
 
 
 def _logits(theta: np.ndarray, bags: Bags) -> np.ndarray:
-    return theta[-1] + np.bincount(bags.sentence, weights=theta[bags.words], minlength=len(bags.document))
+    return _bias(theta, bags) + np.bincount(bags.sentence, weights=theta[bags.words], minlength=len(bags.document))
+
+
+def _kept(theta: np.ndarray, bags: Bags) -> np.ndarray:
+    """log P(a document isn't toxic)."""
+    return -_softplus(_leak(theta, bags)) - np.bincount(bags.document, weights=_softplus(_logits(theta, bags)) - _softplus(_bias(theta, bags)), minlength=len(bags.labels))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = 6000, max_bytes: int = 32 << 10) -> Toxicity:
@@ -176,25 +201,25 @@ def score(docs: DataFrame, model: Toxicity, threshold: float = 0.3) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = Words(model.weights)
-        bar = np.log(threshold / (1 - threshold))
+        bar = -np.log1p(-threshold)
         for b in batches:
             scores, counts, places = [], [], []
             for text in as_bytes(b.column(1)):
-                logits = model.sentences(text, words)
-                scores.append(model.noisy_or(logits))
-                counts.append(len(logits))
-                hit = np.flatnonzero(logits >= bar)
-                places.append(_spans(text, hit, logits) if len(hit) else [])
+                hazards, n = model.sentences(text, words)
+                scores.append(model.noisy_or(hazards, n))
+                counts.append(len(hazards))
+                hit = np.flatnonzero(hazards >= bar)
+                places.append(_spans(text, hit, hazards) if len(hit) else [])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(places, kind)], names=["doc_id", "score", "n_sentences", "offending"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCORES)
 
 
-def _spans(text: bytes, hit: np.ndarray, logits: np.ndarray) -> list[dict]:
+def _spans(text: bytes, hit: np.ndarray, hazards: np.ndarray) -> list[dict]:
     stops = np.flatnonzero(np.frombuffer(text.translate(TABLE), np.uint8) == 1)
     starts, ends = np.concatenate([[0], stops + 1]), np.concatenate([stops, [len(text)]])
-    return [{"start": int(starts[i]), "end": int(ends[i]), "score": float(1 / (1 + np.exp(-logits[i])))} for i in hit]
+    return [{"start": int(starts[i]), "end": int(ends[i]), "score": float(-np.expm1(-hazards[i]))} for i in hit]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -217,7 +242,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         model = shared.value
         words = Words(model.weights)
         for b in batches:
-            clean = [model.noisy_or(model.sentences(t, words)) < threshold for t in as_bytes(b.column(at))]
+            clean = [model.noisy_or(*model.sentences(t, words)) < threshold for t in as_bytes(b.column(at))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

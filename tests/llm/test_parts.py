@@ -31,8 +31,8 @@ def test_toxicity_gradient():
             else:
                 own.append(known[w])
                 sentence.append(len(document) - 1)
-    bags = toxicity.Bags(np.array(own), np.array(sentence), np.array(document), np.array([1.0, 0, 1, 0]))
-    theta = np.random.default_rng(1).normal(0, 0.5, len(known) + 1)
+    bags = toxicity.Bags(np.array(own), np.array(sentence), np.array(document), np.array([1.0, 0, 1, 0]), np.array([2.0, 2, 70, 1]))
+    theta = np.random.default_rng(1).normal(0, 0.5, len(known) + 3)
     slope = toxicity.gradient(theta, bags)
     for i in range(len(theta)):
         step = np.zeros_like(theta)
@@ -50,12 +50,31 @@ def test_toxicity_tells_held_out_documents_apart(spark, middle):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.9
 
 
+def test_scores_are_those_that_were_trained(spark, edge):
+    """The query against the likelihood written out sentence by sentence, with the weights that the query's fit gives."""
+    from eventide.llm.common import table
+    from eventide.llm.queries import op1_toxicity
+
+    model = toxicity.train(table(spark, edge, "documents"), table(spark, edge, "labels"))
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    texts = Counter((r["doc_id"], r["text"] or "") for r in table(spark, edge, "documents").select("doc_id", "text").collect())
+    want = Counter()
+    for (i, text), times in texts.items():
+        sentences = [[w for w in re.split(rb"[^a-z0-9\x80-\xff]+", s) if w] for s in re.split(rb"[.!?\n\x01]", text.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))]
+        n = sum(bool(s) for s in sentences)
+        bias, clean = model.bias - math.log1p(n / toxicity.LONG), 1 - logistic(model.leak + model.length * n / (n + toxicity.SHORT))
+        for s in sentences:
+            clean *= (1 - logistic(bias + sum(model.weights.get(f, 0.0) for w in s for f in toxicity.features(w)))) / (1 - logistic(bias))
+        want[i, round(1 - clean, 6), int(1 - clean >= 0.3)] += times
+    assert Counter((r["doc_id"], round(r["score"], 6), r["predicted"]) for r in op1_toxicity(spark, edge).collect()) == want
+
+
 def test_length_alone_is_not_toxic(middle):
     """Texts of megabytes and of nothing but stops, by a model of the middle table's labels."""
     text = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table(os.path.join(middle, "documents.parquet")).to_pylist()}
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(os.path.join(middle, "labels.parquet")).to_pylist() if r["toxic"] is not None and r["doc_id"] in text}
     model = toxicity.fit([text[i] for i in labels], np.array(list(labels.values())))
-    score = lambda t: model.noisy_or(model.sentences(t))
+    score = lambda t: model.noisy_or(*model.sentences(t))
     toxic = max((text[i] for i in labels if labels[i]), key=score)
     clean = b"\n".join(t for i, t in text.items() if score(t) < 0.05 and not labels.get(i))
     clean *= 4_000_000 // len(clean) + 1
