@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +35,6 @@ def as_text(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def per_row(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
-    """``mapInArrow`` over ``columns`` of ``df``: ``make(batch)`` returns the output columns of one record batch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield make(batch)
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
 def fold(column: str, n: int):
     """crc32 of an id as text, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -381,7 +381,8 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_
     """The rows of ``docs`` that :func:`contamination` doesn't flag, unchanged, with all their columns.
 
     A benchmark of one block needs no shuffle: rows go in the pass that looks at them. With more, rows are told apart by
-    doc_id and text, so a clean row stays even if another of the same id goes.
+    doc_id and text, so a clean row stays even if another of the same id goes. A null or empty text has no words and stays;
+    repeated rows stay or go together; null and empty items match nothing; an empty benchmark keeps all.
     """
     bounded_batches(docs.sparkSession)
     every = blocks(benchmark, window, block_bytes)

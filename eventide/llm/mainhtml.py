@@ -31,8 +31,9 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 LABEL = re.compile(r"\bdata-label\s*=\s*[\"']?main\b")
-SPACES = re.compile(r"[ \t\n\r\f\v]+")
-UNEVEN = re.compile(r"[\t\n\r\f\v]|  |^ | $")
+#: White space is what Unicode calls so, no-break spaces too.
+SPACES = re.compile(r"\s+")
+UNEVEN = re.compile(r"[^\S ]|  |^ | $")
 
 
 class Node:

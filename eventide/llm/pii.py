@@ -12,8 +12,11 @@ order again.
 
 Found and validated: e-mail addresses, IBANs (mod 97), IPv4 and IPv6 addresses, dates of the years 200 to 9799, telephone
 numbers (ten digits in a row only after a word for telephone), nine-digit numbers as 3-2-4, card numbers (13 to 19 digits,
-Luhn). A number that fails its check is left as it is; of several numbers side by side, those groups of digits are
-the card that pass the check. IBANs may be written in groups of four, where the register has their country's length.
+Luhn). A number that fails its check is left as it is. Cards are looked for in whole runs of digits, spaces and hyphens:
+first those written in fours or at once, then any groups that pass the check, from left to right. IBANs may be written in
+groups of four, where the register has their country's length. Domains of e-mail addresses stay. Out of scope: small-letter
+IBANs, year/month/day, day-month-year, IPv6 addresses that begin or end with two colons, nine-digit numbers parted by
+spaces, cards parted by dots or no-break spaces.
 """
 
 from __future__ import annotations

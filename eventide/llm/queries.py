@@ -1,4 +1,8 @@
-"""The registered queries: each operator over its whole table, with production parameters."""
+"""The registered queries: each operator over its whole table, with production parameters.
+
+What nulls, empty and long texts, ties, repeated rows, empty tables and further columns give is stated by the operators that
+they call; a query only names the table and its columns. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

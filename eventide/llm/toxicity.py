@@ -233,7 +233,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score stays below ``threshold``, unchanged, with all their columns; no shuffle."""
+    """The rows of ``docs`` whose score stays below ``threshold``, unchanged, with all their columns; no shuffle.
+
+    A null or empty text has the leak's score alone; repeated rows and null ids stay or go as others do; columns may have
+    any names besides doc_id and text. Without labels all rows stay.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # words of the bounded sample
     at = docs.columns.index("text")
