@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Filtering stages return the rows
 they keep with all their columns; the last returns the pieces of each text.
+
+In every stage a null text counts as an empty one and stays null where it stays; empty texts stay, as one of their group of
+near-duplicates; rows with a null doc_id are rows like others; repeated rows are near-duplicates of each other; ties go to
+the smallest doc_id; an empty table stays empty; columns besides doc_id and text may have any names and stay as they are.
 """
 
 from __future__ import annotations
