@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "embeddings")
 #: Names that operators use for columns of their own.
 CLASHING = ("fp", "node", "component", "group", "chunk", "share", "part", "score", "held_out", "text_hash", "kept", "spans", "items", "pii_kinds", "_id", "n")
 LONG = "word " * 40_000 + "tail of a very long text"
@@ -26,6 +26,11 @@ def _edge(table: str, rows: pa.Table, documents: pa.Table, benchmark: pa.Table)
         rows = pa.concat_tables([rows, pa.table({"item_id": [None, 9_001, 9_002, 9_003], "text": ["null id", None, "", "same text here"]}, schema=rows.schema), rows.slice(0, 1)])
     elif table == "labels":
         rows = pa.concat_tables([rows, pa.table({"doc_id": [None, 1, 2], "quality": [1, None, 1], "toxic": [1, None, None]}, schema=rows.schema), rows.slice(0, 2)])
+    elif table == "embeddings":
+        width = len(rows.column("embedding")[0])
+        vectors = [None, [], [None] * width, [float("nan")] * width, [1.0] * (width - 1), rows.column("embedding")[3].as_py()]
+        rows = pa.concat_tables([rows, pa.table({"vec_id": [*range(9_000, 9_005), None], "embedding": vectors, "label": [None] * 6}, schema=rows.schema), rows.slice(0, 2)])
+        rows = rows.append_column("component", pa.array(["clash"] * rows.num_rows))
     elif table == "pages":
         html = [None, "", "plain text only", "<p>unclosed <b>tags", "<article><p>One &amp; two<p>three</article><footer>&copy; me</footer>", "<script>if (a < b) {</script>", "< 3 <!-- never ends", "<article><p>" + LONG + "</article>"]
         rows = pa.concat_tables([rows, pa.table({"page_id": [*range(9_000, 9_007), None], "url": [None] * 8, "html": html}, schema=rows.schema), rows.slice(0, 2)])

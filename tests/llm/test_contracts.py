@@ -39,12 +39,21 @@ def test_empty_tables_give_an_empty_result(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op6_html"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op6_html", "op11_whitening", "op13_collocations"}))
 def test_each_document_has_one_row(spark, edge, documents, name):
     found = Counter(r["doc_id"] for r in QUERIES[name](spark, edge).select("doc_id").collect())
     assert found == Counter(d for d, _ in documents)
 
 
+def test_each_remaining_vector_has_its_components(spark, edge):
+    own = pq.read_table(os.path.join(edge, "embeddings.parquet"), columns=["vec_id", "embedding"]).to_pydict()
+    width = Counter(len(v) for v in own["embedding"] if v).most_common(1)[0][0]
+    kept = Counter(i for i, v in zip(own["vec_id"], own["embedding"]) if v and len(v) == width and all(c is not None and math.isfinite(c) for c in v))
+    found = QUERIES["op11_whitening"](spark, edge).collect()
+    assert Counter((r["vec_id"], r["component"]) for r in found) == Counter({(i, c): n for i, n in kept.items() for c in range(1, 33)})
+    assert {r["n"] for r in found} == {sum(kept.values())} and max(r["identity_error"] for r in found) < 1e-4
+
+
 def test_toxicity_columns(spark, edge):
     for r in QUERIES["op1_toxicity"](spark, edge).collect():
         assert r["held_out"] == (fold(r["doc_id"], 4) == 2)
