@@ -24,8 +24,8 @@ from .cohort import in_hash_order
 from .order import quantile_limits
 
 BINS = 64
-#: Rows of a block that a task counts at once.
-BLOCK = 1 << 15
+#: Rows of a block that a task counts at once, and entries of a task for each cell, at least.
+BLOCK, SPREAD = 1 << 15, 8
 TREES = (
     "idx int, depth int, impurity string, balanced boolean, cv_f1 double, feature array<int>, limit array<double>, left array<int>, right array<int>, value array<int>, "
     "place array<string>, n array<bigint>, positive array<bigint>, gain array<double>"
@@ -107,7 +107,10 @@ def packed(features: DataFrame, targets: DataFrame, units: DataFrame, folds: int
             own[row, np.searchsorted(index, flat.field(0).to_numpy())] = flat.field(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in own], pa.binary())], names=["codes", "marks"])
 
-    return Packed(materialize(joined.select("features", "marks").mapInArrow(run, "codes binary, marks binary"), "packed"), names, limits)
+    rows = materialize(joined.select("features", "marks").mapInArrow(run, "codes binary, marks binary"), "packed")
+    # each task's counts fill up to all cells of a node: few rows aren't spread over many tasks
+    enough = rows.count() * width // (SPREAD * max(sum(map(len, limits)), 1))
+    return Packed(rows.coalesce(max(enough, 1)), names, limits)
 
 
 def _filled(column: pa.Array, out: np.ndarray) -> np.ndarray:
