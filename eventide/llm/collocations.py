@@ -28,7 +28,8 @@ from .common import LOWER, as_bytes, bounded_batches, materialize, shuffle_parti
 
 #: A piece ends at any of these; END stands for it (no UTF-8 text has this byte).
 BREAKS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
-CHUNK_BYTES = 4 << 20
+#: Text that a task holds at once; its words and windows take about 30 times that.
+BATCH_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20
 #: Fragments of a share, about, and occurrences from which on a pivot is dealt to several shares.
 SHARE, HOT = 250_000, 200_000
 #: Bytes of frequent words that are broadcast at most.
@@ -275,7 +276,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     words: no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     own = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), "text")
     texts = materialize(own.groupBy("lang", "text").agg(F.count("*").alias("copies")), "texts")
     counts = materialize(texts.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
