@@ -131,6 +131,17 @@ def test_trees_explain_a_unit(spark):
     assert graph.startswith("digraph") and "tens" in graph and "->" in graph
 
 
+def test_test_targets_are_not_broadcast(spark):
+    """Their files are small, their rows aren't; repeated, unknown and unmatched ones count as in a join by row and unit."""
+    rows = spark.createDataFrame([(i, [float(i % 10), float(i % 3)]) for i in range(300)] + [(7, [9.0, 0.0])], "row_id long, features array<double>")
+    marks = spark.createDataFrame([(i, u, None if i % 50 == 0 else int(i % 10 > 3 + u)) for i in range(320) for u in (1, 2)] + [(3, 1, 1), (4, 9, 1)], "row_id long, idx int, y int")
+    test = lambda limit: trees.UnitTree([0, -1, -1], [limit, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0, 0, 1])
+    found = concepts.guess_metrics(rows, marks, {1: test(4.0), 2: test(6.0)})
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    guesses = rows.select("row_id", F.explode(F.array(*[F.struct(F.lit(u).alias("idx"), (F.col("features")[0] > limit).cast("int").alias("guess")) for u, limit in ((1, 4.0), (2, 6.0))])).alias("g")).select("row_id", "g.*")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, concepts.binary_metrics(guesses.join(marks, ["row_id", "idx"])).collect()))
+
+
 def test_trees_are_grown_best_split_first():
     """By hand: three blocks of rows, two leaves more than the first split; a bound on leaves keeps the better one."""
     x = np.repeat(np.arange(12.0), 10)[:, None]
