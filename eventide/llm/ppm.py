@@ -36,6 +36,8 @@ START, END = b"\xfe", b"\xff"  # no UTF-8 text has these bytes
 SYMBOLS = 257
 #: Texts' bytes for each share of the statistics, at least.
 SHARE_BYTES = 32 << 20
+#: Texts' bytes whose grams are worked out at once; they take some forty times as much.
+PART_BYTES = 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -274,7 +276,7 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, size = Counter(), [], 0
         for b in batches:
-            own = []
+            own, part = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 if not held_out(doc_id, folds, fold):
                     found = tokens(text)
@@ -282,20 +284,29 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
                     words[b""] += 1  # the end
                     own.append(b" ".join(found))
                     size += len(text)
+                    part += len(own[-1])
+                if part > PART_BYTES:
+                    put(grams, own)
+                    own, part = [], 0
             if own:
-                grams.append(counted(packed_grams(own, order)[0]))
-            if len(grams) >= 8:
-                grams = [_sum_counts(grams)]
+                put(grams, own)
             if size > limit:
                 yield rows(words, grams)
                 words, grams, size = Counter(), [], 0
         yield rows(words, grams)
 
+    def put(grams: list, texts: list[bytes]) -> None:
+        """Sums of about a size are added up, so that each gram is sorted a few times only."""
+        grams.append(counted(packed_grams(texts, order)[0]))
+        while len(grams) > 1 and 2 * len(grams[-1][0]) > len(grams[-2][0]):
+            grams.append(_sum_counts([grams.pop(-2), grams.pop()]))
+
     def rows(words: Counter, grams: list) -> pa.RecordBatch:
         h = np.fromiter(map(word_hash, words), np.uint64, len(words))
         out = _by_share("word", h, np.fromiter(words.values(), np.int64, len(words)), shares)
         if grams:
             keys, counts = _sum_counts(grams)
+            grams.clear()
             out += _by_share("gram", keys, counts, shares, _middle(keys, order))
         return _counts_batch(out)
 
@@ -303,12 +314,15 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
 
 
 def _sum_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1 and np.all(parts[0][0][1:] > parts[0][0][:-1]):
+        return parts[0]
     keys = np.concatenate([k for k, _ in parts])
     counts = np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, counts = keys[order], counts[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
 def _share_of(keys: np.ndarray, shares: int) -> np.ndarray:

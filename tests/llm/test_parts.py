@@ -5,10 +5,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -171,6 +173,25 @@ def test_ppm_keeps_its_order_at_every_size(spark, order, size):
     assert all(abs(r["score"] - want[r["doc_id"]]) <= 1e-5 * abs(want[r["doc_id"]]) + 1e-9 for r in out)
 
 
+def test_ppm_counts_a_batch_in_parts(monkeypatch):
+    """The memory for a batch's grams goes by the part; the counts are those of all texts at once."""
+    r = np.random.default_rng(7)
+    texts = [" ".join("".join(chr(97 + c) for c in r.integers(0, 3, 5)) for _ in range(1_000)) for _ in range(300)]  # 1.8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array([7 * i for i in range(300)]), pa.array(texts)], names=["doc_id", "text"])
+
+    def counted(part: int) -> tuple[dict, int]:
+        monkeypatch.setattr(ppm, "PART_BYTES", part)
+        tracemalloc.start()
+        rows = [row for b in ppm._statistics(6, 3, 7, 2, 32 << 20)(iter([batch])) for row in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return {(x["kind"], x["share"]): (x["keys"], x["counts"], x["n"]) for x in rows}, peak
+
+    (whole, much), (parts, less) = counted(1 << 40), counted(1 << 17)
+    assert parts == whole and less < much / 2
+    assert sum(ppm.unpacked(c, n, "<i8").sum() for (kind, _), (_, c, n) in whole.items() if kind == "gram") == sum(len(t) + 1 for i, t in enumerate(texts) if not ppm.held_out(7 * i, 7, 2))
+
+
 def test_ppm_without_training_texts(spark):
     ids = [i for i in range(40) if ppm.held_out(i, 7, 2)]
     out = ppm.language_model_scores(spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string")).collect()
