@@ -21,3 +21,9 @@ def test_flagship(spark):
 
 def test_names(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_the_log_is_written_once(spark, small):
+    """Candidates are counted from the written log, whose events aren't shuffled to meet the few selected entities."""
+    plan = QUERIES["event_frequency_topm"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("FileScan") == 2 and "SortMergeJoin" not in plan
