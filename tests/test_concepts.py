@@ -1,6 +1,7 @@
 """Thresholds, metrics, trees, concept vectors and the autoencoder against hand-made values and numpy."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,6 +67,23 @@ def _waves(spark, n=40):
     return spark.createDataFrame([([float(np.sin(i * j)) for j in range(1, 5)],) for i in range(n)] + [(None,)], "embedding array<double>")
 
 
+def test_slopes_of_many_rows_take_a_block_of_memory():
+    r = np.random.default_rng(1)
+    x, w = r.normal(size=(20_011, 8)), autoencoder.Weights(r.normal(size=(12, 8)), r.normal(size=12), r.normal(size=8))
+    tracemalloc.start()
+    loss, slope = autoencoder.slopes(x, w, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 4
+    h = w.encode(x)
+    off = w.decode(h) - x
+    d = (2 * off / 8 @ w.w.T + 0.1) * (h > 0)
+    assert loss == pytest.approx((off**2).sum() / 8 + 0.1 * h.sum(), rel=1e-12)
+    assert all(np.allclose(p, q, rtol=1e-10) for p, q in zip(slope, (d.T @ x + h.T @ (2 * off / 8), d.sum(axis=0), (2 * off / 8).sum(axis=0))))
+    loss, slope = autoencoder.slopes(x[:0], w, 0.1)
+    assert loss == 0 and not any(p.any() for p in slope)
+
+
 def test_training_by_one_task_or_several_is_the_same(spark):
     runs = [autoencoder.train(_waves(spark), AutoencoderConfig(epochs=12, tasks=tasks, keep_every=5)) for tasks in (1, 4, 8)]
     for weights, losses in runs[1:]:
