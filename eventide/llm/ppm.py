@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
@@ -44,21 +43,23 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def normal(text: bytes) -> bytes:
+    return b" ".join(tokens(text))
+
+
 def packed_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte of each text, and its end, with the ``order`` bytes before it, as one number; where each text starts."""
     pad = START * order
-    data = np.frombuffer(b"".join([pad + t + END for t in texts]), np.uint8)
-    keys = np.zeros(max(len(data) - order, 0), np.uint64)
-    for at in range(0, len(keys), 1 << 16):  # a part stays in a processor's cache
-        own = keys[at : at + (1 << 16)]
-        for i in range(order + 1):
-            own <<= np.uint64(8)
-            own |= data[at + i : at + i + len(own)]
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    data = np.frombuffer(b"".join([*chain.from_iterable((pad, t, END) for t in texts), bytes(8)]), np.uint8)
+    keys = np.ndarray(max(len(data) - 8 - order, 0), ">u8", data, strides=(1,)).astype(np.uint64)
+    keys >>= np.uint64(8 * (7 - order))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.cumsum(lengths) - lengths
     # a text's predictions start where its padding starts, and the padding of the next one is skipped
-    at = np.arange(lengths.sum()) + np.repeat(np.arange(len(texts)) * order, lengths)
-    return keys[at], starts
+    own = np.ones(len(keys), bool)
+    for i in range(order):
+        own[starts[1:] + np.arange(len(texts) - 1) * order + i] = False
+    return keys[own], starts
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +255,13 @@ class Model:
         return out
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of normal ``texts``, and the number of each word in order; after a text's words comes its end."""
+    joined = b" ".join([t + b" " + END if t else END for t in texts]) + b" "
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(joined)]).dictionary_encode()
+    words = found.dictionary.buffers()[2].to_pybytes().split(b" ")[: len(found.dictionary)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), found.indices.to_numpy()
 
 
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -274,40 +280,42 @@ def _statistics(order: int, shares: int, folds: int, fold: int, limit: int):
     """Counts of grams and of words in the training texts of a task, by share, whenever about ``limit`` bytes are through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, size = Counter(), [], 0
+        words, grams, size = [], [], 0
         for b in batches:
             own, part = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
                 if not held_out(doc_id, folds, fold):
-                    found = tokens(text)
-                    words.update(found)
-                    words[b""] += 1  # the end
-                    own.append(b" ".join(found))
+                    own.append(normal(text))
                     size += len(text)
                     part += len(own[-1])
                 if part > PART_BYTES:
-                    put(grams, own)
+                    count(words, grams, own)
                     own, part = [], 0
             if own:
-                put(grams, own)
+                count(words, grams, own)
             if size > limit:
                 yield rows(words, grams)
-                words, grams, size = Counter(), [], 0
+                words, grams, size = [], [], 0
         yield rows(words, grams)
 
-    def put(grams: list, texts: list[bytes]) -> None:
-        """Sums of about a size are added up, so that each gram is sorted a few times only."""
-        grams.append(counted(packed_grams(texts, order)[0]))
-        while len(grams) > 1 and 2 * len(grams[-1][0]) > len(grams[-2][0]):
-            grams.append(_sum_counts([grams.pop(-2), grams.pop()]))
-
-    def rows(words: Counter, grams: list) -> pa.RecordBatch:
-        h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-        out = _by_share("word", h, np.fromiter(words.values(), np.int64, len(words)), shares)
-        if grams:
-            keys, counts = _sum_counts(grams)
-            grams.clear()
-            out += _by_share("gram", keys, counts, shares, _middle(keys, order))
+    def count(words: list, grams: list, texts: list[bytes]) -> None:
+        hashes, at = word_numbers(texts)
+        put(words, _sum_counts([(hashes, np.bincount(at, minlength=len(hashes)))]))
+        put(grams, counted(packed_grams(texts, order)[0]))
+
+    def put(held: list, own: tuple[np.ndarray, np.ndarray]) -> None:
+        """Sums of about a size are added up, so that each key is sorted a few times only."""
+        held.append(own)
+        while len(held) > 1 and 2 * len(held[-1][0]) > len(held[-2][0]):
+            held.append(_sum_counts([held.pop(-2), held.pop()]))
+
+    def rows(words: list, grams: list) -> pa.RecordBatch:
+        out = []
+        for kind, held in (("word", words), ("gram", grams)):
+            if held:
+                keys, counts = _sum_counts(held)
+                held.clear()
+                out += _by_share(kind, keys, counts, shares, keys if kind == "word" else _middle(keys, order))
         return _counts_batch(out)
 
     return run
@@ -321,8 +329,8 @@ def _sum_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     del order
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)[: len(keys)])
+    return keys[last], np.diff(np.cumsum(counts)[last], prepend=counts.dtype.type(0))
 
 
 def _share_of(keys: np.ndarray, shares: int) -> np.ndarray:
@@ -335,11 +343,17 @@ def _middle(grams: np.ndarray, d: int) -> np.ndarray:
     return (grams >> np.uint64(8)) & np.uint64((1 << 8 * (d - 1)) - 1)
 
 
-def _by_share(kind: str, keys: np.ndarray, counts: np.ndarray, shares: int, by: np.ndarray | None = None) -> list[tuple]:
-    share = _share_of(keys if by is None else by, shares)
-    order = np.lexsort((keys, share))
-    cuts = np.searchsorted(share[order], np.arange(shares + 1))
-    return [(kind, i, packed(keys[order[a:b]].astype("<u8")), packed(counts[order[a:b]].astype("<i8")), int(b - a)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+def _sharded(by: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by the share of ``by``, and where each share starts."""
+    share = _share_of(by, shares).astype(np.min_scalar_type(shares))  # numbers of 16 bits are sorted by their digits
+    return np.argsort(share, kind="stable"), np.append(0, np.cumsum(np.bincount(share, minlength=shares)))
+
+
+def _by_share(kind: str, keys: np.ndarray, counts: np.ndarray, shares: int, by: np.ndarray) -> list[tuple]:
+    """Rows of sorted ``keys``."""
+    order, cuts = _sharded(by, shares)
+    keys, counts = keys[order], counts[order]
+    return [(kind, i, packed(keys[a:b].astype("<u8")), packed(counts[a:b].astype("<i8")), int(b - a)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
 
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,34 +455,9 @@ def build(statistics: DataFrame, order: int, n: int) -> Levels:
     return Levels(shares, {d: Escapes(*x) for d, x in found.items()}, Model(*_sum_counts(parts or [none]), low))
 
 
-def _sharded(keys: np.ndarray, by: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of sorted ``keys`` by share, and where each share starts."""
-    share = _share_of(by, shares)
-    order = np.argsort(share, kind="stable")
-    return order, np.searchsorted(share[order], np.arange(shares + 1))
-
-
-class _Numbers(dict):
-    """Numbers of words in the order of their first sight, the end's first."""
-
-    def __init__(self):
-        super().__init__({b"": 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct words of ``texts``, the end's first, and the number of each word in order."""
-    number = _Numbers()
-    at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64)
-    return np.fromiter(map(word_hash, number), np.uint64, len(number)), at
-
-
 def _distinct_words(hashes: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.unique(hashes)
-    order, cuts = _sharded(keys, keys, shares)
+    keys = counted(hashes)[0]
+    order, cuts = _sharded(keys, shares)
     return keys[order], cuts
 
 
@@ -481,11 +470,10 @@ def _requests(order: int, shares: int):
     """A chunk's distinct words and grams, by share of the statistics."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        texts = [tokens(t) for t in as_bytes(chunk.column("text").combine_chunks())]
-        own = {b"", *chain.from_iterable(texts)}
-        words, word_cuts = _distinct_words(np.fromiter(map(word_hash, own), np.uint64, len(own)), shares)
-        grams = counted(packed_grams([b" ".join(t) for t in texts], order)[0])[0]
-        by, gram_cuts = _sharded(grams, _middle(grams, order), shares)
+        texts = [normal(t) for t in as_bytes(chunk.column("text").combine_chunks())]
+        words, word_cuts = _distinct_words(word_numbers(texts)[0], shares)
+        grams = counted(packed_grams(texts, order)[0])[0]
+        by, gram_cuts = _sharded(_middle(grams, order), shares)
         grams = grams[by]
         n = chunk.column("chunk")[0].as_py()
         out = [(i, packed(words[a:b]), packed(grams[c:d]), b - a, d - c) for i, (a, b, c, d) in enumerate(zip(word_cuts[:-1], word_cuts[1:], gram_cuts[:-1], gram_cuts[1:])) if b > a or d > c]
@@ -543,6 +531,59 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCORED = "chunk int, doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, missed binary, times binary"
 
 
+#: A part of a chunk's texts whose grams are counted together: so many texts at most, and about so many bytes.
+TEXTS, TEXTS_BYTES = 256, 1 << 19
+
+
+class TextGrams(NamedTuple):
+    """Distinct grams of each text of a part, in order of the grams: each gram's place among the part's ``distinct`` ones, the
+    text's number in the part, and how often the text has it."""
+
+    n: int
+    distinct: np.ndarray
+    of: np.ndarray
+    text: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def count(cls, texts: list[bytes], order: int) -> TextGrams:
+        keys, starts = packed_grams(texts, order)
+        text = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.append(starts, len(keys))))
+        if order < 7:  # the text's number fits beside the gram
+            keys <<= np.uint64(8)
+            keys |= text
+            own, times = counted(keys)
+            text, own = (own & np.uint64(255)).astype(np.intp), own >> np.uint64(8)
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+        else:
+            by = np.argsort(keys, kind="stable")
+            keys, text = keys[by], text[by].astype(np.intp)
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = np.flatnonzero(new | np.concatenate([[True], text[1:] != text[:-1]]))
+            own, text, times, new = keys[first], text[first], np.diff(np.append(first, len(keys))), new[first]
+        return cls(len(texts), own[new], np.cumsum(new) - 1, text, times)
+
+    def sums(self, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each text: the sum over its grams by the ``values`` of the distinct ones, and its grams of value NaN with their times."""
+        values = values[self.of]
+        missed = np.flatnonzero(np.isnan(values))
+        values *= self.times
+        values[missed] = 0
+        by = missed[np.argsort(self.text[missed], kind="stable")]
+        cuts = np.cumsum(np.bincount(self.text[missed], minlength=self.n))[:-1]
+        return np.bincount(self.text, weights=values, minlength=self.n), np.split(self.distinct[self.of[by]], cuts), np.split(self.times[by], cuts)
+
+
+def _text_parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at == TEXTS or size + len(t) > TEXTS_BYTES):
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    yield texts[at:]
+
+
 def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
     """Rows of a chunk with the sums over the grams that the longest contexts have seen, and the grams that they haven't."""
 
@@ -550,22 +591,20 @@ def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
         rows = chunk_rows(chunk)
         if not rows:
             return pa.table([pa.array([], t) for t in SCORED_TYPES], names=SCORED_NAMES)
-        texts = [tokens(t) for _, t in rows]
-        hashes, at = _words(texts)
-        words, cuts = _distinct_words(hashes, shares)
+        texts = [normal(t) for _, t in rows]
         got = {s: own for s, *own in zip(*(answers.column(i).to_pylist() for i in ("share", "words", "counts", "totals", "distinct")))}
+        hashes, at = word_numbers(texts)
+        words, cuts = _distinct_words(hashes, shares)
         times = np.concatenate([_unpacked_counts(got[i][0], b - a) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
         by = np.argsort(words)
         times = times[by][np.searchsorted(words[by], hashes)]
-        n_words = np.array([len(t) for t in texts], np.int64)
-        word_ends = np.cumsum(n_words)
-        known = np.concatenate([[0], np.cumsum(times[at] > 0)])
-        base = np.log10(times + 1.0)
-        n = chunk.column("chunk")[0].as_py()
-        keys, starts = packed_grams([b" ".join(t) for t in texts], order)
-        own_grams = [counted(x) for x in np.split(keys, starts[1:])]  # of each text: once each, in order
-        grams = counted(np.concatenate([x for x, _ in own_grams]))[0]
-        by, cuts = _sharded(grams, _middle(grams, order), shares)
+        n_words = np.array([t.count(b" ") + 2 if t else 1 for t in texts])
+        first = np.cumsum(n_words) - n_words
+        known = np.add.reduceat((times > 0).astype(np.int64)[at], first)
+        base = np.add.reduceat(np.log10(times + 1.0)[at], first)
+        parts = [TextGrams.count(own, order) for own in _text_parts(texts)]
+        grams = counted(np.concatenate([x.distinct for x in parts]))[0]
+        by, cuts = _sharded(_middle(grams, order), shares)
         values = np.full(len(grams), np.nan)
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b > a:
@@ -573,13 +612,15 @@ def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
                 count, total, different = _unpacked_counts(got[i][1], b - a), *(_unpacked_counts(got[i][c], len(contexts))[of] for c in (2, 3))
                 seen = np.flatnonzero(count)
                 values[by[a:b][seen]] = seen_log(escapes, count[seen], total[seen], different[seen])
-        out = []
-        for (doc_id, _), own, stop, (found, times_of) in zip(rows, n_words.tolist(), word_ends.tolist(), own_grams):
-            logs = values[np.searchsorted(grams, found)]
-            missed = np.isnan(logs)
-            total = float((logs[~missed] * times_of[~missed]).sum())
-            out.append((n, doc_id, held_out(doc_id, folds, fold), own + 1, int(known[stop] - known[stop - own] + (times[0] > 0)), float(base[at[stop - own : stop]].sum() + base[0]), total, found[missed].astype("<u8").tobytes(), times_of[missed].astype("<i8").tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), SCORED_TYPES)], names=SCORED_NAMES)
+        score, missed, missed_times = [], [], []
+        for x in parts:
+            total, found, often = x.sums(values[np.searchsorted(grams, x.distinct)])
+            score.append(total)
+            missed += [k.astype("<u8").tobytes() for k in found]
+            missed_times += [k.astype("<i8").tobytes() for k in often]
+        ids = [i for i, _ in rows]
+        columns = (np.full(len(rows), chunk.column("chunk")[0].as_py()), ids, [held_out(i, folds, fold) for i in ids], n_words, known, base, np.concatenate(score), missed, missed_times)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, SCORED_TYPES)], names=SCORED_NAMES)
 
     return run
 
@@ -600,7 +641,7 @@ def _down_rows(out: list[tuple]) -> pa.RecordBatch:
 
 def _sent(chunk: int, d: int, shares: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
     """Rows of ``keys`` by share of the level of ``d`` bytes."""
-    order, cuts = _sharded(keys, _middle(keys, d) if d else np.zeros(len(keys), np.uint64), shares)
+    order, cuts = _sharded(_middle(keys, d) if d else np.zeros(len(keys), np.uint64), shares)
     return [(i, chunk, keys[order[a:b]].astype("<u8").tobytes(), *(v[order[a:b]].astype("<f8").tobytes() for v in values)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
 
 

@@ -192,6 +192,32 @@ def test_ppm_counts_a_batch_in_parts(monkeypatch):
     assert sum(ppm.unpacked(c, n, "<i8").sum() for (kind, _), (_, c, n) in whole.items() if kind == "gram") == sum(len(t) + 1 for i, t in enumerate(texts) if not ppm.held_out(7 * i, 7, 2))
 
 
+@pytest.mark.parametrize("order", [6, 7])
+def test_ppm_scores_texts_of_a_chunk_together(monkeypatch, order):
+    """Short texts aren't sorted one by one; each one's sum and missed grams are those that it has alone."""
+    r = np.random.default_rng(11)
+    texts = ["".join("ab c\u00e9"[c] for c in r.integers(0, 5, r.integers(0, 40))) for _ in range(1_000)] + ["", "d" * 600_000, "abc"]
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    chunk = pa.Table.from_batches([batch]).append_column("chunk", pa.array([0] * len(ids), pa.int32()))
+    held = [(x["kind"], x["keys"], x["counts"]) for s in ppm._merged(ppm._statistics(order, 1, 7, 2, 32 << 20)(iter([batch]))) for x in s.to_pylist()]
+    calls, counted = [], ppm.counted
+    monkeypatch.setattr(ppm, "counted", lambda keys: calls.append(len(keys)) or counted(keys))
+    asked = [(0, ppm.WORDS if kind == "word" else ppm.GRAMS, keys, counts, None, None) for kind, keys, counts in held] + [tuple(x.values()) for x in ppm._requests(order, 1)(chunk).to_pylist()]
+    answers = pa.Table.from_batches(ppm._answers([pa.RecordBatch.from_pylist([dict(zip("scabnm", x)) for x in asked])]))
+    (grams, counts), = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")) for kind, k, c in held if kind == "gram"]
+    model = ppm.Model(grams, counts, order)
+    out = ppm._score(order, 1, model.escapes[0], 7, 2)(chunk, answers).to_pylist()
+    assert [x["doc_id"] for x in out] == ids and len(calls) < 20
+    for x, text in zip(out, texts):
+        keys, times = np.unique(ppm.packed_grams([ppm.normal(text.encode())], order)[0], return_counts=True)
+        logs = model.top.get(keys).astype(float)
+        gone = np.isnan(logs)
+        assert x["score"] == pytest.approx((logs[~gone] * times[~gone]).sum(), rel=1e-5)
+        assert x["missed"] == keys[gone].tobytes() and x["times"] == times[gone].tobytes() and x["n_tokens"] == len(text.split()) + 1
+    assert any(x["missed"] for x in out)
+
+
 def test_ppm_without_training_texts(spark):
     ids = [i for i in range(40) if ppm.held_out(i, 7, 2)]
     out = ppm.language_model_scores(spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string")).collect()
