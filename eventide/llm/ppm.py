@@ -628,21 +628,37 @@ def _score(order: int, shares: int, escapes: Escapes, folds: int, fold: int):
 SCORED_TYPES = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
 SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
-#: Grams on their way down: log10 so far, and what the node above leaves of the next; ``share`` is -1 where a level had them.
-DOWN = "share int, chunk int, keys binary, gain binary, total binary, distinct binary"
-DOWN_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+#: Grams on their way down: log10 so far, and what the node above leaves of the next. What goes to a share is in few rows, each
+#: gram beside its chunk's number; ``share`` is -1 where a level had them, and such rows are of one ``chunk``.
+DOWN = "share int, chunk int, chunks binary, keys binary, gain binary, total binary, distinct binary"
+DOWN_TYPES = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
 DOWN_NAMES = [c.split()[0] for c in DOWN.split(", ")]
 DONE = -1
+ASKED = 0
 
 
 def _down_rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, DOWN_TYPES)], names=DOWN_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, DOWN_TYPES)], names=DOWN_NAMES)
 
 
-def _sent(chunk: int, d: int, shares: int, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+def _sent(d: int, shares: int, chunks: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
     """Rows of ``keys`` by share of the level of ``d`` bytes."""
     order, cuts = _sharded(_middle(keys, d) if d else np.zeros(len(keys), np.uint64), shares)
-    return [(i, chunk, keys[order[a:b]].astype("<u8").tobytes(), *(v[order[a:b]].astype("<f8").tobytes() for v in values)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    columns = [chunks[order].astype("<i4"), keys[order].astype("<u8"), *(v[order].astype("<f8") for v in values)]
+    return [(i, ASKED, *(c[a:b].tobytes() for c in columns)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+
+
+def _done(chunks: np.ndarray, keys: np.ndarray, gain: np.ndarray) -> list[tuple]:
+    """Rows of ``keys`` by chunk."""
+    order = np.argsort(chunks, kind="stable")
+    chunks, keys, gain = chunks[order], keys[order].astype("<u8"), gain[order].astype("<f8")
+    first = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1]])[: len(chunks)])
+    return [(DONE, chunk, None, keys[a:b].tobytes(), gain[a:b].tobytes(), None, None) for chunk, a, b in zip(chunks[first].tolist(), first, np.append(first[1:], len(chunks)))]
+
+
+def _joined(rows: list[tuple]) -> list[np.ndarray]:
+    """(chunks, keys, gain, total, distinct) of rows of asked grams."""
+    return [np.frombuffer(b"".join(c), t) for c, t in zip(zip(*rows), ("<i4", "<u8", "<f8", "<f8", "<f8"))]
 
 
 def _missed(order: int, shares: int):
@@ -653,12 +669,11 @@ def _missed(order: int, shares: int):
             own: dict[int, list] = {}
             for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own.setdefault(chunk, []).append(np.frombuffer(raw, "<u8"))
-            out = []
-            for chunk, parts in own.items():
-                keys = np.unique(np.concatenate(parts))
+            keys = [np.unique(np.concatenate(parts)) for parts in own.values()]
+            if keys:
+                chunks, keys = np.repeat(list(own), list(map(len, keys))), np.concatenate(keys)
                 none = np.full(len(keys), np.nan)
-                out += _sent(chunk, order, shares, keys, np.zeros(len(keys)), none, none)
-            yield _down_rows(out)
+                yield _down_rows(_sent(order, shares, chunks, keys, np.zeros(len(keys)), none, none))
 
     return run
 
@@ -666,23 +681,29 @@ def _missed(order: int, shares: int):
 def _go_down(d: int, shares: int, escapes: Escapes):
     """A share's level of contexts of ``d`` bytes is held, the grams pass by: what it has is done, the rest goes on."""
 
+    def down(level: Contexts, rows: list[tuple]) -> list[tuple]:
+        if not rows:
+            return []
+        chunks, keys, gain, total, distinct = _joined(rows)
+        hit = np.zeros(len(keys), bool)
+        if len(level.grams):
+            more, hit, total, distinct = descend(level, escapes, d, keys, total, distinct)
+            gain = gain + more
+        return _done(chunks[hit], keys[hit], gain[hit]) + _sent(d - 1, shares, *(x[~hit] for x in (chunks, keys, gain, total, distinct)))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        key = level = None
         for b in batches:
-            out = []
-            for share, chunk, keys, gain, total, distinct in zip(*[b.column(i).to_pylist() for i in range(6)]):
+            out, asked = [], []
+            for share, chunk, *columns in zip(*[b.column(i).to_pylist() for i in range(7)]):
                 if share != key:
-                    key, level = share, _level(d, b"", b"")
+                    out += down(level, asked)
+                    key, level, asked = share, _level(d, b"", b""), []
                 if chunk == GRAMS:
-                    level = _level(d, keys, gain)
-                    continue
-                keys, (gain, total, distinct) = np.frombuffer(keys, "<u8"), (np.frombuffer(x, "<f8") for x in (gain, total, distinct))
-                more, hit, total, distinct = descend(level, escapes, d, keys, total, distinct) if len(level.grams) else (0.0, np.zeros(len(keys), bool), total, distinct)
-                gain = gain + more
-                if hit.any():
-                    out.append((DONE, chunk, keys[hit].astype("<u8").tobytes(), gain[hit].astype("<f8").tobytes(), None, None))
-                out += _sent(chunk, d - 1, shares, keys[~hit], gain[~hit], total[~hit], distinct[~hit])
-            yield _down_rows(out)
+                    level = _level(d, *columns[1:3])
+                else:
+                    asked.append(columns)
+            yield _down_rows(out + down(level, asked))  # a batch's grams at once, not row by row
 
     return run
 
@@ -691,11 +712,9 @@ def _at_root(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = shared.value
         for b in batches:
-            out = []
-            for _, chunk, keys, gain, total, distinct in zip(*[b.column(i).to_pylist() for i in range(6)]):
-                own, (so_far, t, u) = np.frombuffer(keys, "<u8"), (np.frombuffer(x, "<f8") for x in (gain, total, distinct))
-                out.append((DONE, chunk, keys, (so_far + root.rest(own, t, u)).astype("<f8").tobytes(), None, None))
-            yield _down_rows(out)
+            if b.num_rows:
+                chunks, keys, gain, total, distinct = _joined(list(zip(*[b.column(i).to_pylist() for i in range(2, 7)])))
+                yield _down_rows(_done(chunks, keys, gain + root.rest(keys, total, distinct)))
 
     return run
 
@@ -723,7 +742,7 @@ def resolve(levels: Levels, scored: DataFrame, order: int, shares: int) -> DataF
     going = scored.where("octet_length(missed) > 0").select("chunk", "missed").mapInArrow(_missed(order, shares), DOWN)
     done = []
     for d in range(order, low, -1):
-        model = levels.shares[d].select("share", F.lit(GRAMS).alias("chunk"), "keys", F.col("counts").alias("gain"), none.alias("total"), none.alias("distinct"))
+        model = levels.shares[d].select("share", F.lit(GRAMS).alias("chunk"), none.alias("chunks"), "keys", F.col("counts").alias("gain"), none.alias("total"), none.alias("distinct"))
         both = model.unionAll(going).repartitionById(shares, F.col("share")).sortWithinPartitions("share", "chunk")
         made = materialize(both.mapInArrow(_go_down(d, shares, levels.escapes[d]), DOWN), "lm-down")
         done.append(made.where(F.col("share") == DONE))

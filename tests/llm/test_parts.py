@@ -218,6 +218,30 @@ def test_ppm_scores_texts_of_a_chunk_together(monkeypatch, order):
     assert any(x["missed"] for x in out)
 
 
+def test_ppm_grams_of_many_chunks_go_down_together(monkeypatch):
+    """Few missed grams of each of many chunks are looked up at once, and what goes on is in a row for each share, not each chunk."""
+    keys, counts = np.unique(ppm.packed_grams([b"the cat sat", b"a mat and a hat"], 3)[0], return_counts=True)
+    model = ppm.Model(keys, counts, 3)
+    asked = [int.from_bytes(b, "big") for b in (b"zcat", b"the ", b"qqqq", b" cab")]
+    rows = [{"chunk": i, "missed": np.array([asked[i % 4], asked[3]], "<u8").tobytes()} for i in range(50)]
+    held = (0, ppm.GRAMS, None, keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes(), None, None)
+    calls, descend = [], ppm.descend
+    monkeypatch.setattr(ppm, "descend", lambda *args: calls.append(1) or descend(*args))
+    going = [tuple(r.values()) for b in ppm._missed(3, 1)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    made = [r for b in ppm._go_down(3, 1, model.escapes[0])([ppm._down_rows([held, *going])]) for r in b.to_pylist()]
+    rest = [r for r in made if r["share"] != ppm.DONE]
+    assert len(calls) == 1 and len(going) == len(rest) == 1
+    got = {}
+    for r in made:
+        own = np.frombuffer(r["keys"], "<u8")
+        of = np.frombuffer(r["chunks"], "<i4") if r["share"] != ppm.DONE else np.full(len(own), r["chunk"])
+        got |= {(int(c), int(k)): (g, r["share"] == ppm.DONE) for c, k, g in zip(of, own, np.frombuffer(r["gain"], "<f8"))}
+    assert set(got) == {(i, k) for i in range(50) for k in (asked[i % 4], asked[3])}
+    for (_, k), (gain, done) in got.items():
+        want, hit, *_ = descend(model.levels[0], model.escapes[0], 3, np.array([k], np.uint64), np.array([np.nan]), np.array([np.nan]))
+        assert gain == want[0] and done == hit[0]
+
+
 def test_ppm_without_training_texts(spark):
     ids = [i for i in range(40) if ppm.held_out(i, 7, 2)]
     out = ppm.language_model_scores(spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string")).collect()
