@@ -107,6 +107,37 @@ def test_training_is_full_batch_adam(spark):
     assert all(np.allclose(a, b) for a, b in zip(found, at))
 
 
+def test_vectors_of_floats_are_worked_on_in_single_precision(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x, w = r.normal(size=(1500, 8)).astype(np.float32), autoencoder.Weights(r.normal(size=(12, 8)), r.normal(size=12), r.normal(size=8))
+    loss, slope = autoencoder.slopes(x.astype(np.float64), w, 0.1)
+    kinds, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: kinds.extend((a.dtype, b.dtype, out.dtype)) or product(a, b, out=out))
+    single = autoencoder.slopes(x, w, 0.1)
+    assert len(kinds) == 18 and set(kinds) == {np.dtype(np.float32)}  # three products of two blocks
+    assert single[0] == pytest.approx(loss, rel=1e-6) and all(p.dtype == np.float64 and np.allclose(p, q, rtol=1e-4, atol=1e-3) for p, q in zip(single[1], slope))
+    monkeypatch.undo()
+    floats = _waves(spark).select(F.col("embedding").cast("array<float>").alias("embedding"))
+    runs = [autoencoder.train(rows, AutoencoderConfig(epochs=12)) for rows in (_waves(spark), floats)]
+    assert runs[1][1] == pytest.approx(runs[0][1], rel=1e-5) and np.allclose(runs[1][0].w, runs[0][0].w, atol=1e-5)
+
+
+def test_equal_vectors_are_held_once_and_count_as_often_as_they_occur(spark):
+    rows = _waves(spark).crossJoin(spark.range(3)).select("embedding").union(_waves(spark, 7))
+    assert sorted(r["times"] for r in autoencoder.vectors(rows).collect()) == [3] * 33 + [4] * 7
+    x, times = np.array([r[0] for r in _waves(spark).collect() if r[0]]), np.where(np.arange(40) < 7, 4, 3)
+    config = AutoencoderConfig(epochs=9, tasks=2, keep_every=5)
+    adam, losses = autoencoder.Adam(autoencoder.initial(4, config), config), []
+    for _ in range(9):
+        loss, slope = autoencoder.slopes(np.repeat(x, times, axis=0), adam.at, config.alpha)
+        once = autoencoder.slopes(x, adam.at, config.alpha, times)
+        assert once[0] == pytest.approx(loss) and all(np.allclose(p, q) for p, q in zip(once[1], slope))
+        losses.append(loss)
+        adam.move(slope)
+    found = autoencoder.train(rows, config)
+    assert found[1] == pytest.approx(losses) and all(np.allclose(p, q) for p, q in zip(found[0], adam.at))
+
+
 def test_training_goes_on_from_kept_weights(spark, tmp_path):
     whole = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=9))
     first = autoencoder.train(_waves(spark), AutoencoderConfig(epochs=6, keep_every=3), str(tmp_path))
